@@ -1,10 +1,12 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import mixing, packing
+from . import fingerprint, mixing, packing, quality
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op3_mixing": mixing.op3_mixing,
     "op9_packing": packing.op9_packing,
+    "op10_fingerprint": fingerprint.op10_fingerprint,
 }
 
 ORACLE_SQL: dict[str, str] = {}
