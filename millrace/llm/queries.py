@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import fingerprint, mixing, packing, quality
+from . import fingerprint, mixing, packing, quality, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
     "op9_packing": packing.op9_packing,
     "op10_fingerprint": fingerprint.op10_fingerprint,
