@@ -1,13 +1,15 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import fingerprint, mixing, packing, quality, toxicity
+from . import fingerprint, language, mixing, packing, quality, topk, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
+    "op4_language": language.op4_language,
+    "op6_topk": topk.op6_topk,
     "op9_packing": packing.op9_packing,
     "op10_fingerprint": fingerprint.op10_fingerprint,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_topk": topk.OP6_SQL}
