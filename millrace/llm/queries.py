@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import fingerprint, language, mixing, packing, quality, topk, toxicity
+from . import fingerprint, language, mixing, packing, quality, substrings, topk, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
     "op4_language": language.op4_language,
+    "op5_substrings": substrings.op5_substrings,
     "op6_topk": topk.op6_topk,
     "op9_packing": packing.op9_packing,
     "op10_fingerprint": fingerprint.op10_fingerprint,

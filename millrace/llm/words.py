@@ -65,18 +65,18 @@ def mixed(h: np.ndarray, salt: int) -> np.ndarray:
     return h
 
 
-def words_of(texts: list[str | None], letters_only: bool = False, lower: bool = False) -> Words:
+def words_of(texts: list[str | None], letters_only: bool = False, lower: bool = False, accents: bool = True) -> Words:
     """Words of all texts; null texts count as empty.
 
     Words are runs of visible characters, or with ``letters_only`` of ASCII letters and any character
-    beyond ASCII. ``lower`` lowers A to Z and the accented capitals of Latin-1.
+    beyond ASCII. ``lower`` lowers A to Z and, with ``accents``, the accented capitals of Latin-1.
     """
     encoded = [t.encode("utf-8") if t else b"" for t in texts]
     buffer = b"\n".join(encoded) + b"\n" + bytes(PAD)
     data = np.frombuffer(buffer, np.uint8)
     if lower:
         data = _LOWER[data]
-        accented = np.flatnonzero(data[:-1] == 0xC3) + 1
+        accented = np.flatnonzero(data[:-1] == 0xC3) + 1 if accents else np.zeros(0, np.int64)
         accented = accented[(data[accented] >= 0x80) & (data[accented] <= 0x9E) & (data[accented] != 0x97)]
         data[accented] += 32
         buffer = data.tobytes()
