@@ -1,0 +1,32 @@
+"""Connected components of a table of links, by label propagation with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) for every node of ``links`` (a, b); the component is its smallest node.
+
+    Every round takes the smallest label among a node's neighbours and then the label of that label,
+    so that chains shorten by half; only a count of changed labels reaches the driver. Labels are
+    written to the shared folder each round. A node with many links is a hot key of one aggregation
+    with partial sums and of one join that adaptive execution splits.
+    """
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(both.filter(F.col("a") != F.col("b")).distinct(), "links")
+    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    while True:
+        heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("heard"))
+        best = labels.join(heard, labels["node"] == heard["a"]).select(
+            "node", F.col("label").alias("old"), F.least("label", "heard").alias("label")
+        )
+        over = best.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        jumped = best.join(over, "label", "left").select("node", "old", F.coalesce("next", "label").alias("label"))
+        jumped = cut(jumped, "labels")
+        if jumped.filter(F.col("old") != F.col("label")).limit(1).count() == 0:
+            return jumped.select("node", F.col("label").alias("component"))
+        labels = jumped.select("node", "label")
