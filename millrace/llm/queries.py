@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import fingerprint, jaccard, language, mixing, packing, quality, substrings, topk, toxicity
+from . import fingerprint, jaccard, language, lm_score, mixing, packing, quality, substrings, topk, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_substrings": substrings.op5_substrings,
     "op6_topk": topk.op6_topk,
     "op7_jaccard": jaccard.op7_jaccard,
+    "op8_lm_score": lm_score.op8_lm_score,
     "op9_packing": packing.op9_packing,
     "op10_fingerprint": fingerprint.op10_fingerprint,
 }
