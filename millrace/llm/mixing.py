@@ -44,7 +44,8 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, passes=MAX_
         .withColumn("level_here", (F.col("demand") - F.col("cap_before")) / F.col("weight_left"))
     )
     # the level at the first source that does not fill up; sources before it do
-    s = s.withColumn("level", F.min(F.when(F.col("level_here") <= fill, F.col("level_here"))).over(whole))
+    in_order = Window.orderBy(fill, "rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    s = s.withColumn("level", F.first(F.when(F.col("level_here") <= fill, F.col("level_here")), True).over(in_order))
     target = F.when(F.col("level").isNull() | (F.col("level") > fill), F.col("cap")).otherwise(F.col("level") * F.col("weight"))
     return s.select("source", "source_size", "weight", "slope", target.alias("target"))
 
@@ -56,7 +57,17 @@ def position(share_due: Column, slope: Column) -> Column:
     return F.when(F.abs(slope) < 1e-9, share_due).otherwise(root)
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def _sized(docs: DataFrame, carry: list[str]) -> DataFrame:
+    return docs.select(
+        "doc_id",
+        "source",
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64("doc_id", F.lit(17)).alias("h"),
+        *[F.col(c).alias(f"carried_{c}") for c in carry],
+    )
+
+
+def mix(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs`` with the words that the mix takes and where in training.
 
     Columns: doc_id, size (words; null text: 0), source_size, target, taken (0 to 2 * size, repeats
@@ -65,19 +76,13 @@ def mix(docs: DataFrame) -> DataFrame:
     A source is walked in the order of a hash of the row; whole passes take every document and the
     last pass stops inside one document, so that a source's words meet its target to within one word.
     Null sources form one source (after the others); rows of the same id and text are told apart by
-    nothing and share the walk's order, which their sizes alone do not affect; documents without
-    words take nothing. An empty table gives an empty result. Other columns are ignored.
+    nothing, and either may come first; documents without words take nothing. An empty table gives an
+    empty result. Columns named in ``carry`` come along as ``carried_`` and their name; others are ignored.
 
     The walk needs running sums inside a source. A source may hold a third of all rows, so a source is
     dealt into spans by ranges of the hash, small enough for one task; span sums are added up first.
     """
-    sized = docs.select(
-        "doc_id",
-        "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64("doc_id", F.lit(17)).alias("h"),
-    )
-    sized = cut(sized, "mix-sizes")
+    sized = cut(_sized(docs, []), "mix-sizes")
     n_rows = sized.count()
     spans = max(1, n_rows // ROWS_PER_SPAN)
     span = F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * spans).cast("long")
@@ -89,6 +94,8 @@ def mix(docs: DataFrame) -> DataFrame:
     plan = starts.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
     plan = plan.select("p.source", "p.span", "span_start", "source_size", "slope", "target")
     inside = Window.partitionBy("source", "span").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    if carry:  # the sizes above are without the columns that are carried along
+        sized = _sized(docs, carry).withColumn("span", span)
     walked = sized.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = walked.alias("d").join(
         plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.span") == F.col("p.span"))
@@ -101,11 +108,33 @@ def mix(docs: DataFrame) -> DataFrame:
     rows = rows.select(
         "d.doc_id", "size", "source_size", "target", "slope", "h",
         start.alias("start"), whole.alias("passes"), part.cast("long").alias("slice_words"),
+        "d.source", *[f"d.carried_{c}" for c in carry or []],
     )
     rows = rows.withColumn("taken", F.col("passes") * F.col("size") + F.col("slice_words"))
     due = F.least(F.col("start") / F.greatest(F.col("target"), F.lit(1.0)), F.lit(1.0))
     rows = rows.withColumn("position", F.when(F.col("taken") > 0, position(due, F.col("slope"))))
-    return rows.select("doc_id", "size", "source_size", "target", "taken", "position", "passes", "slice_words", "slope", "start", "h")
+    return rows
+
+
+def training_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, in order of their training positions.
+
+    The last pass over a source ends inside a document: that row's text is its first words, joined by
+    blanks. Documents that the mix does not take have no row; n_chars (added, or replaced) counts
+    what each row holds.
+    """
+    columns = [c for c in docs.columns if c not in ("doc_id", "source", "n_chars")]
+    rows = mix(docs, columns).filter(F.col("taken") > 0)
+    last = F.col("passes") - F.when(F.col("slice_words") > 0, 0).otherwise(1)
+    rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    due = (F.col("pass") * F.col("source_size") + F.col("start")) / F.greatest(F.col("target"), F.lit(1.0))
+    rows = rows.withColumn("position", position(F.least(due, F.lit(1.0)), F.col("slope")))
+    words = F.slice(F.regexp_extract_all("carried_text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("slice_words").cast("int"))
+    cut_short = (F.col("pass") == F.col("passes")) & (F.col("slice_words") < F.col("size"))
+    text = F.when(cut_short, F.array_join(words, " ")).otherwise(F.col("carried_text"))
+    rows = rows.withColumn("carried_text", text).withColumn("n_chars", F.length("carried_text").cast("long"))
+    kept = [F.col(f"carried_{c}").alias(c) for c in columns]
+    return rows.orderBy("position", "h", "pass").select("doc_id", "source", *kept, "n_chars")
 
 
 def by_position(mixed: DataFrame) -> DataFrame:
