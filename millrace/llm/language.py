@@ -180,8 +180,7 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Field:
     chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` ids
     table = sample.toPandas()
-    table = table[[has_letter(t) for t in table["text"]]].sort_values(["doc_id", "lang", "text"], kind="stable")
-    # texts of one language would otherwise follow each other where ids do
+    table = table[np.array([has_letter(t) for t in table["text"]], bool)].sort_values(["doc_id", "lang", "text"], kind="stable")
     return fit(table["text"].tolist(), table["lang"].tolist())
 
 
