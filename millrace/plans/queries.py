@@ -12,6 +12,7 @@ from millrace.functions.text import content_hash, first_phrase, html_to_text, pa
 from millrace.functions.urls import canonical_url, url_authority
 from millrace.operators import gates as G
 from millrace.plans import oracle as O
+from millrace.plans import state_queries
 from millrace.plans.postings import normalised, postings
 
 TODAY = date(1998, 1, 1)
@@ -177,3 +178,6 @@ ORACLE_SQL = {
     "phrase_gate": f"SELECT doc_id, CASE WHEN trim(text) = '' THEN 'unverifiable' WHEN {_HIT} IS NOT NULL THEN 'fail' ELSE 'pass' END AS outcome, {_HIT} AS evidence FROM documents",
     "phrase_counts": _COUNTS,
 }
+
+QUERIES |= state_queries.QUERIES
+ORACLE_SQL |= state_queries.ORACLE_SQL
