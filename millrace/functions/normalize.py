@@ -42,13 +42,17 @@ def country_of(text: Column) -> Column:
     )
 
 
-def location(raw: Column, hint: Column | None = None) -> Column:
-    """struct<raw, city, region, country>; "remote" is never a city, and a hint wins the country."""
+def location(raw: Column, hint: Column | None = None, region: Column | None = None, country: Column | None = None) -> Column:
+    """struct<raw, city, region, country>; "remote" is never a city, and a hint wins the country.
+
+    ``region`` and ``country`` may be given as columns that hold state_of and country_of already.
+    """
     raw = collapse_whitespace(F.coalesce(raw, F.lit("")))
     hint = F.nullif(F.upper(F.coalesce(hint if hint is not None else F.lit(None).cast("string"), F.lit(""))), F.lit(""))
     code = F.regexp_extract(raw, CITY_STATE, 2)
     is_code = code.isin(sorted(V.US_STATES.values()))
-    region = state_of(raw)
+    region = state_of(raw) if region is None else region
+    country = country_of(raw) if country is None else country
     not_city = any_pattern(["remote"])
     coded_city = F.when(is_code, F.trim(F.regexp_extract(raw, CITY_STATE, 1)))
     names = any_pattern(sorted(V.US_STATES, key=lambda p: (-len(p), p)))
@@ -58,7 +62,7 @@ def location(raw: Column, hint: Column | None = None) -> Column:
     lone_city = F.when(region.isNull() & (head != "") & (F.length(head) < 60), head)
     city = F.coalesce(coded_city, named_city, lone_city)
     city = F.when(~city.rlike(not_city), city)
-    country = F.coalesce(hint, country_of(raw), F.when(region.isNotNull(), F.lit("US")))
+    country = F.coalesce(hint, country, F.when(region.isNotNull(), F.lit("US")))
     empty = raw == ""
     none = F.lit(None).cast("string")
     return F.struct(
@@ -75,7 +79,11 @@ def location_display(loc: Column) -> Column:
 
 
 def location_bucket(raw: Column, hint: Column | None = None) -> Column:
-    loc = location(raw, hint)
+    return bucket_of(location(raw, hint))
+
+
+def bucket_of(loc: Column) -> Column:
+    """A coarse key of a place: city and region, else region, else country."""
     city = F.element_at(F.split(F.lower(loc["city"]), "[-/,]", 2), 1)
     city = F.trim(F.regexp_replace(city, "[^a-z ]", ""))
     keyed = F.trim(F.concat(city, F.lit("|"), F.coalesce(loc["region"], loc["country"], F.lit(""))), F.lit("|"))
@@ -144,7 +152,11 @@ def title_key(title: Column) -> Column:
 
 
 def identity(company: Column, title: Column, location_raw: Column, country: Column | None = None) -> Column:
-    key = F.concat_ws("|", company_key(company), title_key(title), location_bucket(location_raw, country))
+    return identity_of(company, title, location_bucket(location_raw, country))
+
+
+def identity_of(company: Column, title: Column, bucket: Column) -> Column:
+    key = F.concat_ws("|", company_key(company), title_key(title), bucket)
     return F.substring(F.sha1(key.cast("binary")), 1, 16)
 
 

@@ -52,6 +52,13 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(POSTINGS_SQL.replace("FROM orders", "FROM {orders}"), orders=orders)
 
 
+def placed(raw: DataFrame) -> DataFrame:
+    """Raw postings with ``_loc``, worked out in steps so that no expression is evaluated twice."""
+    raw = raw.withColumn("_place", collapse_whitespace(F.coalesce("location_raw", F.lit(""))))
+    raw = raw.withColumn("_region", N.state_of(F.col("_place"))).withColumn("_own", N.country_of(F.col("_place")))
+    return raw.withColumn("_loc", N.location(F.col("_place"), F.col("country_hint"), F.col("_region"), F.col("_own")))
+
+
 def normalised(raw: DataFrame) -> DataFrame:
     """Raw postings in one shape: location, workplace, employment type, authority, identity, text.
 
@@ -60,7 +67,8 @@ def normalised(raw: DataFrame) -> DataFrame:
     """
     title, place, text = F.col("title"), F.col("location_raw"), F.col("description")
     headline = F.concat_ws(" ", F.nullif(title, F.lit("")), F.nullif(place, F.lit("")))
-    loc = N.location(place, F.col("country_hint"))
+    raw = placed(raw)
+    loc = F.col("_loc")
     country = F.coalesce(loc["country"], N.country_of(F.concat_ws("\n", title, place)))
     job = raw.select(
         "ingest_seq",
@@ -80,6 +88,6 @@ def normalised(raw: DataFrame) -> DataFrame:
         N.workplace(F.col("workplace_hint"), headline, F.substring(text, 1, 4000)).alias("workplace"),
         F.coalesce("employment_type", N.employment_type(F.concat_ws("\n", title, F.substring(text, 1, 2000)))).alias("employment_type"),
         url_authority(F.col("url"), F.col("employer_domain")).alias("authority"),
-        N.identity(F.col("company"), title, place, F.col("country_hint")).alias("identity"),
+        N.identity_of(F.col("company"), title, N.bucket_of(loc)).alias("identity"),
     )
     return job.withColumn("searchable", searchable_text(F.col("title"), F.col("company"), F.col("description"), F.col("location_raw")))

@@ -12,8 +12,8 @@ from millrace.functions.text import content_hash, first_phrase, html_to_text, pa
 from millrace.functions.urls import canonical_url, url_authority
 from millrace.operators import gates as G
 from millrace.plans import oracle as O
-from millrace.plans import state_queries
-from millrace.plans.postings import normalised, postings
+from millrace.plans import rule_queries, state_queries
+from millrace.plans.postings import normalised, placed, postings
 
 TODAY = date(1998, 1, 1)
 ACCOUNTING = G.Rules(
@@ -78,14 +78,11 @@ def url_authority_tier(spark, sf_dir):
 
 
 def normalize_identity(spark, sf_dir):
-    p = postings(spark, sf_dir)
-    return p.select(
-        "ingest_seq",
-        N.company_key(F.col("company")).alias("company_key"),
-        N.title_key(F.col("title")).alias("title_key"),
-        N.location_bucket(F.col("location_raw"), F.col("country_hint")).alias("bucket"),
-        N.identity(F.col("company"), F.col("title"), F.col("location_raw"), F.col("country_hint")).alias("identity"),
-    )
+    p = placed(postings(spark, sf_dir)).withColumn("bucket", N.bucket_of(F.col("_loc")))
+    company, title = N.company_key(F.col("company")), N.title_key(F.col("title"))
+    p = p.select("ingest_seq", company.alias("company_key"), title.alias("title_key"), "bucket")
+    key = F.concat_ws("|", "company_key", "title_key", "bucket")
+    return p.withColumn("identity", F.substring(F.sha1(key.cast("binary")), 1, 16))
 
 
 def normalized_fields(spark, sf_dir):
@@ -179,5 +176,5 @@ ORACLE_SQL = {
     "phrase_counts": _COUNTS,
 }
 
-QUERIES |= state_queries.QUERIES
-ORACLE_SQL |= state_queries.ORACLE_SQL
+QUERIES |= state_queries.QUERIES | rule_queries.QUERIES
+ORACLE_SQL |= state_queries.ORACLE_SQL | rule_queries.ORACLE_SQL
