@@ -77,10 +77,11 @@ def _counted(keys: list[np.ndarray], extras: list[np.ndarray]) -> list[bytes]:
     return [x.tobytes() for x in np.split(out, np.cumsum([len(x) for x in keys])[:-1])]
 
 
-SETS = "doc_id long, row_key long, n long, kept array<long>, prefix array<long>, limits array<long>, leads array<long>"
+SETS = "doc_id long, row_key long, n long, kept array<long>, prefix array<struct<token:long,after:long>>, limits array<long>, leads array<long>"
 _SETS = pa.schema(
     [("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64())]
-    + [(c, pa.list_(pa.int64())) for c in ("kept", "prefix", "limits", "leads")]
+    + [("kept", pa.list_(pa.int64())), ("prefix", pa.list_(pa.struct([("token", pa.int64()), ("after", pa.int64())])))]
+    + [(c, pa.list_(pa.int64())) for c in ("limits", "leads")]
 )
 
 
@@ -126,7 +127,9 @@ def find_sets(chunks: Chunks, copies: DataFrame) -> DataFrame:
             flipped = [own ^ np.int64(o) for o in ORDERS]
             limits = [int(np.partition(f, size - 1)[size - 1]) for f in flipped[: len(PREFIX_ORDERS)]]
             leads = [int(f.min() ^ np.int64(o)) for f, o in zip(flipped, ORDERS, strict=True)]
-            rows.append((doc_id, row_key, n, own[shared], own[by_count[count[by_count] > 1]], limits, leads))
+            # each with the number of the set's shingles that come after it in this order
+            prefix = [{"token": int(own[i]), "after": n - 1 - at} for at, i in enumerate(by_count) if count[i] > 1]
+            rows.append((doc_id, row_key, n, own[shared], prefix, limits, leads))
         columns = list(zip(*rows, strict=True)) or [[]] * 7
         return pa.table({f.name: pa.array(c, f.type) for f, c in zip(_SETS, columns, strict=True)}, schema=_SETS)
 
@@ -182,12 +185,16 @@ def link(docs: DataFrame) -> DataFrame:
     # prefixes under the order of frequency, where they join different classes
     known = some.join(classes, some["doc_id"] == classes["node"], "left")
     known = known.withColumn("class", F.coalesce("component", "doc_id"))
-    prefixes = cut(known.select("doc_id", "class", "n", F.explode("prefix").alias("token")), "prefixes")
+    prefixes = cut(known.select("doc_id", "class", "n", F.explode("prefix").alias("at")).select("doc_id", "class", "n", "at.*"), "prefixes")
     mixed_tokens = prefixes.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"))
     mixed_tokens = mixed_tokens.filter(F.col("low") != F.col("high")).select("token")
-    x = prefixes.join(mixed_tokens, "token").select("token", F.col("doc_id").alias("a"), F.col("class").alias("class_a"), F.col("n").alias("n_a"))
-    y = x.toDF("token", "b", "class_b", "n_b")
-    close = (F.col("class_a") < F.col("class_b")) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    x = prefixes.join(mixed_tokens, "token").select(
+        "token", F.col("doc_id").alias("a"), F.col("class").alias("class_a"), F.col("n").alias("n_a"), F.col("after").alias("after_a")
+    )
+    y = x.toDF("token", "b", "class_b", "n_b", "after_b")
+    # where the first shared shingle leaves too few behind it, the pair cannot link
+    enough = (100 + PERCENT) * (1 + F.least("after_a", "after_b")) >= PERCENT * (F.col("n_a") + F.col("n_b"))
+    close = (F.col("class_a") < F.col("class_b")) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & enough
     candidates = x.join(y, "token").filter(close).select("a", "b").distinct()
     links = verified(candidates, some, True).unionByName(stars)
 
