@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,22 +12,8 @@ from millrace.operators import gates as G
 from millrace.plans import oracle as O
 from millrace.plans import rule_queries, state_queries
 from millrace.plans.postings import normalised, placed, postings
+from millrace.plans.searches import ACCOUNTING, TODAY
 
-TODAY = date(1998, 1, 1)
-ACCOUNTING = G.Rules(
-    "accounting-remote",
-    titles=["accounts payable specialist", "accountant"],
-    related_titles=["internal auditor", "cash management analyst"],
-    title_excludes=["staff"],
-    seniority_excludes=["senior", "management"],
-    workplace_types=["remote", "hybrid"],
-    excluded_content=["auditing", "security clearance"],
-    keywords=["accounts payable", "CPA", "excel", "audits"],
-    needs_sponsorship=True,
-    employment_types=["full_time", "contract"],
-    salary_min=30000,
-    max_age_days=900,
-)
 WORDS = ["license", "stupid", "idiot", "moron", "the", "and"]
 
 

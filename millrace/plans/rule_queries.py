@@ -8,6 +8,7 @@ from millrace.functions import vocab as V
 from millrace.operators import gates as G
 from millrace.operators.requirement import requirement_context, requirement_outcome
 from millrace.plans import oracle as O
+from millrace.plans.searches import ACCOUNTING, TODAY
 from millrace.plans.postings import normalised, postings
 
 LINK = r"""(?i)(?:href|src|data-src|action)\s*=\s*["']([^"'>\s]+)"""
@@ -43,7 +44,13 @@ SEARCHES = [
     G.Rules("projects", titles=["project manager"], title_excludes=["junior"], workplace_types=["hybrid", "onsite"]),
 ]
 
-QUERIES = {"requirement_context": requirement, "link_extract": link_extract, "many_specs": many_specs}
+def export_why(spark, sf_dir):
+    """The one-line reason of every verdict, as exports have it."""
+    judged = G.evaluate(normalised(postings(spark, sf_dir)), ACCOUNTING, TODAY)
+    return judged.select("ingest_seq", "decision", G.why().alias("why"))
+
+
+QUERIES = {"export_why": export_why, "requirement_context": requirement, "link_extract": link_extract, "many_specs": many_specs}
 
 _NEGATED = "(?i)(?:" + "|".join(V.NEGATION_PATTERNS) + ")"
 _SPECS = " UNION ALL ".join(
@@ -51,7 +58,15 @@ _SPECS = " UNION ALL ".join(
       WHEN {O.has("title", r.titles)} THEN 'match' ELSE 'weak' END AS decision FROM jobs"""
     for r in SEARCHES
 )
+_NAMES = ["title matches a wanted title", "title matches a related title", "keywords present", "preferred workplace", "pay disclosed", "pay above floor", "recently posted", "authoritative employer posting", "unconfirmed requirements"]
+_FAILED = ", ".join(f"CASE WHEN ({o}) = 'fail' THEN {O.q(g + ': ')} || coalesce({e}, '') END" for g, o, e in O.gate_rows(ACCOUNTING))
+_SIGNALS = ", ".join(
+    f"CASE WHEN {c} AND CAST({p} AS DOUBLE) <> 0 THEN {O.q(n + ' ')} || CASE WHEN {p} >= 0 THEN '+' ELSE '' END || CAST(CAST({p} AS DOUBLE) AS VARCHAR) END"
+    for n, (p, c) in zip(_NAMES, O.signal_rows(ACCOUNTING), strict=True)
+)
 ORACLE_SQL = {
+    "export_why": f"""{O.verdicts(ACCOUNTING)} SELECT ingest_seq, decision,
+      array_to_string(list_filter(CASE WHEN decision = 'rejected' THEN [{_FAILED}] ELSE [{_SIGNALS}] END, lambda x: x IS NOT NULL), '; ') AS why FROM verdicts""",
     "requirement_context": f"""WITH p AS ({O.POSTINGS_SQL}),
       c AS (SELECT ingest_seq, description, unnest(string_split_regex(regexp_replace(description, '([.;!?])\\s+', '\\1' || chr(31), 'g'), '[' || chr(31) || '\\n]+')) AS clause FROM p),
       m AS (SELECT *, regexp_matches(clause, {O.q(_NEGATED)}) AS no, regexp_replace(clause, {O.q(_NEGATED)}, ' ', 'g') AS rest FROM c WHERE regexp_matches(clause, '(?i)\\bCPAs?\\b')),

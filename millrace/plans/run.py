@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.operators import cluster, gates, state
 from millrace.operators.tables import cut, shared_dir
 from millrace.plans.postings import normalised, postings
-from millrace.plans.queries import ACCOUNTING, TODAY
+from millrace.plans.searches import ACCOUNTING, TODAY
 
 JOB_FIELDS = ["title", "company", "url", "description", "workplace", "salary_min", "posted_at"]
 
