@@ -14,6 +14,7 @@ of every position through the network. The buckets are dealt in ``BLOCKS`` round
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,19 @@ _SAMPLE_MASK = np.uint64(0xFFFFFFFFFF << 24)  # 40 bits tell sampled strings apa
 _M = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
+SEGMENT = 1 << 14  # positions whose names are computed at once, to stay within a core's cache
+
+
 def _name(load, n: int, salt: int) -> np.ndarray:
     """Names of the ``n``-byte strings whose 8-byte words ``load(offset)`` gives (n is 8 at least)."""
-    h = np.uint64(salt)
-    for k, offset in enumerate([*range(0, n - 7, 8), *([n - 8] if n % 8 else [])]):
-        h = (load(offset) ^ h) * _M[k % 3]
+    h = load(0) ^ np.uint64(salt)
+    for k, offset in enumerate([*range(8, n - 7, 8), *([n - 8] if n % 8 else [])]):
+        h *= _M[k % 3]
         h ^= h >> np.uint64(31)
-    h = h * _M[3]
-    return h ^ (h >> np.uint64(29))
+        h ^= load(offset)
+    h *= _M[3]
+    h ^= h >> np.uint64(29)
+    return h
 
 
 class Text:
@@ -67,20 +73,42 @@ class Text:
         return at, _name(lambda o: self.words[at + o], TAIL, 1) & _SAMPLE_MASK
 
     def suffixes(self, repeated: np.ndarray) -> np.ndarray:
-        """Positions of the suffixes with ``LENGTH`` bytes and a repeated sampled string within them."""
-        marks = np.zeros(self.n + 1, np.int32)
-        marks[repeated + 1] = 1
-        seen = np.cumsum(marks)
-        last = np.minimum(np.arange(self.n) + PERIOD, self.n)
-        return np.flatnonzero((seen[last] > seen[:-1]) & (self.room >= LENGTH))
-
-    def suffix_keys(self, at: np.ndarray) -> np.ndarray:
-        """Highest 16 bits: of the name of the first 31 bytes; the others: of it with the tail's name."""
-        head = _name(lambda o: self.words[at + o], PERIOD, 2)
-        tail = _name(lambda o: self.words[at + PERIOD + o], TAIL, 1)
-        tied = (head ^ (tail * _M[1])) * _M[2]
-        tied ^= tied >> np.uint64(32)
-        return (head & np.uint64(0xFFFF << 48)) | ((tied * _M[0]) >> np.uint64(16))
+        """Which positions are suffixes with ``LENGTH`` bytes and a repeated sampled string within them."""
+        # a position is reached if a repeated sample lies at it or up to PERIOD - 1 further on
+        near = np.zeros(self.n + 1, np.int32)
+        np.add.at(near, np.maximum(repeated - (PERIOD - 1), 0), 1)
+        near[repeated + 1] -= 1
+        return (np.cumsum(near)[:-1] > 0) & (self.room >= LENGTH)
+
+    def suffix_keys(self, alive: np.ndarray, blocks: Iterable[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of the blocks the positions and keys of its suffixes that are alive.
+
+        A key's highest 16 bits are of the name of the first 31 bytes, the others of that name and the
+        tail's. The first 8 bytes choose the block.
+        """
+        out = {b: ([np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]) for b in blocks}
+        for a in range(0, self.n, SEGMENT):
+            size = min(SEGMENT, self.n - a)
+            chosen = alive[a : a + size]
+            if not chosen.any():
+                continue
+            words = self.words[a : a + size + LENGTH - 8].copy()
+            head = _name(lambda o: words[o : o + size], PERIOD, 2)
+            tied = _name(lambda o: words[PERIOD + o : PERIOD + o + size], TAIL, 1)
+            tied *= _M[1]
+            tied ^= head
+            tied *= _M[2]
+            tied ^= tied >> np.uint64(32)
+            tied *= _M[0]
+            tied >>= np.uint64(16)
+            head &= np.uint64(0xFFFF << 48)
+            tied |= head
+            block_of = ((words[:size] * _M[3]) >> np.uint64(33)) * np.uint64(BLOCKS) >> np.uint64(31)
+            for b, (places, keys) in out.items():
+                at = np.flatnonzero(chosen & (block_of == b))
+                places.append(at + a)
+                keys.append(tied[at])
+        return [(np.concatenate(places), np.concatenate(keys)) for places, keys in out.values()]
 
     def document_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, at, side="right")
@@ -103,9 +131,13 @@ def _shared(keys: list[np.ndarray], _) -> list[bytes]:
 def _earlier(keys: list[np.ndarray], _) -> list[bytes]:
     """For each packet, which keys a packet of an earlier chunk holds too."""
     all_keys = np.concatenate(keys)
-    order = np.argsort(all_keys, kind="stable")
-    again = np.zeros(len(order), bool)
-    again[order[1:]] = all_keys[order[1:]] == all_keys[order[:-1]]
+    chunk = np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys])
+    order = np.argsort(all_keys)
+    sorted_keys, chunk = all_keys[order], chunk[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+    earliest = np.repeat(np.minimum.reduceat(chunk, first), np.diff(np.append(first, len(chunk))))
+    again = np.empty(len(order), bool)
+    again[order] = chunk > earliest
     cuts = np.cumsum([len(k) for k in keys])[:-1]
     return [np.packbits(x).tobytes() for x in np.split(again, cuts)]
 
@@ -113,53 +145,75 @@ def _earlier(keys: list[np.ndarray], _) -> list[bytes]:
 def _repeated_samples(text: Text, replies: pa.Table) -> np.ndarray:
     """Positions of sampled strings that another chunk or another place of this chunk holds."""
     at, keys = text.sample()
-    kinds, place, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    elsewhere = answers_in_order(replies, bits_of, bool)
-    return at[(elsewhere | (counts > 1))[place]] if len(kinds) else at
+    if not len(keys):
+        return at
+    order = np.argsort(keys)
+    first, sizes = _runs(keys[order])
+    repeated = np.empty(len(keys), bool)
+    repeated[order] = np.repeat(answers_in_order(replies, bits_of, bool) | (sizes > 1), sizes)
+    return at[repeated]
+
+
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where equal keys begin in a sorted array, and how many there are."""
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]]))
+    return first, np.diff(np.append(first, len(ordered)))
 
 
-def removed_bytes(text: Text, samples: pa.Table, suffixes: pa.Table) -> np.ndarray:
-    """Which bytes of a chunk are covered by a string that starts in an earlier document."""
-    at = text.suffixes(_repeated_samples(text, samples))
+def _kinds(keys: np.ndarray) -> np.ndarray:
+    ordered = np.sort(keys)
+    return ordered[_runs(ordered)[0]]
+
+
+def removed_bytes(text: Text, samples: pa.Table, suffixes: list[pa.Table]) -> np.ndarray:
+    """Which bytes of a chunk are covered by a string that starts in an earlier document.
+
+    ``suffixes`` holds the answers for each block.
+    """
+    alive = text.suffixes(_repeated_samples(text, samples))
     covered = np.zeros(text.n + 1, np.int32)
-    if len(at):
-        kinds, first, place = np.unique(text.suffix_keys(at), return_index=True, return_inverse=True)
-        elsewhere = answers_in_order(suffixes, bits_of, bool)
+    for (at, keys), replies in zip(text.suffix_keys(alive, range(BLOCKS)), suffixes, strict=True):
+        if not len(at):
+            continue
+        order = np.argsort(keys)
+        at = at[order]
+        first, sizes = _runs(keys[order])
         rank = text.rank[text.document_of(at)]
-        gone = at[elsewhere[place] | (rank > rank[first[place]])]
-        np.add.at(covered, gone, 1)
-        np.add.at(covered, gone + LENGTH, -1)
+        earliest = np.minimum.reduceat(rank, first)
+        gone = at[(rank > np.repeat(earliest, sizes)) | np.repeat(answers_in_order(replies, bits_of, bool), sizes)]
+        covered[gone] += 1  # each position is there once
+        covered[gone + LENGTH] -= 1
     return np.cumsum(covered)[:-1] > 0
 
 
 def _suffix_asker(bits: int, block: int):
-    """What asks for the suffixes of a chunk in every ``BLOCKS``-th bucket."""
+    """What asks for the suffixes of a chunk that belong to one block."""
 
     def ask(t: pa.Table, replies: pa.Table) -> pa.Table:
         if not t.num_rows:
             return packets(0, np.zeros(0, np.uint64), bits)
         text = _read(t)
-        keys = np.unique(text.suffix_keys(text.suffixes(_repeated_samples(text, replies))))
-        return packets(t.column("chunk")[0].as_py(), keys, bits, only=lambda b: b % BLOCKS == block)
+        ((_, keys),) = text.suffix_keys(text.suffixes(_repeated_samples(text, replies)), [block])
+        return packets(t.column("chunk")[0].as_py(), _kinds(keys), bits)
 
     return ask
 
 
 def find_repeats(chunks: Chunks) -> DataFrame:
-    """Answers for all chunks: (kind, bucket, chunk, n, data), kind 0 for samples and 1 for suffixes."""
+    """Answers for all chunks: (kind, bucket, chunk, n, data), kind 0 for samples, 1 and on for the blocks of suffixes."""
     bits = chunks.bits
     texts = chunks.table("doc_id", "text")
 
     def ask_samples(t: pa.Table) -> pa.Table:
         _, keys = _read(t).sample()
-        return packets(t.column("chunk")[0].as_py(), np.unique(keys), bits)
+        return packets(t.column("chunk")[0].as_py(), _kinds(keys), bits)
 
     samples = cut(answer(texts.groupBy("chunk").applyInArrow(ask_samples, PACKET), _shared), "cover-sample")
     found = samples.withColumn("kind", F.lit(0))
     release(chunks.spark)
     for block in range(BLOCKS):
         asked = texts.groupBy("chunk").cogroup(samples.groupBy("chunk")).applyInArrow(_suffix_asker(bits, block), PACKET)
-        found = found.unionByName(cut(answer(asked, _earlier), "suffix-block").withColumn("kind", F.lit(1)))
+        found = found.unionByName(cut(answer(asked, _earlier), "suffix-block").withColumn("kind", F.lit(1 + block)))
         del asked
         release(chunks.spark)
     return found
@@ -188,7 +242,8 @@ def remove_repeats(docs: DataFrame, text_out: bool = True) -> DataFrame:
     def apply(t: pa.Table, r: pa.Table) -> pa.Table:
         text = _read(t)
         kind = r.column("kind").to_numpy()
-        gone = removed_bytes(text, r.filter(pa.array(kind == 0)), r.filter(pa.array(kind == 1)))
+        samples, *suffixes = (r.filter(pa.array(kind == k)) for k in range(BLOCKS + 1))
+        gone = removed_bytes(text, samples, suffixes)
         rows: list[tuple] = [()] * len(text.raw)
         for k, (i, raw) in enumerate(zip(text.order, text.raw, strict=True)):
             own = gone[text.ends[k] - text.sizes[k] : text.ends[k]]
