@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, fresh_path
+from .common import delete, fresh_path, release
 
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
@@ -52,6 +52,8 @@ def stage(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Chunks:
     dealt = docs.repartitionByRange(n, "doc_id").withColumn("chunk", F.spark_partition_id())
     name, path = f"chunks_{uuid.uuid4().hex}", fresh_path(spark, "chunks")
     dealt.write.bucketBy(max(1, n // 2), "chunk").option("path", path).saveAsTable(name)
+    del dealt
+    release(spark)  # the shuffled texts are on disk once more until then
     return Chunks(spark, name, path, max(0, min(16, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES)))))))
 
 
@@ -70,16 +72,14 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def packets(chunk: int, keys: np.ndarray, bits: int, extra: np.ndarray | None = None, only=None) -> pa.Table:
+def packets(chunk: int, keys: np.ndarray, bits: int, extra: np.ndarray | None = None) -> pa.Table:
     """Packets of a chunk's sorted different keys; ``extra`` is a byte array (keys, width) sent along.
 
-    Within a packet the bucket's own bits are taken off. ``only`` selects buckets.
+    Within a packet the bucket's own bits are taken off.
     """
     edges = bucket_edges(keys, bits)
     rows = []
     for bucket in np.flatnonzero(np.diff(edges)):
-        if only is not None and not only(int(bucket)):
-            continue
         a, b = edges[bucket], edges[bucket + 1]
         base = np.uint64((int(bucket) << (64 - bits)) if bits else 0)
         data = packed(keys[a:b] - base)
