@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from millrace.functions import normalize as N
 from millrace.functions import vocab as V
 from millrace.functions.text import contains_any, first_phrase, phrases_found
+from millrace.operators.requirement import requirement_context, requirement_outcome
 
 PASS, FAIL, UNKNOWN = "pass", "fail", "unverifiable"
 FLAG, STRICT = "flag", "strict"
@@ -46,6 +47,7 @@ class Rules:
     salary_period: str = "year"
     max_age_days: int | None = None
     needs_sponsorship: bool = False
+    requirements: dict[str, str] = field(default_factory=dict)  # term -> mentioned, required or preferred_or_required
     title_match: str = "rank"
     policy: str = FLAG
     weights: dict[str, float] = field(default_factory=lambda: dict(V.WEIGHTS))
@@ -205,13 +207,26 @@ def ledger(r: Rules, today: date) -> Column:
     return F.filter(F.array(*signals), lambda s: s.isNotNull())
 
 
-def evaluate(postings: DataFrame, r: Rules, today: date) -> DataFrame:
+def requirement_gates(postings: DataFrame, r: Rules, key: str) -> tuple[DataFrame, list[Column]]:
+    """Postings with each barred requirement's reading joined on ``key``, and the gates on them."""
+    gates = []
+    for k, (term, when) in enumerate(r.requirements.items()):
+        read = requirement_context(postings, key, "searchable", term)
+        postings = postings.join(read.toDF(key, f"_context{k}", f"_marker{k}"), key)
+        context = F.col(f"_context{k}")
+        outcome = F.when(_blank(F.col("searchable")), UNKNOWN).otherwise(requirement_outcome(context, when))
+        gates.append(_gate(f"requirement:{term}", outcome, f"must not be {when}: {term}", F.col(f"_marker{k}"), r.policy, context))
+    return postings, gates
+
+
+def evaluate(postings: DataFrame, r: Rules, today: date, key: str = "ingest_seq") -> DataFrame:
     """Normalised postings with gates, decision, signals, score and is_uncertain.
 
     A failed gate rejects, under the strict policy an unverifiable one too; what is rejected has no
     ledger and score 0.
     """
-    gates = compile_gates(r, today)
+    postings, required = requirement_gates(postings, r, key)
+    gates = compile_gates(r, today) + required
     empty = "array<struct<gate:string,outcome:string,rule:string,evidence:string,detail:string,policy:string>>"
     out = postings.withColumn("gates", F.array(*gates) if gates else F.array().cast(empty))
     bad = F.exists("gates", lambda g: (g["outcome"] == FAIL) | ((g["outcome"] == UNKNOWN) & (g["policy"] == STRICT)))
@@ -220,7 +235,8 @@ def evaluate(postings: DataFrame, r: Rules, today: date) -> DataFrame:
     out = out.withColumn("signals", F.when(F.col("decision") == "match", ledger(r, today)).otherwise(none))
     out = out.withColumn("score", F.round(F.aggregate("signals", F.lit(0.0), lambda s, x: s + x["points"]), 2))
     unsure = F.exists("gates", lambda g: g["outcome"] == UNKNOWN)
-    return out.withColumn("is_uncertain", (F.col("decision") == "match") & unsure)
+    out = out.withColumn("is_uncertain", (F.col("decision") == "match") & unsure)
+    return out.drop(*[f"_{c}{k}" for k in range(len(r.requirements)) for c in ("context", "marker")])
 
 
 def _said(g: Column) -> Column:

@@ -80,6 +80,14 @@ def test_requirement_readings(spark):
     assert got == {k: c for k, c in enumerate(want.values())} | {99: "absent"}
 
 
+def test_requirement_gate(spark):
+    rules = gates.Rules(titles=["accountant"], countries=[], requirements={"CPA": "required"})
+    texts = ["Active CPA license required.", "CPA a plus", "Our team includes a CPA.", "Excel"]
+    out = judged(spark, [posting(k, "Accountant", description=t) for k, t in enumerate(texts)], rules)
+    assert [out[k]["gates"][0]["outcome"] for k in range(4)] == ["fail", "pass", "unverifiable", "pass"]
+    assert out[0]["decision"] == "rejected" and out[0]["gates"][0]["evidence"] == "required"
+
+
 def test_clusters_do_not_depend_on_order(spark):
     url = "https://jobs.lever.co/acme/1"
     rows = [
