@@ -100,6 +100,7 @@ def _gather(chunks: Chunks, wanted: DataFrame) -> DataFrame:
 
     asked = texts.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(ask, PACKET)
     totals = cut(answer(asked, _totals, 8), "lm-totals")
+    del asked  # else its shuffle files stay
     release(chunks.spark)
     return totals
 
