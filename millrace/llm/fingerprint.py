@@ -1,12 +1,14 @@
 """Homomorphic multiset fingerprints of documents.
 
-A text is the multiset of its paragraphs (lines). Every paragraph hashes to a wide vector of 16-bit
-lanes, and a text's fingerprint is the sum of its paragraphs' vectors modulo 2^16: the order of the
+A text is the multiset of its paragraphs (lines). Every paragraph hashes to a wide vector of 32-bit
+lanes, and a text's fingerprint is the sum of its paragraphs' vectors modulo 2^32: the order of the
 paragraphs does not matter, and adding or subtracting one paragraph's vector inserts or deletes it.
 The first ``EQUAL`` lanes are uniform hash bits, so that different multisets have different sums. The
 other ``ALIKE`` lanes hold a signed count of the paragraph's words (16 bytes from every word's start, up
 to the paragraph's end); they add up in the same way, and the cosine of two sums estimates how much of
-the texts is shared.
+the texts is shared. Of a word longer than 16 bytes, such as a line without blanks, further grams of 16
+bytes count: of any ``STEP`` that follow each other the one with the smallest hash, so that every byte is
+in some gram and the choice moves with the text.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 EQUAL, ALIKE = 32, 256
 LANES = EQUAL + ALIKE
 BUCKET_BYTES = 4 << 20
+GRAM, STEP, BLOCK = 16, 8, 1 << 18
 
 _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)  # masks for the first k bytes
 _K0, _K1, _K2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -30,14 +33,51 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(9, 14)]] = True
 
 
+def _hashes(loads: np.ndarray, at: np.ndarray, left: np.ndarray | int) -> np.ndarray:
+    """Hashes of the ``left`` bytes (up to ``GRAM``) from each place."""
+    h = (loads[at] & _KEEP[np.minimum(left, 8)]) * _K0
+    h ^= h >> np.uint64(32)
+    h = (h ^ (loads[at + 8] & _KEEP[np.maximum(left - 8, 0)])) * _K1
+    h ^= h >> np.uint64(29)
+    h *= _K2
+    return h ^ (h >> np.uint64(32))
+
+
+def _inner_grams(loads: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the chosen grams within words longer than ``GRAM``, without their first.
+
+    Among equal hashes of one window (a run of one letter) a place divisible by ``STEP`` wins, so that a
+    run counts as often as other text. ``BLOCK`` grams are hashed at a time, with ``STEP`` - 1 more on
+    either side.
+    """
+    ends = np.cumsum(lengths - GRAM + 1)  # of each word's grams, among those of all words
+    total, around = int(ends[-1]) if len(ends) else 0, STEP - 1
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for low in range(0, total, BLOCK):
+        k = np.arange(max(0, low - around), min(total, low + BLOCK + around))
+        word = np.searchsorted(ends, k, side="right")
+        inside = k - ends[word] + lengths[word] - GRAM + 1
+        at = starts[word] + inside
+        h = _hashes(loads, at, GRAM)
+        rank = h & ~np.uint64(STEP - 1) | (inside % STEP).astype(np.uint64)
+        slot = k - k[0] + (word - word[0] + 1) * around  # no window holds grams of two words
+        least = np.full(slot[-1] + STEP + around, ~np.uint64(0))
+        least[slot] = rank
+        least = np.lib.stride_tricks.sliding_window_view(least, STEP).min(1)
+        least = np.lib.stride_tricks.sliding_window_view(least, STEP).max(1)[slot - around]
+        chosen = (least == rank) & (inside > 0) & (k >= low) & (k < low + BLOCK)
+        found.append((at[chosen], h[chosen]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
 def fingerprints(texts: list[bytes]) -> np.ndarray:
-    """One row of ``LANES`` 16-bit sums for each UTF-8 text."""
-    out = np.zeros((len(texts), LANES), np.uint16)
+    """One row of ``LANES`` 32-bit sums for each UTF-8 text."""
+    out = np.zeros((len(texts), LANES), np.uint32)
     if not texts:
         return out
     for k, text in enumerate(texts):
         lanes = [hashlib.blake2b(p, digest_size=2 * EQUAL).digest() for p in text.split(b"\n")]
-        out[k, :EQUAL] = np.frombuffer(b"".join(lanes), "<u2").reshape(-1, EQUAL).sum(0, dtype=np.uint16)
+        out[k, :EQUAL] = np.frombuffer(b"".join(lanes), "<u2").reshape(-1, EQUAL).sum(0, dtype=np.uint32)
     joined = b"\n".join(texts) + b"\n" + bytes(16)
     data = np.frombuffer(joined, np.uint8)[:-16]
     blank = _BLANK[data]
@@ -45,20 +85,17 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     if not len(at):
         return out
     paragraph_ends = np.flatnonzero(data == 10)
-    left = np.minimum(paragraph_ends[np.searchsorted(paragraph_ends, at)] - at, 16)
+    left = np.minimum(paragraph_ends[np.searchsorted(paragraph_ends, at)] - at, GRAM)
+    lengths = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]])) - at
     loads = np.ndarray((len(data) + 8,), "<u8", joined, 0, (1,))
-    h = (loads[at] & _KEEP[np.minimum(left, 8)]) * _K0
-    h ^= h >> np.uint64(32)
-    h = (h ^ (loads[at + 8] & _KEEP[np.maximum(left - 8, 0)])) * _K1
-    h ^= h >> np.uint64(29)
-    h *= _K2
-    h ^= h >> np.uint64(32)
+    more, h = _inner_grams(loads, at[lengths > GRAM], lengths[lengths > GRAM])
+    h = np.concatenate([_hashes(loads, at, left), h])
     text_ends = np.cumsum([len(t) + 1 for t in texts])
-    text_of = np.searchsorted(text_ends, at, side="right")
+    text_of = np.searchsorted(text_ends, np.concatenate([at, more]), side="right")
     cell = text_of * ALIKE + (h & np.uint64(ALIKE - 1)).astype(np.int64)
     sign = 1 - 2 * ((h >> np.uint64(20)) & np.uint64(1)).astype(np.int64)
     sums = np.bincount(cell, weights=sign, minlength=len(texts) * ALIKE)
-    out[:, EQUAL:] = sums.astype(np.int64).astype(np.uint16).reshape(-1, ALIKE)
+    out[:, EQUAL:] = sums.astype(np.int64).astype(np.uint32).reshape(-1, ALIKE)
     return out
 
 
@@ -74,14 +111,14 @@ def delete(fingerprint: np.ndarray, paragraph: bytes) -> np.ndarray:
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, 1 for equal fingerprints, else the cosine of the counting lanes, from 0 to 1."""
-    x, y = (v[:, EQUAL:].astype(np.int16).astype(np.float64) for v in (a, b))
+    x, y = (v[:, EQUAL:].astype(np.int32).astype(np.float64) for v in (a, b))
     size = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     cosine = np.clip((x * y).sum(1) / np.maximum(size, 1e-9), 0.0, 1.0)
     return np.where((a == b).all(1), 1.0, cosine)
 
 
 def encoded(fingerprint: np.ndarray) -> str:
-    return base64.b64encode(fingerprint.astype("<u2").tobytes()).decode()
+    return base64.b64encode(fingerprint.astype("<u4").tobytes()).decode()
 
 
 def edited_text(text: str, following: str) -> str:

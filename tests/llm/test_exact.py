@@ -258,6 +258,33 @@ def test_fingerprints_are_sums():
     assert (fingerprint.insert(c, b"one two") == a).all() and (fingerprint.delete(a, b"one two") == c).all()
 
 
+def test_every_byte_of_a_long_word_counts(monkeypatch):
+    rng = np.random.default_rng(7)
+    one, two = ("".join(map(chr, rng.integers(0x4E00, 0x9FFF, 3000))) for _ in range(2))
+    like = lambda a, b: fingerprint.likeness(*(fingerprint.fingerprints([t.encode()]) for t in (a, b)))[0]
+    assert 0.3 < like(one, one[:1500] + two[:1500]) < 0.7  # its first bytes alone: 1
+    assert like(one[:6] + two, one) < 0.3  # 1
+    assert like("x" + one, one) > 0.95  # about 0
+    plain = fingerprint.fingerprints([one.encode(), b"a b", ("=" * 400).encode(), two.encode()])
+    monkeypatch.setattr(fingerprint, "BLOCK", 37)
+    assert (fingerprint.fingerprints([one.encode(), b"a b", ("=" * 400).encode(), two.encode()]) == plain).all()
+    for length in (*range(17, 60), 400):  # whatever byte changes, some gram does
+        word = bytes(rng.integers(33, 127, length, np.uint8))
+        for k in range(length):
+            other = word[:k] + b"~" + word[k + 1 :] if word[k] != 126 else word[:k] + b"!" + word[k + 1 :]
+            x, y = fingerprint.fingerprints([word, other])[:, fingerprint.EQUAL :]
+            assert (x != y).any(), (length, k)
+    x, y = fingerprint.fingerprints([b"one " + one.encode() + b"\ntwo", b"two\none " + one.encode()])
+    assert (x == y).all()
+
+
+def test_counts_of_a_very_long_text():
+    a, b = (fingerprint.fingerprints([t]) for t in (b"one\n" * 40_000, b"one\n" * 20_000))
+    assert fingerprint.likeness(a, b)[0] > 0.99
+    x, y = fingerprint.fingerprints([b"one\n" * 2**16, b""])[:, : fingerprint.EQUAL]
+    assert (x != y).any()
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), unique=True, max_size=50))
 def test_packed_keys_come_back(keys):
