@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,6 +127,19 @@ def best_of_block(q_ids, q, bound, c_ids, c, k: int = K) -> list[tuple[int, int,
     return out
 
 
+def _pairs(dealt: DataFrame, by: Column, repeated: DataFrame) -> DataFrame:
+    """Every pair of two tables' blocks of one dim, made where it is searched.
+
+    The blocks of ``dealt`` are dealt by ``by`` into as many shares as there are shuffle partitions, and
+    those of ``repeated`` go to each share, so that no task meets all pairs of a dim and no pair is moved.
+    """
+    shares = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))
+    left = dealt.withColumn("share", F.pmod(by, F.lit(shares)).cast("int")).repartition(shares, "dim", "share")
+    right = repeated.withColumn("share", every).repartition(shares, "dim", "share")
+    return left.join(right, ["dim", "share"]).drop("share")
+
+
 def _search(pairs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -177,8 +190,8 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
         F.col("data").alias("q_data"),
         unbounded("ids").alias("bounds"),
     )
-    first = q.join(c_blocks.filter(F.col("place") <= FIRST_BLOCKS), "dim")
-    found = cut(_top(_search(first.repartition("q_bucket", "q_part", "place"), k), k), "topk-first")
+    first = _pairs(q, F.xxhash64("q_bucket", "q_part"), c_blocks.filter(F.col("place") <= FIRST_BLOCKS))
+    found = cut(_top(_search(first, k), k), "topk-first")
     bounds = found.filter(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
 
     def with_bounds(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -195,8 +208,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     schema = "dim int, q_bucket long, q_part long, q_ids binary, q_data binary, bounds binary"
     q = q.groupBy("q_bucket", "q_part").cogroup(placed.groupBy("q_bucket", "q_part")).applyInArrow(with_bounds, schema)
     q = cut(q, "topk-bounded")
-    rest = q.join(c_blocks.filter(F.col("place") > FIRST_BLOCKS), "dim")
-    more = _search(rest.repartition("q_bucket", "q_part", "place"), k)
+    more = _search(_pairs(c_blocks.filter(F.col("place") > FIRST_BLOCKS), F.col("place"), q), k)
     out = _top(found.drop("rank").unionByName(more), k)
     return out.select("query_id", "rank", "vec_id", "score")
 

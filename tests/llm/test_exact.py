@@ -186,6 +186,21 @@ def test_search_against_all_products(spark, monkeypatch):
     assert topk.search(few, few).count() == 6
 
 
+def test_pairs_of_one_dim_are_made_in_many_tasks(spark):
+    dealt = spark.createDataFrame([(8, k) for k in range(40)], "dim int, place long")
+    repeated = spark.createDataFrame([(8, k) for k in range(6)], "dim int, q long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        pairs = topk._pairs(dealt, F.col("place"), repeated).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted((r["place"], r["q"]) for r in pairs) == [(a, b) for a in range(40) for b in range(6)]
+    tasks = Counter(r["task"] for r in pairs)
+    assert len(tasks) > 4 and max(tasks.values()) < len(pairs) / 2
+
+
 def test_pieces_and_places(spark):
     path = packing.default_tokenizer()
     rows = [*corpus(3, 60), (500, "it's 12!! don't _a_ É'sch <|endoftext|> x"), (500, "ＡＢＣ ﬁ İ ²½ ñ"), (None, "The the"), (501, "a\x1cb ć")]
