@@ -62,8 +62,8 @@ def placed(raw: DataFrame) -> DataFrame:
 def normalised(raw: DataFrame) -> DataFrame:
     """Raw postings in one shape: location, workplace, employment type, authority, identity, text.
 
-    The workplace comes from the source, else from title and location, else from the description's first
-    4,000 characters; the country never from the description.
+    The workplace comes from the source, else from title and location, else from the description; the
+    country never from the description.
     """
     title, place, text = F.col("title"), F.col("location_raw"), F.col("description")
     headline = F.concat_ws(" ", F.nullif(title, F.lit("")), F.nullif(place, F.lit("")))
@@ -85,8 +85,8 @@ def normalised(raw: DataFrame) -> DataFrame:
         collapse_whitespace(title).alias("title"),
         collapse_whitespace(F.col("company")).alias("company"),
         F.struct(loc["raw"].alias("raw"), loc["city"].alias("city"), loc["region"].alias("region"), country.alias("country")).alias("location"),
-        N.workplace(F.col("workplace_hint"), headline, F.substring(text, 1, 4000)).alias("workplace"),
-        F.coalesce("employment_type", N.employment_type(F.concat_ws("\n", title, F.substring(text, 1, 2000)))).alias("employment_type"),
+        N.workplace(F.col("workplace_hint"), headline, text).alias("workplace"),
+        F.coalesce("employment_type", N.employment_type(F.concat_ws("\n", title, text))).alias("employment_type"),
         url_authority(F.col("url"), F.col("employer_domain")).alias("authority"),
         N.identity_of(F.col("company"), title, N.bucket_of(loc)).alias("identity"),
     )

@@ -160,7 +160,7 @@ def within_source_dedup(spark, sf_dir):
 
 
 def salary_extract(spark, sf_dir):
-    p = postings(spark, sf_dir).select("ingest_seq", pay(F.substring("description", 1, 6000)).alias("p"))
+    p = postings(spark, sf_dir).select("ingest_seq", pay(F.col("description")).alias("p"))
     return p.select("ingest_seq", "p.minimum", "p.maximum", "p.currency", "p.period", N.annualized(F.col("p.minimum"), F.col("p.period")).alias("yearly"))
 
 

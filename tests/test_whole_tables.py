@@ -7,6 +7,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from millrace.plans import queries, state_queries
+from millrace.plans.postings import normalised
+
+from .test_operators import RAW, posting
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,3 +64,14 @@ def test_every_order_enters_a_run_of_jobs(spark):
         for r in rows.values():
             r["posted_at"] = days(r["posted_at"])
     assert got == want
+
+
+def test_descriptions_are_read_to_their_end(spark, monkeypatch):
+    filler = "Own the ledger and close the books. " * 300
+    rows = [posting(1, "Clerk", location_raw="", description=filler + "The pay range is $70,000 - $90,000 per year. This is a fully remote role. It is a part-time job.")]
+    raw = spark.createDataFrame(rows, RAW)
+    job = normalised(raw).first()
+    assert (job["workplace"], job["employment_type"]) == ("remote", "part_time")
+    monkeypatch.setattr(state_queries, "postings", lambda spark, sf_dir: raw)
+    found = state_queries.salary_extract(spark, SF).first()
+    assert (found["minimum"], found["maximum"], found["currency"], found["period"]) == (70000, 90000, "USD", "year")
