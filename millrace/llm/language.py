@@ -21,10 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, whole_texts
 from .words import Words, in_blocks, mixed, words_of
 
 SAMPLE_ROWS = 2_500  # texts that the field learns from at most
+SAMPLE_BYTES = 64 << 20  # of all these texts
 ROWS = 1 << 16  # of the weight table
 EPOCHS, BATCH_CHARS, RATE = 1, 300_000, 0.3
 RELABEL_FROM = 0.9
@@ -175,11 +176,11 @@ def fit(texts: list[str | None], langs: list[str]) -> Field:
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Field:
-    """Fit on up to ``rows`` texts whose language is known and whose id is not held out."""
+    """Fit on up to ``rows`` texts of ``SAMPLE_BYTES`` whose language is known and whose id is not held out."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` ids
-    table = sample.toPandas()
+    table = whole_texts(sample, SAMPLE_BYTES).toPandas()
     table = table[np.array([has_letter(t) for t in table["text"]], bool)].sort_values(["doc_id", "lang", "text"], kind="stable")
     return fit(table["text"].tolist(), table["lang"].tolist())
 

@@ -18,11 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, whole_texts
 from .quality import labelled_sample
 from .words import Words, in_blocks, words_of
 
 SAMPLE_ROWS = 12_000  # labelled rows that the network learns from at most
+SAMPLE_BYTES = 64 << 20  # of all these texts
 BUCKETS, DIM = 1 << 17, 8
 WIDTHS, FILTERS = (1, 2, 3), 6
 EPOCHS, BATCH, RATE = 4, 64, 0.05
@@ -229,11 +230,11 @@ def fit(texts: list[str | None], y: np.ndarray, langs: list[str | None]) -> Netw
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
-    """Fit on up to ``rows`` labelled documents; their language only calibrates, it is no input."""
+    """Fit on up to ``rows`` labelled documents of ``SAMPLE_BYTES``; their language only calibrates, it is no input."""
     sample = labelled_sample(docs, labels, "toxic", rows)
     ids = docs.select("doc_id", "lang").join(F.broadcast(sample.select("doc_id").distinct()), "doc_id")
     langs = ids.groupBy("doc_id").agg(F.max("lang").alias("lang"))
-    table = sample.join(langs, "doc_id").toPandas().sort_values(["doc_id", "text"], kind="stable")
+    table = whole_texts(sample, SAMPLE_BYTES).join(langs, "doc_id").toPandas().sort_values(["doc_id", "text"], kind="stable")
     return fit(table["text"].tolist(), (table["y"].to_numpy() > 0).astype(int), table["lang"].tolist())
 
 

@@ -1,5 +1,7 @@
 """Held-out accuracy of the learned operators, and their odd inputs."""
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +96,21 @@ def test_forward_backward_against_all_paths():
     total = sum(weights.values())
     for k in range(3):
         assert p[1 + k, 1] == pytest.approx(sum(w for path, w in weights.items() if path[k] == 1) / total)
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark, monkeypatch):
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5][:40]
+    rows = [(i, "en" if i % 2 else "de", f"text {i}") for i in ids]
+    rows += [(ids[0], "en", f"again {k}") for k in range(500)] + [(ids[1], "de", "long " * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, i % 3 == 0) for i in ids], "doc_id long, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, langs: seen.update(toxic=texts))
+    monkeypatch.setattr(language, "fit", lambda texts, langs: seen.update(language=texts))
+    for most, n in ((1 << 30, 40), (1000, 39)):
+        monkeypatch.setattr(toxicity, "SAMPLE_BYTES", most)
+        monkeypatch.setattr(language, "SAMPLE_BYTES", most)
+        toxicity.train(docs, labels)
+        language.train(docs)
+        for texts in seen.values():
+            assert len(texts) in (n, 40) and sum(map(len, texts)) <= most
