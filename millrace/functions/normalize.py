@@ -11,27 +11,31 @@ from .text import any_pattern, collapse_whitespace, contains_any, first_phrase,
 CITY_STATE = r"([A-Za-z .'-]+),\s*([A-Z]{2})\b"
 
 
-def _by_phrase(text: Column, codes: dict[str, str]) -> Column:
-    """The code of the longest phrase that occurs, else null.
+def _by_phrase(text: Column, codes: dict[str, str], longest: bool = False) -> Column:
+    """The code of the first phrase of the table that occurs, else null; with ``longest`` of the longest one.
 
-    Longer phrases come first in the pattern, so that "west virginia" is not read as "virginia"; the
-    phrase found is looked up in a constant map, which keeps the expression small.
+    Longer phrases come first in the pattern, so that no part of one is read instead of it; the phrase
+    found is looked up in a constant map of places in the order, which keeps the expression small.
     """
-    ordered = sorted(codes, key=lambda p: (-len(p), p))
-    table = F.create_map(*[F.lit(x) for p in ordered for x in (p, codes[p])])
-    hits = F.regexp_extract_all(text, F.lit(any_pattern(ordered)), F.lit(0))
+    by_length = sorted(codes, key=lambda p: (-len(p), p))
+    order = by_length if longest else list(codes)
+    places = F.create_map(*[F.lit(x) for k, p in enumerate(order) for x in (p, k)])
+    hits = F.regexp_extract_all(text, F.lit(any_pattern(by_length)), F.lit(0))
     plain = F.transform(hits, lambda h: F.regexp_replace(F.lower(h), r"[\s\-/]+", " "))
-    best = F.array_max(F.transform(plain, lambda h: F.struct(F.length(h).alias("n"), F.try_element_at(table, h).alias("code"))))
-    return best["code"]
+    best = F.array_min(F.transform(plain, lambda h: F.try_element_at(places, h)))
+    return F.get(F.array(*[F.lit(codes[p]) for p in order]), best)
 
 
 def state_of(raw: Column) -> Column:
     code = F.regexp_extract(raw, CITY_STATE, 2)
-    return F.coalesce(F.when(code.isin(sorted(V.US_STATES.values())), code), _by_phrase(raw, V.US_STATES))
+    return F.coalesce(F.when(code.isin(sorted(V.US_STATES.values())), code), _by_phrase(raw, V.US_STATES, True))
 
 
 def country_of(text: Column) -> Column:
-    """US phrases, then "City, ST", then state names, then other countries, then regions; else null."""
+    """US phrases, then "City, ST", then state names, then other countries, then regions; else null.
+
+    Of several countries the first of the table wins, wherever it stands in the text.
+    """
     code = F.regexp_extract(text, CITY_STATE, 2)
     return F.coalesce(
         F.when(contains_any(text, V.US_PHRASES), F.lit("US")),

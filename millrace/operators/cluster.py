@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.urls import canonical_url
+from millrace.operators.components import components
 from millrace.operators.tables import cut
 
 
@@ -30,21 +31,15 @@ def signals(postings: DataFrame) -> DataFrame:
 def clusters(postings: DataFrame) -> DataFrame:
     """(ingest_seq, cluster): the smallest ingest_seq that shared signals reach, whatever the order.
 
-    Every round passes the smallest label through each signal and then takes the label of that
-    label. A signal that many postings share is one row of an aggregation and a side of a join that
-    adaptive execution can split.
+    Every posting is linked to the first one of each of its signals, which joins the same postings as all
+    pairs would and keeps a signal that many share one row of an aggregation and a side of a join that
+    adaptive execution can split. Postings without a link are done.
     """
-    edges = cut(signals(postings).distinct(), "signals")
-    labels = cut(postings.select("ingest_seq", F.col("ingest_seq").alias("cluster")), "clusters")
-    while True:
-        least = edges.join(labels, "ingest_seq").groupBy("signal").agg(F.min("cluster").alias("least"))
-        heard = edges.join(least, "signal").groupBy("ingest_seq").agg(F.min("least").alias("heard"))
-        new = labels.join(heard, "ingest_seq", "left").select("ingest_seq", F.col("cluster").alias("old"), F.least("cluster", F.coalesce("heard", "cluster")).alias("cluster"))
-        over = new.select(F.col("ingest_seq").alias("cluster"), F.col("cluster").alias("next"))
-        new = cut(new.join(over, "cluster", "left").select("ingest_seq", "old", F.coalesce("next", "cluster").alias("cluster")), "clusters")
-        if new.filter("old <> cluster").limit(1).count() == 0:
-            return new.select("ingest_seq", "cluster")
-        labels = new.select("ingest_seq", "cluster")
+    told = cut(signals(postings).distinct(), "signals")
+    heads = told.groupBy("signal").agg(F.min("ingest_seq").alias("head"), F.count("*").alias("n")).filter("n > 1")
+    links = told.join(heads, "signal").filter("head <> ingest_seq").select(F.col("head").alias("a"), F.col("ingest_seq").alias("b"))
+    found = components(links).toDF("ingest_seq", "cluster")
+    return postings.select("ingest_seq").join(found, "ingest_seq", "left").select("ingest_seq", F.coalesce("cluster", "ingest_seq").alias("cluster"))
 
 
 def resolve(postings: DataFrame) -> DataFrame:

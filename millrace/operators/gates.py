@@ -17,9 +17,27 @@ from millrace.functions import normalize as N
 from millrace.functions import vocab as V
 from millrace.functions.text import contains_any, first_phrase, phrases_found
 from millrace.operators.requirement import requirement_context, requirement_outcome
+from millrace.operators.tables import cut
 
 PASS, FAIL, UNKNOWN = "pass", "fail", "unverifiable"
 FLAG, STRICT = "flag", "strict"
+CLEARANCES = ["security clearance", "TS/SCI", "top secret clearance"]  # fixed values
+
+
+class Hits:
+    """Expressions that a gate reads more than once, each worked out once as a column of its own."""
+
+    def __init__(self, prefix: str):
+        self.prefix, self.columns = prefix, {}
+
+    def __call__(self, expression: Column) -> Column:
+        name = f"_{self.prefix}{len(self.columns)}"
+        self.columns[name] = expression
+        return F.col(name)
+
+
+def _inline(expression: Column) -> Column:
+    return expression
 
 
 @dataclass
@@ -31,8 +49,14 @@ class Rules:
     related_titles: list[str] = field(default_factory=list)
     title_excludes: list[str] = field(default_factory=list)
     excluded_content: list[str] = field(default_factory=list)
+    excluded_skills: list[str] = field(default_factory=list)
+    responsibilities_exclude: list[str] = field(default_factory=list)
+    deal_breakers: list[str] = field(default_factory=list)
+    shift_exclude: list[str] = field(default_factory=list)
+    exclude_security_clearance: bool = False
     required_keywords: list[str] = field(default_factory=list)
     required_skills: list[str] = field(default_factory=list)
+    required_credentials: list[str] = field(default_factory=list)
     keywords: list[str] = field(default_factory=list)
     responsibilities: list[str] = field(default_factory=list)
     industries: list[str] = field(default_factory=list)
@@ -52,6 +76,16 @@ class Rules:
     policy: str = FLAG
     weights: dict[str, float] = field(default_factory=lambda: dict(V.WEIGHTS))
 
+    @property
+    def barred(self) -> list[str]:
+        """Everything that a posting's text must not mention."""
+        return self.excluded_content + self.excluded_skills + self.responsibilities_exclude + self.deal_breakers + self.shift_exclude
+
+    @property
+    def barred_requirements(self) -> dict[str, str]:
+        clearance = {term: "required" for term in CLEARANCES} if self.exclude_security_clearance else {}
+        return clearance | self.requirements
+
 
 def _gate(name: str, outcome: Column, rule: str, evidence: Column, policy: str = FLAG, detail: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
@@ -69,18 +103,25 @@ def _blank(text: Column) -> Column:
     return F.coalesce(F.trim(text), F.lit("")) == ""
 
 
-def phrase_excludes(name: str, text: Column, phrases: list[str], policy: str, inflect=True, unverifiable=True) -> Column:
+def phrase_excludes(name: str, text: Column, phrases: list[str], policy: str, inflect=True, unverifiable=True, keep=_inline) -> Column:
     """Fails on the first listed phrase that occurs."""
-    hit = first_phrase(text, phrases, inflect)
+    hit = keep(first_phrase(text, phrases, inflect))
     outcome = F.when(hit.isNotNull(), FAIL)
     if unverifiable:
         outcome = F.when(_blank(text), UNKNOWN).when(hit.isNotNull(), FAIL)
     return _gate(name, outcome.otherwise(PASS), f"must not mention: {', '.join(phrases)}", hit, policy)
 
 
-def phrase_requires(name: str, text: Column, phrases: list[str], policy: str = FLAG) -> Column:
+def title_includes(title: Column, phrases: list[str], policy: str = FLAG) -> Column:
+    """Passes on any listed phrase as it is written; no field of a search asks for this gate."""
+    hit = first_phrase(title, phrases)
+    outcome = F.when(_blank(title), UNKNOWN).when(hit.isNotNull(), PASS).otherwise(FAIL)
+    return _gate("title_includes", outcome, f"title must mention one of: {', '.join(phrases)}", hit, policy)
+
+
+def phrase_requires(name: str, text: Column, phrases: list[str], policy: str = FLAG, keep=_inline) -> Column:
     """Passes on any listed phrase."""
-    hit = first_phrase(text, phrases, True)
+    hit = keep(first_phrase(text, phrases, True))
     outcome = F.when(_blank(text), UNKNOWN).when(hit.isNotNull(), PASS).otherwise(FAIL)
     return _gate(name, outcome, f"must mention one of: {', '.join(phrases)}", hit, policy)
 
@@ -90,8 +131,8 @@ def membership(name: str, value: Column, allowed: list[str], unknown: Column, po
     return _gate(name, outcome, f"must be one of: {', '.join(allowed)}", value, policy)
 
 
-def seniority_excludes(title: Column, barred: list[str], policy: str) -> Column:
-    levels = N.seniority_levels(title)
+def seniority_excludes(title: Column, barred: list[str], policy: str, keep=_inline) -> Column:
+    levels = keep(N.seniority_levels(title))
     hits = F.filter(levels, lambda x: x.isin(barred))
     outcome = F.when(F.size(levels) == 0, UNKNOWN).when(F.size(hits) > 0, FAIL).otherwise(PASS)
     shown = F.when(F.size(hits) > 0, F.array_join(hits, ", ")).otherwise(F.array_join(levels, ", "))
@@ -111,22 +152,22 @@ def freshness(posted: Column, today: date, most: int, policy: str) -> Column:
     return _gate("freshness", outcome, f"posted within {most} days", F.concat(age.cast("string"), F.lit("d old")), policy)
 
 
-def location_gate(loc: Column, workplace: Column, places: list[str], remote_exempt: bool, policy: str) -> Column:
+def location_gate(loc: Column, workplace: Column, places: list[str], remote_exempt: bool, policy: str, keep=_inline) -> Column:
     where = F.concat_ws(" ", loc["raw"], loc["city"], loc["region"])
-    hit = first_phrase(where, places)
+    hit = keep(first_phrase(where, places))
     exempt = (workplace == "remote") if remote_exempt else F.lit(False)
     outcome = F.when(exempt, PASS).when(_blank(where), UNKNOWN).when(hit.isNotNull(), PASS).otherwise(FAIL)
     return _gate("location", outcome, f"must be in: {', '.join(places)}", hit, policy)
 
 
-def employment_gate(value: Column, allowed: list[str], policy: str) -> Column:
-    label = N.employment_label(value)
+def employment_gate(value: Column, allowed: list[str], policy: str, keep=_inline) -> Column:
+    label = keep(N.employment_label(value))
     return membership("employment_type", label, allowed, label.isNull(), policy)
 
 
-def sponsorship(text: Column, policy: str) -> Column:
+def sponsorship(text: Column, policy: str, keep=_inline) -> Column:
     """A refusal beats an offer; silence says nothing."""
-    no, yes = first_phrase(text, V.SPONSORSHIP_REFUSALS), first_phrase(text, V.SPONSORSHIP_OFFERS)
+    no, yes = keep(first_phrase(text, V.SPONSORSHIP_REFUSALS)), keep(first_phrase(text, V.SPONSORSHIP_OFFERS))
     outcome = F.when(no.isNotNull(), FAIL).when(yes.isNotNull(), PASS).otherwise(UNKNOWN)
     return _gate("sponsorship", outcome, "employer must be willing to sponsor a visa", F.coalesce(no, yes), policy)
 
@@ -135,40 +176,47 @@ def searchable_text(title: Column, company: Column, description: Column, raw_loc
     return F.concat_ws("\n", *[F.nullif(c, F.lit("")) for c in (title, company, description, raw_location)])
 
 
-def compile_gates(r: Rules, today: date) -> list[Column]:
-    """The gates of a search over normalised postings, in a fixed order."""
+def compile_gates(r: Rules, today: date, keep=_inline, only: str = "all") -> list[Column]:
+    """The gates of a search over normalised postings, in a fixed order.
+
+    ``keep`` may give names to expressions that gates read more than once (see ``Hits``). ``only`` chooses
+    the gates on short fields or those on the whole text, which cost most.
+    """
     title, text, place = F.col("title"), F.col("searchable"), F.col("location")
-    p, out = r.policy, []
-    makers: list[tuple[object, Callable[[], Column]]] = [
-        (r.title_excludes, lambda: phrase_excludes("title_excludes", title, r.title_excludes, p, unverifiable=False)),
-        (r.seniority_excludes, lambda: seniority_excludes(title, r.seniority_excludes, p)),
+    p = r.policy
+    short: list[tuple[object, Callable[[], Column]]] = [
+        (r.title_excludes, lambda: phrase_excludes("title_excludes", title, r.title_excludes, p, unverifiable=False, keep=keep)),
+        (r.seniority_excludes, lambda: seniority_excludes(title, r.seniority_excludes, p, keep)),
         (r.workplace_types, lambda: membership("workplace", F.col("workplace"), r.workplace_types, F.col("workplace") == "unknown", p)),
         (r.countries, lambda: membership("country", place["country"], r.countries, place["country"].isNull(), p)),
-        (r.locations, lambda: location_gate(place, F.col("workplace"), r.locations, "remote" in r.workplace_types, p)),
-        (r.company_excludes, lambda: phrase_excludes("company_excludes", F.col("company"), r.company_excludes, p, inflect=False, unverifiable=False)),
-        (r.title_match == "hard" and r.titles, lambda: phrase_requires("relevance", text, r.titles + r.related_titles + r.responsibilities, p)),
-        (r.required_keywords, lambda: phrase_requires("required_keywords", text, r.required_keywords)),
-        (r.required_skills, lambda: phrase_requires("required_skills", text, r.required_skills)),
-        (r.excluded_content, lambda: phrase_excludes("excluded_content", text, r.excluded_content, p)),
-        (r.needs_sponsorship, lambda: sponsorship(text, p)),
-        (r.employment_types, lambda: employment_gate(F.col("employment_type"), r.employment_types, p)),
+        (r.locations, lambda: location_gate(place, F.col("workplace"), r.locations, "remote" in r.workplace_types, p, keep)),
+        (r.company_excludes, lambda: phrase_excludes("company_excludes", F.col("company"), r.company_excludes, p, inflect=False, unverifiable=False, keep=keep)),
+    ]
+    whole = [
+        (r.title_match == "hard" and (r.titles + r.related_titles + r.responsibilities), lambda: phrase_requires("relevance", text, r.titles + r.related_titles + r.responsibilities, p, keep)),
+        (r.required_keywords, lambda: phrase_requires("required_keywords", text, r.required_keywords, keep=keep)),
+        (r.required_skills, lambda: phrase_requires("required_skills", text, r.required_skills, keep=keep)),
+        (r.required_credentials, lambda: phrase_requires("required_credentials", text, r.required_credentials, keep=keep)),
+        (r.barred, lambda: phrase_excludes("excluded_content", text, r.barred, p, keep=keep)),
+        (r.needs_sponsorship, lambda: sponsorship(text, p, keep)),
+    ]
+    last = [
+        (r.employment_types, lambda: employment_gate(F.col("employment_type"), r.employment_types, p, keep)),
         (r.salary_min, lambda: salary_floor(F.col("salary_min"), F.col("salary_period"), r.salary_min, r.salary_period, p)),
         (r.max_age_days is not None, lambda: freshness(F.col("posted_at"), today, r.max_age_days, p)),
     ]
-    for wanted, make in makers:
-        if wanted:
-            out.append(make())
-    return out
+    makers = {"all": short + whole + last, "short": short + last, "whole": whole}[only]
+    return [make() for wanted, make in makers if wanted]
 
 
 def _signal(name: str, points: Column, evidence: Column, when: Column) -> Column:
     return F.when(when, F.struct(F.lit(name).alias("name"), F.round(points, 2).alias("points"), F.coalesce(evidence, F.lit("")).alias("evidence")))
 
 
-def ledger(r: Rules, today: date) -> Column:
+def ledger(r: Rules, today: date, keep=_inline) -> Column:
     """array<struct<name, points, evidence>> of what speaks for and against a posting."""
     w, title, text, place = r.weights, F.col("title"), F.col("searchable"), F.col("location")
-    hit, related = first_phrase(title, r.titles), first_phrase(title, r.related_titles)
+    hit, related = keep(first_phrase(title, r.titles)), keep(first_phrase(title, r.related_titles))
     signals = [
         _signal("title matches a wanted title", F.lit(w["title_match"]), hit, hit.isNotNull()),
         _signal("title matches a related title", F.lit(w["related_title_match"]), related, hit.isNull() & related.isNotNull()),
@@ -181,15 +229,15 @@ def ledger(r: Rules, today: date) -> Column:
     ]
     for name, phrases, weight, most in kinds:
         if phrases:
-            found = phrases_found(text, phrases, most)
+            found = keep(phrases_found(text, phrases, most))
             signals.append(_signal(name, F.size(found) * F.lit(weight), F.array_join(found, ", "), F.size(found) > 0))
     if r.companies:
-        own = first_phrase(F.col("company"), r.companies)
+        own = keep(first_phrase(F.col("company"), r.companies))
         signals.append(_signal("target employer", F.lit(w["target_company_match"]), own, own.isNotNull()))
     if r.workplace_types:
         signals.append(_signal("preferred workplace", F.lit(w["preferred_workplace"]), F.col("workplace"), F.col("workplace") == r.workplace_types[0]))
     if r.locations:
-        there = first_phrase(F.concat_ws(" ", N.location_display(place), place["raw"]), r.locations)
+        there = keep(first_phrase(F.concat_ws(" ", N.location_display(place), place["raw"]), r.locations))
         signals.append(_signal("preferred location", F.lit(w["preferred_location"]), there, there.isNotNull()))
     low = F.col("salary_min")
     yearly = N.annualized(low, F.col("salary_period"))
@@ -210,7 +258,7 @@ def ledger(r: Rules, today: date) -> Column:
 def requirement_gates(postings: DataFrame, r: Rules, key: str) -> tuple[DataFrame, list[Column]]:
     """Postings with each barred requirement's reading joined on ``key``, and the gates on them."""
     gates = []
-    for k, (term, when) in enumerate(r.requirements.items()):
+    for k, (term, when) in enumerate(r.barred_requirements.items()):
         read = requirement_context(postings, key, "searchable", term)
         postings = postings.join(read.toDF(key, f"_context{k}", f"_marker{k}"), key)
         context = F.col(f"_context{k}")
@@ -219,24 +267,67 @@ def requirement_gates(postings: DataFrame, r: Rules, key: str) -> tuple[DataFram
     return postings, gates
 
 
+_GATES = "array<struct<gate:string,outcome:string,rule:string,evidence:string,detail:string,policy:string>>"
+_SIGNALS = "array<struct<name:string,points:double,evidence:string>>"
+
+
+def rejects(gates: Column) -> Column:
+    """A failed gate rejects, under the strict policy an unverifiable one too."""
+    return F.exists(gates, lambda g: (g["outcome"] == FAIL) | ((g["outcome"] == UNKNOWN) & (g["policy"] == STRICT)))
+
+
 def evaluate(postings: DataFrame, r: Rules, today: date, key: str = "ingest_seq") -> DataFrame:
     """Normalised postings with gates, decision, signals, score and is_uncertain.
 
-    A failed gate rejects, under the strict policy an unverifiable one too; what is rejected has no
-    ledger and score 0.
+    All gates are evaluated whatever the others say; what is rejected has no ledger and score 0.
     """
+    given = postings.columns
     postings, required = requirement_gates(postings, r, key)
-    gates = compile_gates(r, today) + required
-    empty = "array<struct<gate:string,outcome:string,rule:string,evidence:string,detail:string,policy:string>>"
-    out = postings.withColumn("gates", F.array(*gates) if gates else F.array().cast(empty))
-    bad = F.exists("gates", lambda g: (g["outcome"] == FAIL) | ((g["outcome"] == UNKNOWN) & (g["policy"] == STRICT)))
-    out = out.withColumn("decision", F.when(bad, "rejected").otherwise("match"))
-    none = F.array().cast("array<struct<name:string,points:double,evidence:string>>")
-    out = out.withColumn("signals", F.when(F.col("decision") == "match", ledger(r, today)).otherwise(none))
+    hits, told = Hits("hit"), Hits("sign")
+    gates = compile_gates(r, today, hits) + required
+    out = postings.withColumns(hits.columns) if hits.columns else postings
+    out = out.withColumn("gates", F.array(*gates) if gates else F.array().cast(_GATES))
+    out = out.withColumn("decision", F.when(rejects(F.col("gates")), "rejected").otherwise("match"))
+    match = F.col("decision") == "match"
+    signals = ledger(r, today, lambda e: told(F.when(match, e)))
+    out = out.withColumns(told.columns) if told.columns else out
+    out = out.withColumn("signals", F.when(match, signals).otherwise(F.array().cast(_SIGNALS)))
     out = out.withColumn("score", F.round(F.aggregate("signals", F.lit(0.0), lambda s, x: s + x["points"]), 2))
-    unsure = F.exists("gates", lambda g: g["outcome"] == UNKNOWN)
-    out = out.withColumn("is_uncertain", (F.col("decision") == "match") & unsure)
-    return out.drop(*[f"_{c}{k}" for k in range(len(r.requirements)) for c in ("context", "marker")])
+    out = out.withColumn("is_uncertain", match & F.exists("gates", lambda g: g["outcome"] == UNKNOWN))
+    return out.select(*given, "gates", "decision", "signals", "score", "is_uncertain")
+
+
+def matches(postings: DataFrame, r: Rules, today: date, key: str = "ingest_seq") -> DataFrame:
+    """The rows of ``evaluate`` that match.
+
+    Gates on short fields turn postings away before any whole text is read. The judged rest is written
+    before it is filtered once more: a filter above the gates would make Spark work them out twice.
+    """
+    hits = Hits("short")
+    gates = compile_gates(r, today, hits, "short")
+    if gates:
+        given = postings.columns
+        postings = postings.withColumns(hits.columns) if hits.columns else postings
+        postings = postings.filter(~rejects(F.array(*gates))).select(*given)
+    return cut(evaluate(postings, r, today, key), "judged").filter("decision = 'match'")
+
+
+def evaluate_all(postings: DataFrame, searches: list[Rules], today: date, key: str = "ingest_seq") -> DataFrame:
+    """(key, search, decision) for every posting and search: all searches in one scan of the postings.
+
+    The searches are few and sit in the plan; their names should differ.
+    """
+    hits, verdicts = Hits("of"), []
+    for k, r in enumerate(searches):
+        context = [(f"_context{k}_{n}", f"_marker{k}_{n}", term, when) for n, (term, when) in enumerate(r.barred_requirements.items())]
+        for of, marker, term, _ in context:
+            postings = postings.join(requirement_context(postings, key, "searchable", term).toDF(key, of, marker), key)
+        gates = compile_gates(r, today, hits)
+        gates += [_gate(f"requirement:{t}", F.when(_blank(F.col("searchable")), UNKNOWN).otherwise(requirement_outcome(F.col(c), w)), "", F.col(m), r.policy) for c, m, t, w in context]
+        decision = F.when(rejects(F.array(*gates)), "rejected").otherwise("match") if gates else F.lit("match")
+        verdicts.append(F.struct(F.lit(r.name).alias("search"), decision.alias("decision")))
+    out = postings.withColumns(hits.columns) if hits.columns else postings
+    return out.select(key, F.explode(F.array(*verdicts)).alias("v")).select(key, "v.search", "v.decision")
 
 
 def _said(g: Column) -> Column:

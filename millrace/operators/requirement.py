@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import vocab as V
-from millrace.functions.text import any_pattern, pattern, phrase_core
+from millrace.functions.text import any_pattern, escaped, pattern
+from millrace.operators.tables import over_distinct, spread
 
 REQUIRED, PREFERRED, AMBIGUOUS, UNSTATED, ABSENT = "required", "preferred", "ambiguous", "unstated", "absent"
 BREAK = r"(?<=[.;!?])\s+|\n+"
@@ -44,10 +45,17 @@ def requirement_context(docs: DataFrame, key: str, text: str, term: str) -> Data
     Every mention is read in its clause: the nearer of what demands and what prefers wins, equal
     distance is ambiguous; "no ... required" and the like prefer. Without a marker the heading above
     decides. Over mentions, required beats ambiguous, preferred and unstated. Null and empty texts and
-    those without the term are ``absent``. One row for each row of ``docs``.
+    those without the term are ``absent``. One row for each row of ``docs``; each different text is read once.
     """
+    rows = docs.select(F.col(key), F.col(text).alias("_text"))
+    read = over_distinct(rows, ["_text"], lambda values: _read(values, term), "requirement")
+    return read.select(key, F.coalesce("_best.context", F.lit(ABSENT)).alias("context"), F.col("_best.marker").alias("marker"))
+
+
+def _read(values: DataFrame, term: str) -> DataFrame:
+    """(_digest, _best) for the different texts (_digest, _text) that hold the term."""
     own = pattern(term, True)
-    rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = spread(values, "_digest").select(F.col("_digest").alias("_key"), F.coalesce("_text", F.lit("")).alias("_text"))
     mentions = rows.filter(F.col("_text").rlike(own)).withColumn("_m", F.explode(_starts(F.col("_text"), own)))
     breaks = _starts(F.col("_text"), BREAK)
     mentions = mentions.withColumn("_breaks", breaks)
@@ -77,11 +85,17 @@ def requirement_context(docs: DataFrame, key: str, text: str, term: str) -> Data
     mentions = mentions.withColumn("_must1", must).withColumn("_may1", may)
 
     above = F.substring(F.col("_text"), F.greatest(F.lit(0), F.col("_m.start") - HEADING_REACH) + 1, F.least(F.col("_m.start"), F.lit(HEADING_REACH)))
-    line = r"(?im)^[ \t\-*#]*(?:{})[ \t]*:?[ \t]*$"
+    line = r"(?i)(?:^|\n)[\s\-*#>]{{0,4}}(?:{})\s*[:\-–—]?\s*(?=\n|$)"
 
     def last_heading(headings):
-        core = "|".join(phrase_core(h) for h in sorted(headings, key=lambda h: (-len(h), h)))
-        return F.array_max(F.transform(_starts(F.col("_above"), line.format(core)), lambda h: F.struct(h["end"].alias("end"), F.length(h["hit"]).alias("n"), F.lower(F.trim(h["hit"])).alias("marker"))))
+        # the heading that ends last wins, of those that end alike the longest
+        core = "(?i)(?:" + "|".join(escaped(h) for h in sorted(headings, key=lambda h: (-len(h), h))) + ")"
+
+        def ranked(h):
+            said = F.lower(F.regexp_extract(h["hit"], core, 0))
+            return F.struct((h["start"] + F.length(said)).alias("end"), F.length(said).alias("n"), said.alias("marker"))
+
+        return F.array_max(F.transform(_starts(F.col("_above"), line.format(core[4:])), ranked))
 
     mentions = mentions.withColumn("_above", above)
     mentions = mentions.withColumn("_demands", last_heading(V.REQUIREMENT_HEADINGS)).withColumn("_prefers", last_heading(V.PREFERENCE_HEADINGS))
@@ -103,9 +117,7 @@ def requirement_context(docs: DataFrame, key: str, text: str, term: str) -> Data
     )
     order = F.array_position(F.array(*[F.lit(x) for x in (REQUIRED, AMBIGUOUS, PREFERRED, UNSTATED)]), context)
     read = mentions.select("_key", F.struct(order.alias("o"), F.col("_m.start").alias("at"), context.alias("context"), marker.alias("marker")).alias("r"))
-    best = read.groupBy("_key").agg(F.min("r").alias("r"))
-    out = docs.select(F.col(key)).join(best, F.col(key) == F.col("_key"), "left")
-    return out.select(key, F.coalesce("r.context", F.lit(ABSENT)).alias("context"), F.col("r.marker").alias("marker"))
+    return read.groupBy("_key").agg(F.min("r").alias("_best")).withColumnRenamed("_key", "_digest")
 
 
 def requirement_outcome(context: Column, when: str = "required") -> Column:

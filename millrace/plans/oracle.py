@@ -23,6 +23,11 @@ def first(column: str, phrases: list[str], inflect: bool = False) -> str:
     return f"CASE {cases} END"
 
 
+def in_order(column: str, codes: dict[str, str]) -> str:
+    cases = " ".join(f"WHEN {has(column, [p])} THEN {q(code)}" for p, code in codes.items())
+    return f"CASE {cases} END"
+
+
 def longest(column: str, codes: dict[str, str]) -> str:
     cases = " ".join(f"WHEN {has(column, [p])} THEN {q(codes[p])}" for p in sorted(codes, key=lambda p: (-len(p), p)))
     return f"CASE {cases} END"
@@ -34,7 +39,7 @@ STATES = ", ".join(q(s) for s in sorted(V.US_STATES.values()))
 
 def country(column: str) -> str:
     return f"""CASE WHEN {has(column, V.US_PHRASES)} THEN 'US' WHEN {CODE.format(c=column, g=2)} IN ({STATES}) THEN 'US'
-      WHEN {has(column, list(V.US_STATES))} THEN 'US' ELSE coalesce({longest(column, V.NON_US_COUNTRIES)}, {longest(column, V.NON_US_REGIONS)}) END"""
+      WHEN {has(column, list(V.US_STATES))} THEN 'US' ELSE coalesce({in_order(column, V.NON_US_COUNTRIES)}, {in_order(column, V.NON_US_REGIONS)}) END"""
 
 
 def employment(column: str) -> str:
@@ -84,8 +89,18 @@ def company_key(c: str) -> str:
     return f"coalesce(nullif({words}, ''), {plain})"
 
 
+def stated_pay(text: str) -> str:
+    """Low, high and period of the first range in dollars of a text, for texts that state at most one."""
+    ends = "regexp_extract({}, '\\$([\\d,.]*\\d)(k?)\\s*(?:-|to)\\s*\\$([\\d,.]*\\d)(k?)', ['low', 'lk', 'high', 'hk'])".format(f"regexp_replace({text}, '\\b401\\s*k\\b', ' ', 'gi')")
+    amount = "TRY_CAST(replace({e}.{n}, ',', '') AS DOUBLE) * CASE WHEN {e}.{k} = 'k' THEN 1000 ELSE 1 END"
+    low, high = amount.format(e=ends, n="low", k="lk"), amount.format(e=ends, n="high", k="hk")
+    return f"{{'low': {low}, 'high': {high}, 'period': CASE WHEN {low} IS NOT NULL THEN CASE WHEN {text} LIKE '%per hour%' THEN 'hour' ELSE 'year' END END}}"
+
+
 JOBS = f"""
-raw AS ({POSTINGS_SQL}),
+posted AS ({POSTINGS_SQL}),
+paid AS (SELECT *, {stated_pay("description")} AS said FROM posted),
+raw AS (SELECT * EXCLUDE (said) REPLACE (coalesce(salary_min, said.low) AS salary_min, CASE WHEN salary_min IS NOT NULL THEN salary_period ELSE said.period END AS salary_period) FROM paid),
 place AS (
   SELECT *, {CODE.format(c="location_raw", g=2)} AS code, {CODE.format(c="location_raw", g=1)} AS code_city,
     {longest("location_raw", V.US_STATES)} AS named,
@@ -146,8 +161,8 @@ def gate_rows(r: Rules) -> list[tuple[str, str, str]]:
     if r.required_keywords:
         hit = first("searchable", r.required_keywords, True)
         rows.append(("required_keywords", f"CASE WHEN {hit} IS NOT NULL THEN 'pass' ELSE 'fail' END", hit))
-    if r.excluded_content:
-        hit = first("searchable", r.excluded_content, True)
+    if r.barred:
+        hit = first("searchable", r.barred, True)
         rows.append(("excluded_content", f"CASE WHEN {hit} IS NOT NULL THEN 'fail' ELSE 'pass' END", hit))
     if r.needs_sponsorship:
         no, yes = first("searchable", V.SPONSORSHIP_REFUSALS), first("searchable", V.SPONSORSHIP_OFFERS)

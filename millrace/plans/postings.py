@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import normalize as N
+from millrace.functions.pay import pay
 from millrace.functions.text import collapse_whitespace
 from millrace.functions.urls import url_authority
 from millrace.operators.gates import searchable_text
+from millrace.operators.tables import cut, over_distinct, spread
 
 # The same text runs in Spark and DuckDB; it projects postings out of ``orders``.
 POSTINGS_SQL = """
@@ -52,42 +54,84 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(POSTINGS_SQL.replace("FROM orders", "FROM {orders}"), orders=orders)
 
 
+def _placed(t: DataFrame) -> DataFrame:
+    t = t.withColumn("_place", collapse_whitespace(F.coalesce("location_raw", F.lit(""))))
+    t = t.withColumn("_region", N.state_of(F.col("_place"))).withColumn("_own", N.country_of(F.col("_place")))
+    t = t.withColumn("_loc", N.location(F.col("_place"), F.col("country_hint"), F.col("_region"), F.col("_own")))
+    return t.withColumn("_bucket", N.bucket_of(F.col("_loc"))).drop("_place", "_region", "_own")
+
+
+def _headed(t: DataFrame) -> DataFrame:
+    headline = F.concat_ws(" ", F.nullif("title", F.lit("")), F.nullif("location_raw", F.lit("")))
+    return t.withColumns(
+        {
+            "_title": collapse_whitespace(F.col("title")),
+            "_title_key": N.title_key(F.col("title")),
+            "_head_country": N.country_of(F.concat_ws("\n", "title", "location_raw")),
+            "_head_workplace": F.nullif(N.workplace_in(headline), F.lit("unknown")),
+        }
+    )
+
+
+def _named(t: DataFrame) -> DataFrame:
+    return t.withColumn("_company", collapse_whitespace(F.col("company"))).withColumn("_company_key", N.company_key(F.col("company")))
+
+
+def _described(t: DataFrame) -> DataFrame:
+    return t.withColumn("_text_workplace", N.workplace_in(F.col("description"))).withColumn("_pay", pay(F.col("description")))
+
+
 def placed(raw: DataFrame) -> DataFrame:
-    """Raw postings with ``_loc``, worked out in steps so that no expression is evaluated twice."""
-    raw = raw.withColumn("_place", collapse_whitespace(F.coalesce("location_raw", F.lit(""))))
-    raw = raw.withColumn("_region", N.state_of(F.col("_place"))).withColumn("_own", N.country_of(F.col("_place")))
-    return raw.withColumn("_loc", N.location(F.col("_place"), F.col("country_hint"), F.col("_region"), F.col("_own")))
+    """Raw postings with ``_loc``, ``_bucket`` and the keys of title and company.
+
+    Places, headlines and employers repeat from posting to posting, so that each different one is worked
+    out once.
+    """
+    raw = over_distinct(spread(raw, "ingest_seq"), ["location_raw", "country_hint"], _placed, "places")
+    raw = over_distinct(raw, ["title", "location_raw"], _headed, "headlines")
+    return over_distinct(raw, ["company"], _named, "companies")
 
 
 def normalised(raw: DataFrame) -> DataFrame:
-    """Raw postings in one shape: location, workplace, employment type, authority, identity, text.
+    """Raw postings in one shape: location, workplace, employment type, authority, identity, pay, text.
 
     The workplace comes from the source, else from title and location, else from the description; the
-    country never from the description.
+    country never from the description. Pay that the source does not state is read from the description.
+    Descriptions that are posted again and again are read once. The result is a written table.
     """
-    title, place, text = F.col("title"), F.col("location_raw"), F.col("description")
-    headline = F.concat_ws(" ", F.nullif(title, F.lit("")), F.nullif(place, F.lit("")))
-    raw = placed(raw)
-    loc = F.col("_loc")
-    country = F.coalesce(loc["country"], N.country_of(F.concat_ws("\n", title, place)))
+    title, text, loc = F.col("title"), F.col("description"), F.col("_loc")
+    for name, kind in (("salary_max", "double"), ("salary_currency", "string"), ("apply_url", "string"), ("employer_domain", "string")):
+        if name not in raw.columns:
+            raw = raw.withColumn(name, F.lit(None).cast(kind))
+    raw = over_distinct(placed(raw), ["description"], _described, "descriptions")
+    stated = F.col("salary_min").isNotNull() | F.col("salary_max").isNotNull()
+
+    def money(name, part):
+        return F.when(stated, F.col(name)).otherwise(F.col("_pay")[part]).alias(name)
+
+    identity = F.concat_ws("|", "_company_key", "_title_key", "_bucket")
     job = raw.select(
         "ingest_seq",
         "source",
         "external_id",
         "url",
+        "apply_url",
         "employer_domain",
         "location_raw",
         "country_hint",
         "posted_at",
-        "salary_min",
-        "salary_period",
+        money("salary_min", "minimum"),
+        money("salary_max", "maximum"),
+        money("salary_currency", "currency"),
+        money("salary_period", "period"),
         "description",
-        collapse_whitespace(title).alias("title"),
-        collapse_whitespace(F.col("company")).alias("company"),
-        F.struct(loc["raw"].alias("raw"), loc["city"].alias("city"), loc["region"].alias("region"), country.alias("country")).alias("location"),
-        N.workplace(F.col("workplace_hint"), headline, text).alias("workplace"),
+        F.col("_title").alias("title"),
+        F.col("_company").alias("company"),
+        F.struct(loc["raw"].alias("raw"), loc["city"].alias("city"), loc["region"].alias("region"), F.coalesce(loc["country"], "_head_country").alias("country")).alias("location"),
+        F.coalesce(F.nullif("workplace_hint", F.lit("unknown")), "_head_workplace", "_text_workplace", F.lit("unknown")).alias("workplace"),
         F.coalesce("employment_type", N.employment_type(F.concat_ws("\n", title, text))).alias("employment_type"),
         url_authority(F.col("url"), F.col("employer_domain")).alias("authority"),
-        N.identity_of(F.col("company"), title, N.bucket_of(loc)).alias("identity"),
+        F.substring(F.sha1(identity.cast("binary")), 1, 16).alias("identity"),
     )
-    return job.withColumn("searchable", searchable_text(F.col("title"), F.col("company"), F.col("description"), F.col("location_raw")))
+    job = job.withColumn("searchable", searchable_text(F.col("title"), F.col("company"), F.col("description"), F.col("location_raw")))
+    return cut(job, "normalised")

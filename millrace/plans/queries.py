@@ -62,9 +62,8 @@ def url_authority_tier(spark, sf_dir):
 
 
 def normalize_identity(spark, sf_dir):
-    p = placed(postings(spark, sf_dir)).withColumn("bucket", N.bucket_of(F.col("_loc")))
-    company, title = N.company_key(F.col("company")), N.title_key(F.col("title"))
-    p = p.select("ingest_seq", company.alias("company_key"), title.alias("title_key"), "bucket")
+    p = placed(postings(spark, sf_dir))
+    p = p.select("ingest_seq", F.col("_company_key").alias("company_key"), F.col("_title_key").alias("title_key"), F.col("_bucket").alias("bucket"))
     key = F.concat_ws("|", "company_key", "title_key", "bucket")
     return p.withColumn("identity", F.substring(F.sha1(key.cast("binary")), 1, 16))
 
@@ -95,7 +94,7 @@ def verdicts(spark, sf_dir):
 
 def top_matches(spark, sf_dir):
     """The flagship: the twenty best postings of a search."""
-    judged = G.evaluate(_jobs(spark, sf_dir), ACCOUNTING, TODAY).filter("decision = 'match'")
+    judged = G.matches(_jobs(spark, sf_dir), ACCOUNTING, TODAY)
     best = judged.orderBy(F.desc("score"), F.desc("posted_at"), "ingest_seq").limit(20)
     return best.select("ingest_seq", "identity", "title", "company", "score", "is_uncertain")
 
@@ -126,7 +125,10 @@ def _html_sql() -> str:
 
 
 _HIT = O.first("text", WORDS[:4], True)
-_COUNTS = " UNION ALL ".join(f"SELECT source, {O.q(w)} AS phrase, CAST(sum(len(regexp_extract_all(text, {O.q('(?i)' + O.phrase_core(w))}))) AS BIGINT) AS n_hits FROM documents WHERE lang = 'en' GROUP BY source" for w in WORDS)
+# RE2 knows ASCII word boundaries only: signs are doubled, so that neighbouring hits can each consume theirs
+_DOUBLED = r"regexp_replace(text, '([^\p{L}\p{M}\p{N}\p{Pc}])', '\1\1', 'g')"
+_EDGES = r"(?i)(?:^|[^\p{L}\p{M}\p{N}\p{Pc}])(?:%s)(?:$|[^\p{L}\p{M}\p{N}\p{Pc}])"
+_COUNTS = "WITH d AS (SELECT source, " + _DOUBLED + " AS t FROM documents) " + " UNION ALL ".join(f"SELECT source, {O.q(w)} AS phrase, CAST(sum(len(regexp_extract_all(t, {O.q(_EDGES % w)}))) AS BIGINT) AS n_hits FROM d GROUP BY source" for w in WORDS)
 
 QUERIES = {
     "top_matches": top_matches,

@@ -26,24 +26,18 @@ def link_extract(spark, sf_dir):
 
 
 def many_specs(spark, sf_dir, rules=None):
-    """Every posting against several searches; the rules are few and sit in the plan."""
-    jobs = normalised(postings(spark, sf_dir))
-    title = F.col("title")
-    judged = None
-    for r in rules or SEARCHES:
-        hit = G.first_phrase(title, r.titles)
-        bad = G.contains_any(title, r.title_excludes, True) | ~F.col("workplace").isin([*r.workplace_types, "unknown"])
-        one = jobs.select(F.lit(r.name).alias("search"), F.when(bad, "rejected").when(hit.isNotNull(), "match").otherwise("weak").alias("decision"))
-        judged = one if judged is None else judged.unionByName(one)
+    """Every posting against several searches, with every field of each."""
+    judged = G.evaluate_all(normalised(postings(spark, sf_dir)), rules or SEARCHES, TODAY)
     return judged.groupBy("search", "decision").agg(F.count("*").alias("n"))
 
 
 SEARCHES = [
-    G.Rules("accounting", titles=["accountant", "accounts payable"], title_excludes=["staff", "director"], workplace_types=["remote"]),
-    G.Rules("frontend", titles=["frontend engineer", "web developer"], title_excludes=["senior"], workplace_types=["remote", "hybrid"]),
-    G.Rules("projects", titles=["project manager"], title_excludes=["junior"], workplace_types=["hybrid", "onsite"]),
+    G.Rules("accounting", titles=["accountant", "accounts payable"], title_excludes=["staff", "director"], workplace_types=["remote"], required_keywords=["CPA", "close"]),
+    G.Rules("frontend", titles=["frontend engineer", "web developer"], title_excludes=["senior"], workplace_types=["remote", "hybrid"], salary_min=40000, employment_types=["full_time"]),
+    G.Rules("projects", titles=["project manager"], seniority_excludes=["entry"], workplace_types=["hybrid", "onsite"], countries=[], excluded_content=["visa"], deal_breakers=["wellness stipend"], max_age_days=700),
 ]
 
+
 def export_why(spark, sf_dir):
     """The one-line reason of every verdict, as exports have it."""
     judged = G.evaluate(normalised(postings(spark, sf_dir)), ACCOUNTING, TODAY)
@@ -54,8 +48,7 @@ QUERIES = {"export_why": export_why, "requirement_context": requirement, "link_e
 
 _NEGATED = "(?i)(?:" + "|".join(V.NEGATION_PATTERNS) + ")"
 _SPECS = " UNION ALL ".join(
-    f"""SELECT {O.q(r.name)} AS search, CASE WHEN {O.has("title", r.title_excludes, True)} OR workplace NOT IN ({", ".join(O.q(w) for w in [*r.workplace_types, "unknown"])}) THEN 'rejected'
-      WHEN {O.has("title", r.titles)} THEN 'match' ELSE 'weak' END AS decision FROM jobs"""
+    f"""SELECT {O.q(r.name)} AS search, CASE WHEN {" OR ".join(f"({o}) = 'fail'" for _, o, _ in O.gate_rows(r))} THEN 'rejected' ELSE 'match' END AS decision FROM jobs"""
     for r in SEARCHES
 )
 _NAMES = ["title matches a wanted title", "title matches a related title", "keywords present", "preferred workplace", "pay disclosed", "pay above floor", "recently posted", "authoritative employer posting", "unconfirmed requirements"]

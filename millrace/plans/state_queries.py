@@ -10,6 +10,7 @@ from millrace.functions.pay import pay
 from millrace.operators import cluster as C
 from millrace.operators import registry as R
 from millrace.operators import state as S
+from millrace.operators.tables import over_distinct
 from millrace.plans import oracle as O
 from millrace.plans.postings import normalised, postings
 from millrace.streaming.health import streaming_board_health
@@ -160,7 +161,7 @@ def within_source_dedup(spark, sf_dir):
 
 
 def salary_extract(spark, sf_dir):
-    p = postings(spark, sf_dir).select("ingest_seq", pay(F.col("description")).alias("p"))
+    p = over_distinct(postings(spark, sf_dir).select("ingest_seq", "description"), ["description"], lambda t: t.withColumn("p", pay(F.col("description"))), "pay")
     return p.select("ingest_seq", "p.minimum", "p.maximum", "p.currency", "p.period", N.annualized(F.col("p.minimum"), F.col("p.period")).alias("yearly"))
 
 
@@ -212,7 +213,7 @@ def _run_sql(which: int) -> str:
       SELECT o_orderkey // 4 AS identity, arg_max({{'authority': CAST(1 + o_custkey % 3 AS INTEGER), 'description': o_orderpriority,
         'workplace': CASE WHEN o_custkey % 4 = 0 THEN 'unknown' ELSE 'remote' END, 'salary_min': CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END,
         'posted_at': CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END}}, o_orderkey) AS j
-      FROM orders WHERE o_orderkey % 3 <> {which} AND o_orderkey % 2 = {which % 2} GROUP BY 1)"""
+      FROM orders WHERE CASE WHEN (o_orderkey // 4) % 3 < 2 THEN (o_orderkey // 4) % 3 ELSE o_orderkey % 2 END = {which} GROUP BY 1)"""
 
 
 _CLUSTERS = f"""WITH RECURSIVE {O.JOBS},
