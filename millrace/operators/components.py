@@ -15,14 +15,14 @@ def components(links: DataFrame) -> DataFrame:
     further; then the links are drawn between what their ends turned to, and those within one node go.
     Links, and with them the nodes of the next round, become fewer from round to round, along chains too,
     so that a long chain takes as many rounds as its logarithm. The written turns of all rounds, one
-    after the other, lead a node to its component. Nulls and links of a node to itself link nothing. A
+    after the other, lead a node to its component. Nulls and links of a node to itself name no node. A
     node with many links is a hot key of one aggregation with partial sums and of joins that adaptive
     execution splits; only whether links are left reaches the driver.
     """
     a, b = F.col("a"), F.col("b")
-    known = links.select("a", "b").filter(a.isNotNull() & b.isNotNull())
+    known = links.select("a", "b").filter(a.isNotNull() & b.isNotNull() & (a != b))
     nodes = cut(known.select("a").unionByName(known.select(b.alias("a"))).distinct(), "nodes")
-    left = cut(known.filter(a != b).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    left = cut(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     turns: list[DataFrame] = []
     while not left.isEmpty():
         both = left.unionByName(left.select(b.alias("a"), a.alias("b")))
