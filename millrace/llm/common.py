@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.tables import shared_dir
+
 # Words are maximal runs of anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,17 +41,6 @@ def whole_texts(sample: DataFrame, most_bytes: int) -> DataFrame:
     return each.join(F.broadcast(ids), "doc_id")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees; a temporary one only where none is configured."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(spark, "_millrace_dir", None)
-        if path is None:
-            path = "file://" + tempfile.mkdtemp(prefix="millrace-")
-            spark._millrace_dir = path
-    return path.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -62,7 +52,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,39 +1,68 @@
-"""Asking, for every key that a chunk of documents holds, what all other chunks know of it.
-
-Corpus statistics over keys (shingles, n-grams, byte strings) would need a row for each occurrence.
-Here documents lie in chunks of a few MB (ranges of doc_id, written once as a table bucketed by chunk,
-so that later passes join to it without shuffling texts). A chunk sends its different keys, sorted and
-packed by key bucket; a bucket's task merges what all chunks sent and answers each packet in the same
-order; the chunk makes its keys again and reads the answers. One bucket is in memory at a time. Frequent
-keys count once for each chunk, so that a hot key is no hot task.
+"""Asking, for every item that a chunk of documents holds, what all other chunks know of it.
+
+Corpus statistics over items (shingles, n-grams, byte strings) would need a row for each occurrence.
+Here documents lie in chunks of a few MB (dealt by hash, written once as a table bucketed by chunk, so
+that later passes join to it without shuffling texts). A chunk sends its different items, sorted and
+packed by bucket; a bucket's task merges what all chunks sent and answers each packet in the same order;
+the chunk makes its items again and reads the answers. One bucket is in memory at a time. Frequent items
+count once for each chunk, so that a hot item is no hot task.
+
+A level deals items by ``STEP`` bits of their hash only, so that packets keep their size and number a
+constant for each chunk. Where buckets would still be too large, relays stand between: a relay merges one
+bucket of ``GROUP`` chunks, asks the next level by further bits as if it were a chunk, and hands the
+answers down. Rows thus grow in proportion to the data, times the few levels.
 """
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, fresh_path, release
+from .common import cut, delete, fresh_path, release
 
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
-PACKET = "bucket int, chunk int, n int, data binary"
+MOST_BUCKETS = 10_000  # files of the table of chunks; Spark allows 100,000 at most
+STEP = 8
+GROUP = 256
+PACKET = "bucket long, chunk long, n int, data binary"
+_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
+def give_back(result):
+    """``result``, after memory that this Python worker has freed is handed back to the system.
+
+    Idle workers would otherwise keep what their largest group needed.
+    """
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+    return result
 
 
 @dataclass
 class Chunks:
-    """A written table of documents with their chunk; chunks follow each other in order of doc_id."""
+    """A written table of documents with their chunk."""
 
     spark: SparkSession
     name: str
     path: str
-    bits: int  # key buckets are the 2^bits values of the highest bits of a key
+    levels: list[int]  # the bits by which each level deals
+    key_mask: np.uint64  # enough high bits of a hash to tell the items of this corpus apart, but for a few in a thousand
 
     def table(self, *columns: str) -> DataFrame:
         df = self.spark.table(self.name)
@@ -44,85 +73,157 @@ class Chunks:
         delete(self.spark, self.path)
 
 
-def stage(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Chunks:
-    """Write ``docs`` in chunks; rows of one doc_id share a chunk, null ids come first."""
+def stage(docs: DataFrame, chunk_bytes: int | None = None) -> Chunks:
+    """Write ``docs`` in chunks, dealt by a hash of id and text."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    n = max(1, -(-total // chunk_bytes))
-    dealt = docs.repartitionByRange(n, "doc_id").withColumn("chunk", F.spark_partition_id())
+    n = max(1, -(-total // (chunk_bytes or CHUNK_BYTES)))
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("long"))
+    buckets = max(1, min(MOST_BUCKETS, n // 2))
     name, path = f"chunks_{uuid.uuid4().hex}", fresh_path(spark, "chunks")
-    dealt.write.bucketBy(max(1, n // 2), "chunk").option("path", path).saveAsTable(name)
+    dealt = dealt.repartition(buckets, "chunk")
+    dealt.write.bucketBy(buckets, "chunk").option("path", path).option("compression", "zstd").saveAsTable(name)
     del dealt
     release(spark)  # the shuffled texts are on disk once more until then
-    return Chunks(spark, name, path, max(0, min(16, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES)))))))
+    bits = max(0, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES)))))
+    levels = [STEP] * (bits // STEP) + [bits % STEP] * (bits % STEP > 0)
+    kept = min(64, max(40, int(total).bit_length() + 9))
+    return Chunks(spark, name, path, levels or [0], np.uint64((1 << 64) - (1 << (64 - kept))))
 
 
-def packed(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as differences, one plane of bytes after the other without empty high ones."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    planes = gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T
-    used = max(1, -(-int(gaps.max(initial=0)).bit_length() // 8))
-    return planes[:used].tobytes()
+def planes(values: np.ndarray) -> bytes:
+    """Numbers from 0 as planes of bytes, the empty high ones left out, after their number."""
+    values = np.ascontiguousarray(values, "<u8").reshape(-1)
+    used = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([used]) + np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :used].T).tobytes()
 
 
-def unpacked(data: bytes, n: int) -> np.ndarray:
-    planes = np.zeros((8, n), np.uint8)
-    got = np.frombuffer(data, np.uint8).reshape(-1, n)
-    planes[: len(got)] = got
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+def from_planes(data: bytes, n: int, at: int = 0) -> tuple[np.ndarray, int]:
+    """The ``n`` numbers that are packed from ``at`` on, and where their bytes end."""
+    used, end = data[at], at + 1 + data[at] * n
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :used] = np.frombuffer(data, np.uint8, used * n, at + 1).reshape(used, n).T
+    return out.view("<u8").ravel(), end
 
 
-def packets(chunk: int, keys: np.ndarray, bits: int, extra: np.ndarray | None = None) -> pa.Table:
-    """Packets of a chunk's sorted different keys; ``extra`` is a byte array (keys, width) sent along.
+def table_of(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.table({c: pa.array(v, t) for c, v, t in zip(["bucket", "chunk", "n", "data"], columns, _TYPES, strict=True)})
 
-    Within a packet the bucket's own bits are taken off.
-    """
-    edges = bucket_edges(keys, bits)
-    rows = []
-    for bucket in np.flatnonzero(np.diff(edges)):
-        a, b = edges[bucket], edges[bucket + 1]
-        base = np.uint64((int(bucket) << (64 - bits)) if bits else 0)
-        data = packed(keys[a:b] - base)
-        if extra is not None:
-            data = np.ascontiguousarray(extra[a:b].T).tobytes() + data
-        rows.append((int(bucket), chunk, int(b - a), data))
-    columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.table({c: pa.array(v, t) for c, v, t in zip(["bucket", "chunk", "n", "data"], columns, types, strict=True)})
-
-
-def bucket_edges(keys: np.ndarray, bits: int) -> np.ndarray:
-    """The keys of bucket k are those from edges[k] to edges[k + 1]."""
-    if not bits:
-        return np.array([0, len(keys)])
-    starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.append(np.searchsorted(keys, starts), len(keys))
-
-
-def answer(asked: DataFrame, merge: Callable[[list[np.ndarray], list[np.ndarray]], list[bytes]], width: int = 0) -> DataFrame:
-    """Merge each bucket's packets: ``merge(keys, extras)`` gives one answer for each packet.
-
-    Packets come in order of their chunks; ``width`` is the number of bytes sent along with a key.
-    """
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("chunk")
-        counts, data = t.column("n").to_pylist(), t.column("data").to_pylist()
-        keys = [unpacked(d[width * n :], n) for d, n in zip(data, counts, strict=True)]
-        extras = [np.frombuffer(d, np.uint8, width * n).reshape(width, n).T for d, n in zip(data, counts, strict=True)]
-        return t.set_column(t.schema.get_field_index("data"), "data", pa.array(merge(keys, extras), pa.binary()))
 
-    return asked.groupBy("bucket").applyInArrow(run, PACKET)
-
-
-def answers_in_order(replies: pa.Table, decode: Callable[[bytes, int], np.ndarray], kind) -> np.ndarray:
-    """The answers of one chunk's packets for its sorted keys, bucket after bucket."""
-    if not replies.num_rows:
-        return np.zeros(0, kind)
-    t = replies.sort_by("bucket")
-    parts = [decode(d, n) for d, n in zip(t.column("data").to_pylist(), t.column("n").to_pylist(), strict=True)]
-    return np.concatenate(parts)
+class Sums:
+    """Items are 64-bit keys with ``width`` counts; the answer to a key is the counts' totals.
 
+    A whole is (sorted different keys, (keys, width) counts, the place of each part's keys in it); within a
+    packet the bits of its bucket are taken off the keys, and what is answered is how much a total exceeds
+    the sent count.
+    """
 
-def bits_of(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+    def __init__(self, width: int = 1):
+        self.width = width
+
+    def merged(self, parts):
+        keys = np.concatenate([k for k, _ in parts])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        first = np.flatnonzero(new)
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.cumsum(new) - 1
+        counts = np.concatenate([c for _, c in parts])[order]
+        totals = np.add.reduceat(counts, first, axis=0) if len(first) else counts
+        return keys[first], totals, np.split(place, np.cumsum([len(k) for k, _ in parts])[:-1])
+
+    def split(self, whole, used: int, step: int):
+        keys, counts = whole[:2]
+        starts = np.arange(1 << step, dtype=np.uint64) << np.uint64(64 - used - step) if step else np.zeros(1, np.uint64)
+        edges = np.append(np.searchsorted(keys, starts), len(keys))
+        for sub in np.flatnonzero(np.diff(edges)):
+            a, b = edges[sub], edges[sub + 1]
+            gaps = np.diff(keys[a:b] - starts[sub], prepend=np.uint64(0))
+            yield int(sub), int(b - a), planes(gaps) + b"".join(planes(counts[a:b, k]) for k in range(self.width))
+
+    def read(self, data: bytes, n: int):
+        gaps, at = from_planes(data, n)
+        counts = np.empty((n, self.width), np.int64)
+        for k in range(self.width):
+            counts[:, k], at = from_planes(data, n, at)
+        return np.cumsum(gaps, dtype=np.uint64), counts
+
+    def settle(self, whole):
+        return whole[1]
+
+    def reply(self, whole, answers, k: int, part) -> bytes:
+        excess = answers[whole[2][k]] - part[1]
+        return b"".join(planes(excess[:, w]) for w in range(self.width))
+
+    def heard(self, whole, replies: list[tuple[bytes, int]], used: int, step: int):
+        """The answers for a whole from the replies to its packets, in order of their buckets."""
+        out, at = whole[1].copy(), 0
+        for data, n in replies:
+            end = 0
+            for k in range(self.width):
+                excess, end = from_planes(data, n, end)
+                out[at : at + n, k] += excess.astype(np.int64)
+            at += n
+        return out
+
+
+def ask(codec, chunk: int, whole, levels: list[int]) -> pa.Table:
+    """A chunk's packets."""
+    return table_of([(sub, chunk, n, data) for sub, n, data in codec.split(whole, 0, levels[0])])
+
+
+def _parts(codec, t: pa.Table):
+    t = t.sort_by([("chunk", "ascending"), ("bucket", "ascending")])
+    return t, [codec.read(d, n) for d, n in zip(t.column("data").to_pylist(), t.column("n").to_pylist(), strict=True)]
+
+
+def _answered(codec, t: pa.Table, parts, whole, answers) -> pa.Table:
+    data = pa.array([codec.reply(whole, answers, k, p) for k, p in enumerate(parts)], pa.binary())
+    return t.set_column(t.schema.get_field_index("data"), "data", data)
+
+
+def exchange(asked: DataFrame, codec, levels: list[int], name: str, used: int = 0) -> DataFrame:
+    """The written answers to all packets: rows as they were asked, with answers for ``data``."""
+    spark = asked.sparkSession
+    if len(levels) == 1:
+
+        def merge(t: pa.Table) -> pa.Table:
+            t, parts = _parts(codec, t)
+            whole = codec.merged(parts)
+            return give_back(_answered(codec, t, parts, whole, codec.settle(whole)))
+
+        answers = cut(asked.groupBy("bucket").applyInArrow(merge, PACKET), name)
+        release(spark)
+        return answers
+
+    used, step = used + levels[0], levels[1]
+    held = cut(asked, f"{name}-asked").withColumn("relay", F.floor(F.col("chunk") / GROUP).cast("long"))
+
+    def up(t: pa.Table) -> pa.Table:
+        relay, bucket = t.column("relay")[0].as_py(), t.column("bucket")[0].as_py()
+        _, parts = _parts(codec, t)
+        rows = codec.split(codec.merged(parts), used, step)
+        return give_back(table_of([((bucket << step) + sub, relay, n, data) for sub, n, data in rows]))
+
+    def down(t: pa.Table, r: pa.Table) -> pa.Table:
+        t, parts = _parts(codec, t)
+        whole = codec.merged(parts)
+        answers = codec.heard(whole, replies_of(r), used, step)
+        return give_back(_answered(codec, t, parts, whole, answers).select(["bucket", "chunk", "n", "data"]))
+
+    higher = exchange(held.groupBy("relay", "bucket").applyInArrow(up, PACKET), codec, levels[1:], name, used)
+    higher = higher.select(F.col("chunk").alias("relay"), F.shiftright("bucket", step).alias("of"), "bucket", "n", "data")
+    back = held.groupBy("relay", "bucket").cogroup(higher.groupBy("relay", "of")).applyInArrow(down, PACKET)
+    answers = cut(back, name)
+    del back
+    release(spark)
+    return answers
+
+
+def replies_of(t: pa.Table) -> list[tuple[bytes, int]]:
+    """What ``heard`` takes, for the answers to one chunk."""
+    t = t.sort_by("bucket")
+    return list(zip(t.column("data").to_pylist(), t.column("n").to_pylist(), strict=True))

@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
-from .components import components
-from .exchange import PACKET, Chunks, answer, answers_in_order, packets, stage
+from millrace.operators.components import components
+
+from .common import cut
+from .exchange import PACKET, Chunks, Sums, ask, exchange, give_back, replies_of, stage
 from .words import mixed, words_of
 
 WORDS = 5
@@ -28,7 +29,6 @@ PERCENT = 75
 # a shingle's place in such an order is its hash, with the bits of the number flipped
 ORDERS = tuple(int(x) for x in (0x1B873593CC9E2D51, 0x5851F42D4C957F2D, -0x61C8864680B583EB, -0x2545F4914F6CDD1D, 0x3C6EF372FE94F82B))
 PREFIX_ORDERS = ORDERS[:2]  # used by the filter, besides the frequency
-_KEY_MASK = np.uint64(0xFFFFFFFFFF << 24)  # 40 bits tell shingles apart when they are counted; a clash only costs work
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -64,19 +64,6 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.searchsorted(owner, np.arange(w.n_texts + 1))
 
 
-def _counted(keys: list[np.ndarray], extras: list[np.ndarray]) -> list[bytes]:
-    """For each packet the number of sets with each key in all chunks, up to 255."""
-    all_keys = np.concatenate(keys)
-    order = np.argsort(all_keys, kind="stable")
-    k = all_keys[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    own = np.concatenate([e[:, 0] for e in extras]).astype(np.int64)[order]
-    total = np.minimum(np.add.reduceat(own, first), 255).astype(np.uint8)
-    out = np.empty(len(order), np.uint8)
-    out[order] = np.repeat(total, np.diff(np.append(first, len(k))))
-    return [x.tobytes() for x in np.split(out, np.cumsum([len(x) for x in keys])[:-1])]
-
-
 SETS = "doc_id long, row_key long, n long, kept array<long>, prefix array<struct<token:long,after:long>>, limits array<long>, leads array<long>"
 _SETS = pa.schema(
     [("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64())]
@@ -91,18 +78,16 @@ def find_sets(chunks: Chunks, copies: DataFrame) -> DataFrame:
     ``kept`` are the shingles that other sets have too (no other can be in an intersection). Rows of
     ``copies`` (chunk, row_key) repeat an earlier text and get their size only.
     """
-    bits = chunks.bits
+    levels, mask = chunks.levels, chunks.key_mask
 
-    def ask(t: pa.Table) -> pa.Table:
+    def ask_counts(t: pa.Table) -> pa.Table:
         keys, _ = shingle_sets(t.column("text").to_pylist())
-        kinds, counts = np.unique(keys & _KEY_MASK, return_counts=True)
-        extra = np.minimum(counts, 255).astype(np.uint8)[:, None]
-        return packets(t.column("chunk")[0].as_py(), kinds, bits, extra)
+        kinds, counts = np.unique(keys & mask, return_counts=True)
+        return give_back(ask(Sums(), t.column("chunk")[0].as_py(), (kinds, counts[:, None]), levels))
 
     texts = chunks.table("doc_id", "row_key", "text")
-    counts = cut(answer(texts.groupBy("chunk").applyInArrow(ask, PACKET), _counted, 1), "shingle-counts")
-    release(chunks.spark)
-    kind = F.struct(F.lit(-1).alias("bucket"), "chunk", F.lit(0).alias("n"), F.lit(None).cast("binary").alias("data"), "row_key")
+    counts = exchange(texts.groupBy("chunk").applyInArrow(ask_counts, PACKET), Sums(), levels, "shingle-counts")
+    kind = F.struct(F.lit(-1).cast("long").alias("bucket"), "chunk", F.lit(0).alias("n"), F.lit(None).cast("binary").alias("data"), "row_key")
     skipped = copies.select(kind.alias("r")).select("r.*")
     told = counts.withColumn("row_key", F.lit(None).cast("long")).unionByName(skipped)
 
@@ -110,8 +95,8 @@ def find_sets(chunks: Chunks, copies: DataFrame) -> DataFrame:
         skip = set(r.column("row_key").to_pylist())
         r = r.filter(pa.array(r.column("bucket").to_numpy() >= 0))
         keys, bounds = shingle_sets(t.column("text").to_pylist())
-        kinds, place = np.unique(keys & _KEY_MASK, return_inverse=True)
-        many = answers_in_order(r, lambda d, n: np.frombuffer(d, np.uint8), np.uint8)[place] if len(kinds) else np.zeros(0, np.uint8)
+        kinds, place, own = np.unique(keys & mask, return_inverse=True, return_counts=True)
+        many = Sums().heard((kinds, own[:, None]), replies_of(r), 0, levels[0])[place, 0]
         signed = keys.view(np.int64)
         rows = []
         for k, (doc_id, row_key) in enumerate(zip(t.column("doc_id").to_pylist(), t.column("row_key").to_pylist(), strict=True)):
@@ -131,7 +116,7 @@ def find_sets(chunks: Chunks, copies: DataFrame) -> DataFrame:
             prefix = [{"token": int(own[i]), "after": n - 1 - at} for at, i in enumerate(by_count) if count[i] > 1]
             rows.append((doc_id, row_key, n, own[shared], prefix, limits, leads))
         columns = list(zip(*rows, strict=True)) or [[]] * 7
-        return pa.table({f.name: pa.array(c, f.type) for f, c in zip(_SETS, columns, strict=True)}, schema=_SETS)
+        return give_back(pa.table({f.name: pa.array(c, f.type) for f, c in zip(_SETS, columns, strict=True)}, schema=_SETS))
 
     out = texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(apply, SETS)
     return cut(out, "shingle-sets")

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
-from .exchange import PACKET, Chunks, answer, answers_in_order, packets, stage
+from .common import cut
+from .exchange import PACKET, Chunks, Sums, ask, exchange, give_back, replies_of, stage, table_of
 from .words import Words, mixed, words_of
 
 BIGRAM_SHARE = 0.7  # weight of the bigram estimate where its first word is known
@@ -45,33 +45,27 @@ def _counted(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return kinds, place, counts
 
 
-def _as_bytes(counts: np.ndarray) -> np.ndarray:
-    return counts.astype("<u8").view(np.uint8).reshape(len(counts), -1)[:, [0, 1, 2, 3, 8, 9, 10, 11]]
+class Counts(Sums):
+    """Totals in all and in wanted documents; the first answer of a bucket also tells of its words.
 
+    That is how many different ones there are, how often they occur, and how often in wanted documents.
+    Answers are (totals, these three numbers).
+    """
 
-def _totals(keys: list[np.ndarray], extras: list[np.ndarray]) -> list[bytes]:
-    """For each packet the (keys, 2) totals of all chunks.
+    def __init__(self):
+        super().__init__(2)
 
-    Before them stand three numbers, which are not 0 in the bucket's first packet only: its different
-    words, how often they occur, and how often in wanted documents.
-    """
-    all_keys = np.concatenate(keys)
-    order = np.argsort(all_keys, kind="stable")
-    k = all_keys[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    own = np.concatenate([np.ascontiguousarray(e).view("<u4") for e in extras]).astype(np.int64)[order]
-    total = np.add.reduceat(own, first, axis=0)
-    is_word = k[first] % 2 == 0
-    marks = [np.array([is_word.sum(), *total[is_word].sum(0)], "<u8").tobytes()] + [bytes(24)] * (len(keys) - 1)
-    out = np.empty((len(order), 2), np.int64)
-    out[order] = np.repeat(total, np.diff(np.append(first, len(k))), axis=0)
-    cuts = np.cumsum([len(x) for x in keys])[:-1]
-    planes = [np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(len(x), 16).T) for x in np.split(out, cuts)]
-    return [mark + p.tobytes() for mark, p in zip(marks, planes, strict=True)]
+    def settle(self, whole):
+        is_word = whole[0] % 2 == 0
+        return whole[1], np.array([is_word.sum(), *whole[1][is_word].sum(0)], np.int64)
 
+    def reply(self, whole, answers, k: int, part) -> bytes:
+        head = answers[1] if k == 0 else np.zeros(3, np.int64)
+        return head.astype("<i8").tobytes() + super().reply(whole, answers[0], k, part)
 
-def _decoded(data: bytes, n: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=24).reshape(16, n).T).view("<u8").astype(np.int64)
+    def heard(self, whole, replies, used: int, step: int):
+        heads = np.frombuffer(b"".join(data[:24] for data, _ in replies), "<i8").reshape(-1, 3)
+        return super().heard(whole, [(data[24:], n) for data, n in replies], used, step), heads.sum(0)
 
 
 def losses(word: np.ndarray, before: np.ndarray, pair: np.ndarray, total: float, kinds: float) -> np.ndarray:
@@ -83,12 +77,12 @@ def losses(word: np.ndarray, before: np.ndarray, pair: np.ndarray, total: float,
 
 def _gather(chunks: Chunks, wanted: DataFrame) -> DataFrame:
     """Totals of all keys for the chunks that hold them."""
-    bits = chunks.bits
+    levels = chunks.levels
     texts = chunks.table("doc_id", "text")
 
-    def ask(t: pa.Table, marked: pa.Table) -> pa.Table:
+    def ask_counts(t: pa.Table, marked: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return packets(0, np.zeros(0, np.uint64), bits)
+            return table_of([])
         mark = set(marked.column("doc_id").to_pylist())
         is_wanted = np.array([d in mark for d in t.column("doc_id").to_pylist()], bool)
         w = words_of(t.column("text").to_pylist(), lower=True, accents=False)
@@ -96,22 +90,19 @@ def _gather(chunks: Chunks, wanted: DataFrame) -> DataFrame:
         # words have an even key, pairs an odd one
         keys = np.concatenate([words & ~np.uint64(1), pairs | np.uint64(1)])
         kinds, _, counts = _counted(keys, np.tile(is_wanted[w.text_of], 2))
-        return packets(t.column("chunk")[0].as_py(), kinds, bits, _as_bytes(counts))
+        return give_back(ask(Counts(), t.column("chunk")[0].as_py(), (kinds, counts), levels))
 
-    asked = texts.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(ask, PACKET)
-    totals = cut(answer(asked, _totals, 8), "lm-totals")
-    del asked  # else its shuffle files stay
-    release(chunks.spark)
-    return totals
+    asked = texts.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(ask_counts, PACKET)
+    return exchange(asked, Counts(), levels, "lm-totals")
 
 
 def _sizes(totals: DataFrame) -> DataFrame:
-    """(kinds, all, wanted) of the words, from one mark that each bucket's first packet carries."""
+    """(kinds, all, wanted) of the words, from the numbers that each bucket's first answer carries."""
     head = F.expr("substring(data, 1, 24)")
 
     def read(batches):
         for b in batches:
-            raw = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u8").reshape(-1, 3).astype(np.int64)
+            raw = np.frombuffer(b"".join(b.column(0).to_pylist()), "<i8").reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([pa.array(raw[:, k]) for k in range(3)], ["kinds", "all", "wanted"])
 
     return totals.select(head.alias("head")).mapInArrow(read, "kinds long, all long, wanted long")
@@ -131,14 +122,20 @@ def score(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     totals = _gather(chunks, wanted)
     size = _sizes(totals).agg(*[F.sum(c).alias(c) for c in ("kinds", "all", "wanted")]).first()
     kinds, n_all, n_wanted = (float(size[c] or 0) for c in ("kinds", "all", "wanted"))
+    levels = chunks.levels
+
+    def marked_of(replies: pa.Table) -> list[int]:
+        return replies.filter(pa.array(replies.column("bucket").to_numpy() < 0)).column("doc_id").to_pylist()
 
     def apply(t: pa.Table, replies: pa.Table) -> pa.Table:
         w = words_of(t.column("text").to_pylist(), lower=True, accents=False)
         words, pairs, begins = _keys(w)
         keys = np.concatenate([words & ~np.uint64(1), pairs | np.uint64(1)])
-        kinds_here, place = np.unique(keys, return_inverse=True)
-        got = answers_in_order(replies, _decoded, np.int64)
-        got = got[place] if len(kinds_here) else np.zeros((0, 2), np.int64)
+        mark = set(marked_of(replies))
+        is_wanted = np.array([d in mark for d in t.column("doc_id").to_pylist()], bool)
+        kinds_here, place, counts = _counted(keys, np.tile(is_wanted[w.text_of], 2))
+        told = replies.filter(pa.array(replies.column("bucket").to_numpy() >= 0))
+        got = Counts().heard((kinds_here, counts), replies_of(told), 0, levels[0])[0][place]
         word, pair = got[: len(words)], got[len(words) :]
         before = np.concatenate([np.zeros((min(1, len(word)), 2), np.int64), word[:-1]])
         before[begins] = 0
@@ -149,7 +146,7 @@ def score(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             loss = losses(word[:, k], before[:, k], pair[:, k], total, kinds)
             means.append(np.bincount(w.text_of, loss, w.n_texts) / some)
         none = n_words == 0
-        return pa.table(
+        out = pa.table(
             {
                 "doc_id": t.column("doc_id"),
                 "n_words": pa.array(n_words, pa.int64()),
@@ -158,9 +155,12 @@ def score(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 "score": pa.array(means[0] - means[1], pa.float64(), mask=none),
             }
         )
+        return give_back(out)
 
     texts = chunks.table("doc_id", "text")
-    out = cut(texts.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(apply, SCHEMA), "lm-scores")
+    marks = wanted.select(F.lit(-1).cast("long").alias("bucket"), "chunk", F.lit(0).alias("n"), F.lit(None).cast("binary").alias("data"), "doc_id")
+    told = totals.withColumn("doc_id", F.lit(None).cast("long")).unionByName(marks)
+    out = cut(texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(apply, SCHEMA), "lm-scores")
     chunks.drop()
     return out
 

@@ -1,233 +1,326 @@
 """Suffix-array deduplication: bytes covered by 50-byte strings that start in an earlier document.
 
-A blockwise construction over a difference cover. Modulo 31 the residues of the cover D meet every
-difference, so that any two suffixes that agree on 50 bytes have, at one distance d < 31, both a
-sampled position, and agree there on 19 bytes. The sampled 19-byte strings of all documents are ranked
-first (the cover sample); those that occur once leave every suffix that needs them alone. What is left is
-sorted one bucket of suffixes at a time, a bucket being the suffixes whose first 31 bytes share a
-fingerprint's highest bits. Suffixes that tie on 31 bytes are resolved by the rank of the 19-byte string
-that follows, 31 + 19 = 50, and need no deeper comparison. A rank is a string's 64-bit name: names
-are computed from the bytes by one function wherever they are needed, which spares moving integer ranks
-of every position through the network. The buckets are dealt in ``BLOCKS`` rounds to bound disk space.
+A blockwise construction over a difference cover. Modulo 13 the residues of the cover meet every
+difference, so that any two suffixes that agree on 50 bytes both have, at one distance d < 13, a position
+of the cover (a sampled suffix), and their order is that of the d bytes before it and then of the sampled
+suffixes. So only sampled suffixes travel, and of those only the ones whose first 38 bytes several
+documents hold (asked for by hash first, which can only let too many through).
+
+They are sorted one bucket at a time, a bucket being all sampled suffixes whose first 38 bytes have a hash
+with the same highest bits. One sort by bytes gives the ranks of the sampled suffixes at every depth from
+38 to 50, another the ranks of the 12 bytes before them. Then, for one distance d after the other, the
+suffixes that begin d bytes earlier are sorted by the rank of their d bytes, ties by the precomputed rank
+of the cover sample at depth 50 - d; what ties on both agrees on all 50 bytes, and the earliest document
+is known. Ranks come from comparing bytes, so that every match is certain.
+
+A string that very many documents hold (``HOT``) would fill a bucket with its surroundings. Its suffixes
+travel by themselves instead, 50 bytes each and once for each chunk, dealt by all their bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh_path, release
-from .exchange import PACKET, Chunks, answer, answers_in_order, bits_of, packets, stage
+from .common import fresh_path
+from .exchange import PACKET, Chunks, Sums, ask, exchange, from_planes, give_back, planes, replies_of, stage, table_of
 
 LENGTH = 50
-PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)  # a perfect difference cover
-TAIL = LENGTH - PERIOD
-BLOCKS = 3
-_SAMPLE_MASK = np.uint64(0xFFFFFFFFFF << 24)  # 40 bits tell sampled strings apart; a clash only costs work
+PERIOD, COVER = 13, (0, 1, 3, 9)  # a perfect difference cover
+AROUND = PERIOD - 1  # bytes before a sampled string, and behind it, that a suffix of LENGTH may reach
+SAMPLED = LENGTH - AROUND
+HOT = 20_000  # documents
+# a record: the sampled string, the bytes behind it, how many of them there are, how many before it, those backwards
+BEHIND, BEFORE, WIDTH = LENGTH, LENGTH + 1, 64
+WHOLE = 255  # in place of the number of bytes before: the record is a suffix by itself
 _M = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
-SEGMENT = 1 << 14  # positions whose names are computed at once, to stay within a core's cache
-
-
-def _name(load, n: int, salt: int) -> np.ndarray:
-    """Names of the ``n``-byte strings whose 8-byte words ``load(offset)`` gives (n is 8 at least)."""
-    h = load(0) ^ np.uint64(salt)
+def _name(load, n: int) -> np.ndarray:
+    """Hashes of ``n``-byte strings whose 8-byte words ``load(offset)`` gives (n is 8 at least)."""
+    h = load(0)
     for k, offset in enumerate([*range(8, n - 7, 8), *([n - 8] if n % 8 else [])]):
-        h *= _M[k % 3]
+        h = h * _M[k % 3]
         h ^= h >> np.uint64(31)
         h ^= load(offset)
-    h *= _M[3]
+    h = h * _M[3]
     h ^= h >> np.uint64(29)
-    return h
+    h *= _M[0]
+    return h ^ (h >> np.uint64(32))
 
 
 class Text:
-    """The documents of a chunk in order of their ids, joined, with the names of its strings."""
+    """The documents of a chunk in order of their ids, joined. A null id is the least long."""
 
     def __init__(self, doc_ids: list[int | None], texts: list[str | None]):
-        self.order = sorted(range(len(doc_ids)), key=lambda i: (doc_ids[i] is not None, doc_ids[i] or 0))
+        ids = [-(2**63) if i is None else i for i in doc_ids]
+        self.order = sorted(range(len(ids)), key=ids.__getitem__)
         self.raw = [(texts[i] or "").encode("utf-8") for i in self.order]
-        ids = [doc_ids[i] for i in self.order]
+        self.ids = np.array([ids[i] for i in self.order], np.int64)
         self.sizes = np.array([len(r) for r in self.raw], np.int64)
         self.ends = np.cumsum(self.sizes)
-        # rows of one id have one rank: none of them is earlier than the other
-        new = np.array([k > 0 and ids[k] != ids[k - 1] for k in range(len(ids))], bool)
-        self.rank = np.cumsum(new)
         self.n = int(self.sizes.sum())
-        self.buffer = b"".join(self.raw) + bytes(64)
-        self.room = np.repeat(self.ends, self.sizes) - np.arange(self.n)  # bytes to the document's end
-        self.words = np.ndarray((self.n + 56,), "<u8", self.buffer, 0, (1,))
-
-    def sample(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the cover sample whose strings end within their document, and the strings' keys."""
-        at = (np.arange(0, self.n, PERIOD)[:, None] + np.array(COVER)).ravel()
-        at = at[at < self.n]
-        at = at[self.room[at] >= TAIL]
-        return at, _name(lambda o: self.words[at + o], TAIL, 1) & _SAMPLE_MASK
-
-    def suffixes(self, repeated: np.ndarray) -> np.ndarray:
-        """Which positions are suffixes with ``LENGTH`` bytes and a repeated sampled string within them."""
-        # a position is reached if a repeated sample lies at it or up to PERIOD - 1 further on
-        near = np.zeros(self.n + 1, np.int32)
-        np.add.at(near, np.maximum(repeated - (PERIOD - 1), 0), 1)
-        near[repeated + 1] -= 1
-        return (np.cumsum(near)[:-1] > 0) & (self.room >= LENGTH)
-
-    def suffix_keys(self, alive: np.ndarray, blocks: Iterable[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each of the blocks the positions and keys of its suffixes that are alive.
-
-        A key's highest 16 bits are of the name of the first 31 bytes, the others of that name and the
-        tail's. The first 8 bytes choose the block.
-        """
-        out = {b: ([np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]) for b in blocks}
-        for a in range(0, self.n, SEGMENT):
-            size = min(SEGMENT, self.n - a)
-            chosen = alive[a : a + size]
-            if not chosen.any():
-                continue
-            words = self.words[a : a + size + LENGTH - 8].copy()
-            head = _name(lambda o: words[o : o + size], PERIOD, 2)
-            tied = _name(lambda o: words[PERIOD + o : PERIOD + o + size], TAIL, 1)
-            tied *= _M[1]
-            tied ^= head
-            tied *= _M[2]
-            tied ^= tied >> np.uint64(32)
-            tied *= _M[0]
-            tied >>= np.uint64(16)
-            head &= np.uint64(0xFFFF << 48)
-            tied |= head
-            block_of = ((words[:size] * _M[3]) >> np.uint64(33)) * np.uint64(BLOCKS) >> np.uint64(31)
-            for b, (places, keys) in out.items():
-                at = np.flatnonzero(chosen & (block_of == b))
-                places.append(at + a)
-                keys.append(tied[at])
-        return [(np.concatenate(places), np.concatenate(keys)) for places, keys in out.values()]
+        self.buffer = bytes(AROUND) + b"".join(self.raw) + bytes(LENGTH + 16)
+        self.data = np.frombuffer(self.buffer, np.uint8)
+        self.words = np.ndarray((len(self.buffer) - 7,), "<u8", self.buffer, 0, (1,))
 
     def document_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, at, side="right")
 
-
-def _read(table: pa.Table) -> Text:
-    return Text(table.column("doc_id").to_pylist(), table.column("text").to_pylist())
-
-
-def _shared(keys: list[np.ndarray], _) -> list[bytes]:
-    """For each packet, which keys another packet holds too."""
-    all_keys = np.sort(np.concatenate(keys))
-    twice = np.unique(all_keys[1:][all_keys[1:] == all_keys[:-1]])
-    if not len(twice):
-        return [np.packbits(np.zeros(len(k), bool)).tobytes() for k in keys]
-    at = [np.minimum(np.searchsorted(twice, k), len(twice) - 1) for k in keys]
-    return [np.packbits(twice[i] == k).tobytes() for i, k in zip(at, keys, strict=True)]
-
-
-def _earlier(keys: list[np.ndarray], _) -> list[bytes]:
-    """For each packet, which keys a packet of an earlier chunk holds too."""
-    all_keys = np.concatenate(keys)
-    chunk = np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys])
-    order = np.argsort(all_keys)
-    sorted_keys, chunk = all_keys[order], chunk[order]
-    first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
-    earliest = np.repeat(np.minimum.reduceat(chunk, first), np.diff(np.append(first, len(chunk))))
-    again = np.empty(len(order), bool)
-    again[order] = chunk > earliest
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    return [np.packbits(x).tobytes() for x in np.split(again, cuts)]
-
-
-def _repeated_samples(text: Text, replies: pa.Table) -> np.ndarray:
-    """Positions of sampled strings that another chunk or another place of this chunk holds."""
-    at, keys = text.sample()
-    if not len(keys):
-        return at
-    order = np.argsort(keys)
-    first, sizes = _runs(keys[order])
-    repeated = np.empty(len(keys), bool)
-    repeated[order] = np.repeat(answers_in_order(replies, bits_of, bool) | (sizes > 1), sizes)
-    return at[repeated]
-
-
-def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where equal keys begin in a sorted array, and how many there are."""
-    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]]))
-    return first, np.diff(np.append(first, len(ordered)))
-
-
-def _kinds(keys: np.ndarray) -> np.ndarray:
-    ordered = np.sort(keys)
-    return ordered[_runs(ordered)[0]]
-
-
-def removed_bytes(text: Text, samples: pa.Table, suffixes: list[pa.Table]) -> np.ndarray:
-    """Which bytes of a chunk are covered by a string that starts in an earlier document.
-
-    ``suffixes`` holds the answers for each block.
+    def sample(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sampled positions whose string ends within their document, their documents, and the strings' hashes."""
+        at = (np.arange(0, self.n, PERIOD)[:, None] + np.array(COVER)).ravel()
+        at = at[at < self.n]
+        document = np.repeat(np.arange(len(self.ends)), np.diff(np.searchsorted(at, self.ends), prepend=0))
+        fits = self.ends[document] - at >= SAMPLED
+        at, document = at[fits], document[fits]
+        from_here = at + AROUND
+        return at, document, _name(lambda o: self.words[from_here + o], SAMPLED)
+
+    def _bytes(self, at: np.ndarray, n: int) -> np.ndarray:
+        """The ``n`` bytes from each position on, as rows."""
+        return np.lib.stride_tricks.sliding_window_view(self.data, n)[at + AROUND]
+
+    def records(self, at: np.ndarray, document: np.ndarray) -> np.ndarray:
+        """(positions, WIDTH) bytes for sampled positions; what lies outside their document is 0."""
+        out = np.zeros((len(at), WIDTH), np.uint8)
+        behind = np.minimum(self.ends[document] - at - SAMPLED, AROUND)
+        before = np.minimum(at - (self.ends[document] - self.sizes[document]), AROUND)
+        far = np.arange(AROUND)
+        out[:, :LENGTH] = self._bytes(at, LENGTH)
+        out[:, SAMPLED:LENGTH][far >= behind[:, None]] = 0
+        out[:, BEHIND], out[:, BEFORE] = behind, before
+        out[:, BEFORE + 1 :] = self._bytes(at - AROUND, AROUND)[:, ::-1]
+        out[:, BEFORE + 1 :][far >= before[:, None]] = 0
+        return out
+
+    def whole_suffixes(self, at: np.ndarray) -> np.ndarray:
+        """The records of suffixes that travel by themselves."""
+        out = np.zeros((len(at), WIDTH), np.uint8)
+        out[:, :LENGTH] = self._bytes(at, LENGTH)
+        out[:, BEFORE] = WHOLE
+        return out
+
+
+def _text_of(t: pa.Table) -> Text:
+    return Text(t.column("doc_id").to_pylist(), t.column("text").to_pylist())
+
+
+def distances(records: np.ndarray) -> np.ndarray:
+    """(records,) bit d is set where the suffix that begins d bytes before the sampled string is in the document."""
+    behind, before = records[:, BEHIND].astype(np.int64), records[:, BEFORE].astype(np.int64)
+    least = np.maximum(AROUND - behind, 0)
+    bits = np.where(before >= least, (np.int64(2) << np.minimum(before, AROUND)) - (np.int64(1) << least), 0)
+    return np.where(before == WHOLE, 1, bits).astype(np.uint16)
+
+
+class Repeats(Sums):
+    """For a hash that several documents hold the answer is 1, for one that more than ``hot`` do 2, else 0."""
+
+    def __init__(self, hot: int = HOT):
+        super().__init__()
+        self.hot = hot
+
+    def settle(self, whole):
+        return (whole[1][:, 0] > 1).astype(np.uint8) + (whole[1][:, 0] > max(1, self.hot))
+
+    def reply(self, whole, answers, k: int, part) -> bytes:
+        own = answers[whole[2][k]]
+        return np.packbits(own > 0).tobytes() + np.packbits(own > 1).tobytes()
+
+    def heard(self, whole, replies, used: int, step: int):
+        parts = [np.zeros(0, np.uint8)]
+        for data, n in replies:
+            both = np.frombuffer(data, np.uint8).reshape(2, -1)
+            parts.append(np.unpackbits(both, axis=1, count=n).sum(0, dtype=np.uint8))
+        return np.concatenate(parts)
+
+
+class Suffixes:
+    """Items are records with the least id of a document that holds them.
+
+    The answer to a record has bit d set if an earlier document holds the suffix that begins d bytes
+    before the sampled string. A whole is (records in the order of their bytes, ids, the place of each
+    part's records in it).
     """
-    alive = text.suffixes(_repeated_samples(text, samples))
-    covered = np.zeros(text.n + 1, np.int32)
-    for (at, keys), replies in zip(text.suffix_keys(alive, range(BLOCKS)), suffixes, strict=True):
-        if not len(at):
-            continue
-        order = np.argsort(keys)
-        at = at[order]
-        first, sizes = _runs(keys[order])
-        rank = text.rank[text.document_of(at)]
-        earliest = np.minimum.reduceat(rank, first)
-        gone = at[(rank > np.repeat(earliest, sizes)) | np.repeat(answers_in_order(replies, bits_of, bool), sizes)]
-        covered[gone] += 1  # each position is there once
-        covered[gone + LENGTH] -= 1
-    return np.cumsum(covered)[:-1] > 0
-
-
-def _suffix_asker(bits: int, block: int):
-    """What asks for the suffixes of a chunk that belong to one block."""
-
-    def ask(t: pa.Table, replies: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return packets(0, np.zeros(0, np.uint64), bits)
-        text = _read(t)
-        ((_, keys),) = text.suffix_keys(text.suffixes(_repeated_samples(text, replies)), [block])
-        return packets(t.column("chunk")[0].as_py(), _kinds(keys), bits)
-
-    return ask
-
 
-def find_repeats(chunks: Chunks) -> DataFrame:
-    """Answers for all chunks: (kind, bucket, chunk, n, data), kind 0 for samples, 1 and on for the blocks of suffixes."""
-    bits = chunks.bits
-    texts = chunks.table("doc_id", "text")
-
-    def ask_samples(t: pa.Table) -> pa.Table:
-        _, keys = _read(t).sample()
-        return packets(t.column("chunk")[0].as_py(), _kinds(keys), bits)
+    def merged(self, parts):
+        records = np.concatenate([np.zeros((0, WIDTH), np.uint8), *[r for r, _ in parts]])
+        ids = np.concatenate([np.zeros(0, np.int64), *[i for _, i in parts]])
+        words = records.view(">u8").astype(np.uint64)
+        order = np.lexsort(words.T[::-1])
+        ordered = words[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (ordered[1:] != ordered[:-1]).any(1)
+        first = np.flatnonzero(new)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        least = np.minimum.reduceat(ids[order], first) if len(first) else ids
+        return records[order[first]], least, np.split(place, np.cumsum([len(i) for _, i in parts])[:-1])
+
+    def _dealt(self, records: np.ndarray, used: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Records in the order of their buckets, and where each bucket begins in it."""
+
+        def load(o):
+            return np.ascontiguousarray(records[:, o : o + 8]).view("<u8").ravel()
+
+        deal = np.where(records[:, BEFORE] == WHOLE, _name(load, LENGTH), _name(load, SAMPLED))
+        bucket = ((deal << np.uint64(used)) >> np.uint64(64 - step)).astype(np.int64) if step else np.zeros(len(deal), np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return order, np.searchsorted(bucket[order], np.arange((1 << step) + 1))
+
+    def split(self, whole, used: int, step: int):
+        records, ids = whole[:2]
+        order, edges = self._dealt(records, used, step)
+        packer = zstandard.ZstdCompressor(level=1)
+        for sub in np.flatnonzero(np.diff(edges)):
+            own = order[edges[sub] : edges[sub + 1]]
+            unsigned = ids[own].view(np.uint64) ^ np.uint64(1 << 63)
+            yield int(sub), len(own), packer.compress(planes(unsigned) + records[own].tobytes())
+
+    def read(self, data: bytes, n: int):
+        data = zstandard.ZstdDecompressor().decompress(data)
+        unsigned, at = from_planes(data, n)
+        return np.frombuffer(data, np.uint8, n * WIDTH, at).reshape(n, WIDTH), (unsigned ^ np.uint64(1 << 63)).view(np.int64)
+
+    def settle(self, whole):
+        records, ids = whole[:2]
+        out = np.zeros(len(ids), np.uint16)
+        of = np.flatnonzero(records[:, BEFORE] != WHOLE)  # suffixes by themselves that are here differ from each other
+        if len(of) < 2:
+            return out
+        records, ids, valid = records[of], ids[of], distances(records[of])
+        right = _common(records[:, :LENGTH])
+        backwards = np.zeros((len(of), 16), np.uint8)
+        backwards[:, :AROUND] = records[:, BEFORE + 1 :]
+        words = backwards.view(">u8").astype(np.uint64)
+        by_left = np.lexsort((words[:, 1], words[:, 0]))
+        left = _common(backwards[by_left, :AROUND])
+        for d in range(PERIOD):
+            rank = np.concatenate([[0], np.cumsum(right < LENGTH - d)])
+            some = np.flatnonzero(valid >> d & 1)
+            same = rank[some][1:] == rank[some][:-1]
+            some = some[np.append(False, same) | np.append(same, False)] if len(some) else some
+            if not len(some):
+                continue
+            left_rank = np.empty(len(of), np.int64)
+            left_rank[by_left] = np.concatenate([[0], np.cumsum(left < d)])
+            suffix = left_rank[some] << 32 | rank[some]  # its d bytes, and the rank of the cover sample behind them
+            order = np.argsort(suffix, kind="stable")
+            suffix, some = suffix[order], some[order]
+            first = np.flatnonzero(np.append(True, suffix[1:] != suffix[:-1]))
+            least = np.repeat(np.minimum.reduceat(ids[some], first), np.diff(np.append(first, len(some))))
+            out[of[some[ids[some] > least]]] |= np.uint16(1 << d)
+        return out
+
+    def answers_of(self, whole, answers, k: int, part) -> np.ndarray:
+        """For a part's records: all distances if an earlier document holds the very record."""
+        place = whole[2][k]
+        return np.where(part[1] > whole[1][place], distances(part[0]), answers[place])
+
+    def reply(self, whole, answers, k: int, part) -> bytes:
+        return planes(self.answers_of(whole, answers, k, part))
+
+    def heard(self, whole, replies, used: int, step: int):
+        got = [from_planes(data, n)[0].astype(np.uint16) for data, n in replies]
+        out = np.zeros(len(whole[1]), np.uint16)
+        if got:
+            out[self._dealt(whole[0], used, step)[0]] = np.concatenate(got)
+        return out
+
+
+def _common(ordered: np.ndarray) -> np.ndarray:
+    """How many bytes each row, but the first, shares with the one before it."""
+    differs = np.ones((max(0, len(ordered) - 1), ordered.shape[1] + 1), bool)
+    differs[:, :-1] = ordered[1:] != ordered[:-1]
+    return differs.argmax(1)
+
+
+class Sample:
+    """The cover sample of a chunk: occurrences, and the different hashes with their number of documents."""
+
+    def __init__(self, text: Text, mask: np.uint64):
+        self.at, self.document, name = text.sample()
+        keys = name & mask
+        self.order = np.argsort(keys, kind="stable")
+        keys, document = keys[self.order], self.document[self.order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        new_document = new.copy()
+        new_document[1:] |= document[1:] != document[:-1]
+        self.first = np.flatnonzero(new)
+        n = np.add.reduceat(new_document.astype(np.int64), self.first) if len(keys) else np.zeros(0, np.int64)
+        self.whole = keys[self.first], n[:, None]
+
+    def flags(self, replies: list[tuple[bytes, int]], levels: list[int]) -> np.ndarray:
+        """For every occurrence the answer to its hash."""
+        told = Repeats().heard(self.whole, replies, 0, levels[0])
+        out = np.empty(len(self.at), np.uint8)
+        out[self.order] = np.repeat(told, np.diff(np.append(self.first, len(self.at))))
+        return out
+
+
+def local_records(text: Text, sample: Sample, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, records, ids) of the sampled suffixes that several documents may hold."""
+    at, document = sample.at[flags == 1], sample.document[flags == 1]
+    hot, of = sample.at[flags == 2], sample.document[flags == 2]
+    begin = (hot[:, None] - np.arange(PERIOD)).ravel()
+    of = np.repeat(of, PERIOD)
+    fits = (begin >= text.ends[of] - text.sizes[of]) & (begin + LENGTH <= text.ends[of])
+    begin = np.unique(begin[fits])
+    records = np.concatenate([text.records(at, document), text.whole_suffixes(begin)])
+    return np.append(at, begin), records, text.ids[np.append(document, text.document_of(begin))]
+
+
+def removed_bytes(text: Text, at: np.ndarray, distance_bits: np.ndarray) -> np.ndarray:
+    """Which bytes are covered by the suffixes of LENGTH bytes that begin at the given distances before ``at``."""
+    starts = np.zeros(text.n + 1, bool)
+    for d in range(PERIOD):
+        starts[at[(distance_bits >> d & 1) > 0] - d] = True
+    begin = np.flatnonzero(starts)
+    covered = np.zeros(text.n + LENGTH + 1, np.int32)
+    covered[begin] += 1
+    covered[begin + LENGTH] -= 1
+    return np.cumsum(covered)[: text.n] > 0
+
+
+def find_repeats(chunks: Chunks, hot: int) -> tuple[DataFrame, DataFrame]:
+    """The answers to all chunks' cover samples, and to their records."""
+    texts, levels, mask = chunks.table("doc_id", "text"), chunks.levels, chunks.key_mask
+
+    def ask_sample(t: pa.Table) -> pa.Table:
+        return give_back(ask(Repeats(), t.column("chunk")[0].as_py(), Sample(_text_of(t), mask).whole, levels))
+
+    flags = exchange(texts.groupBy("chunk").applyInArrow(ask_sample, PACKET), Repeats(hot), levels, "cover-sample")
+
+    def ask_records(t: pa.Table, r: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return table_of([])
+        text = _text_of(t)
+        sample = Sample(text, mask)
+        _, records, ids = local_records(text, sample, sample.flags(replies_of(r), levels))
+        return give_back(ask(Suffixes(), t.column("chunk")[0].as_py(), Suffixes().merged([(records, ids)]), levels))
 
-    samples = cut(answer(texts.groupBy("chunk").applyInArrow(ask_samples, PACKET), _shared), "cover-sample")
-    found = samples.withColumn("kind", F.lit(0))
-    release(chunks.spark)
-    for block in range(BLOCKS):
-        asked = texts.groupBy("chunk").cogroup(samples.groupBy("chunk")).applyInArrow(_suffix_asker(bits, block), PACKET)
-        found = found.unionByName(cut(answer(asked, _earlier), "suffix-block").withColumn("kind", F.lit(1 + block)))
-        del asked
-        release(chunks.spark)
-    return found
+    asked = texts.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(ask_records, PACKET)
+    return flags, exchange(asked, Suffixes(), levels, "suffixes")
 
 
-def remove_repeats(docs: DataFrame, text_out: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_out: bool = True, hot: int = HOT) -> DataFrame:
     """Every row of ``docs`` with what is left of its text after repeated strings are removed.
 
     A byte goes if a string of 50 bytes that covers it also starts in a document with a smaller doc_id;
     strings are judged on the input. Columns: those of ``docs``, with ``text`` replaced by the remaining
-    bytes (if ``text_out``; parts of a character that a cut leaves become U+FFFD) and n_bytes, n_removed, n_spans and kept_sha256
-    added (columns of those names are replaced). Null texts count as empty and stay null. Texts under 50
-    bytes lose nothing. Rows of one id do not remove each other's bytes; null ids are one id, before all
-    others. An empty table gives an empty result.
+    bytes (if ``text_out``; parts of a character that a cut leaves become U+FFFD) and n_bytes, n_removed,
+    n_spans and kept_sha256 added (columns of those names, and one named ``chunk``, are replaced). Null
+    texts count as empty and stay null. Texts under 50 bytes lose nothing. Rows of one id do not remove
+    each other's bytes; null ids are one id, before all others but the least long. An empty table gives an
+    empty result. A document is read whole by one task, so that its size bounds the memory of a task.
     """
     added = ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"]
     kept = [f for f in docs.schema if f.name not in {a.split()[0] for a in added} | {"chunk"}]
@@ -237,19 +330,25 @@ def remove_repeats(docs: DataFrame, text_out: bool = True) -> DataFrame:
         name, kind = a.split()
         schema = schema.add(name, T.LongType() if kind == "long" else T.StringType())
     chunks = stage(docs.select(*[f.name for f in kept]))
-    replies = find_repeats(chunks)
+    levels, mask = chunks.levels, chunks.key_mask
+    flags, found = find_repeats(chunks, hot)
+    replies = flags.withColumn("kind", F.lit(0)).unionByName(found.withColumn("kind", F.lit(1)))
 
     def apply(t: pa.Table, r: pa.Table) -> pa.Table:
-        text = _read(t)
+        text = _text_of(t)
         kind = r.column("kind").to_numpy()
-        samples, *suffixes = (r.filter(pa.array(kind == k)) for k in range(BLOCKS + 1))
-        gone = removed_bytes(text, samples, suffixes)
+        told = [replies_of(r.filter(pa.array(kind == k))) for k in (0, 1)]
+        sample = Sample(text, mask)
+        at, records, ids = local_records(text, sample, sample.flags(told[0], levels))
+        whole = Suffixes().merged([(records, ids)])
+        answers = Suffixes().heard(whole, told[1], 0, levels[0])
+        gone = removed_bytes(text, at, Suffixes().answers_of(whole, answers, 0, (records, ids)))
         rows: list[tuple] = [()] * len(text.raw)
         for k, (i, raw) in enumerate(zip(text.order, text.raw, strict=True)):
             own = gone[text.ends[k] - text.sizes[k] : text.ends[k]]
             left = np.frombuffer(raw, np.uint8)[~own].tobytes()
             spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if len(own) else 0
-            rows[i] = (len(raw), int(own.sum()), spans, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace"))
+            rows[i] = (len(raw), int(own.sum()), spans, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace") if text_out else None)
         n_bytes, n_removed, n_spans, digest, left = zip(*rows, strict=True) if rows else [[]] * 5
         columns = {f.name: t.column(f.name) for f in kept if f.name != "text"}
         if text_out:
@@ -258,15 +357,16 @@ def remove_repeats(docs: DataFrame, text_out: bool = True) -> DataFrame:
         for name, values in zip(["n_bytes", "n_removed", "n_spans"], [n_bytes, n_removed, n_spans], strict=True):
             columns[name] = pa.array(values, pa.int64())
         columns["kept_sha256"] = pa.array(digest, pa.string())
-        return pa.table({f.name: columns[f.name] for f in schema})
+        return give_back(pa.table({f.name: columns[f.name] for f in schema}))
 
     out = chunks.table().groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(apply, schema)
     path = fresh_path(chunks.spark, "substrings")
-    out.write.parquet(path)
+    out.write.option("compression", "zstd").parquet(path)
     chunks.drop()
     return chunks.spark.read.schema(schema).parquet(path)
 
 
 def op5_substrings(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns for every document: bytes, bytes and spans removed, hash of what is left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs, text_out=False)

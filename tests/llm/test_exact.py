@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 from itertools import combinations
 
 import numpy as np
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.llm import exchange, fingerprint, jaccard, lm_score, packing, substrings, topk
-from millrace.llm.components import components
+from millrace.operators.components import components
 
 SCHEMA = "doc_id long, text string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -46,7 +47,26 @@ def corpus(seed=0, n=120):
     return rows
 
 
-def test_repeats_are_removed(spark):
+@pytest.fixture(params=["one bucket", "many", "relays"])
+def dealt(request, monkeypatch):
+    """How documents are dealt: in one chunk and bucket, in many of both, and over several levels of relays."""
+    if request.param != "one bucket":
+        monkeypatch.setattr(exchange, "CHUNK_BYTES", 12_000)
+        monkeypatch.setattr(exchange, "BUCKET_BYTES", 20_000)
+    if request.param == "relays":
+        monkeypatch.setattr(exchange, "STEP", 2)
+        monkeypatch.setattr(exchange, "GROUP", 3)
+    return request.param
+
+
+@pytest.mark.parametrize("hot, mask", [(substrings.HOT, None), (6, None), (substrings.HOT, 0)])
+def test_repeats_are_removed(spark, dealt, hot, mask, monkeypatch):
+    """Also where strings of a few documents count as hot, and where all sampled strings have one hash."""
+    if (hot, mask) != (substrings.HOT, None) and dealt == "one bucket":
+        pytest.skip("the same as in many buckets")
+    if mask is not None:
+        plain_stage = substrings.stage
+        monkeypatch.setattr(substrings, "stage", lambda docs: replace(plain_stage(docs), key_mask=np.uint64(mask)))
     rows = corpus()
     first = {}
     for i, t in rows:
@@ -54,7 +74,7 @@ def test_repeats_are_removed(spark):
         for p in range(len(b) - 49):
             first.setdefault(b[p : p + 50], i)
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("n_spans", F.lit("clash")).withColumn("extra", F.lit(3))
-    out = {r["doc_id"]: r for r in substrings.remove_repeats(docs).collect()}
+    out = {r["doc_id"]: r for r in substrings.remove_repeats(docs, hot=hot).collect()}
     assert len(out) == len(rows)
     for i, t in rows:
         b = (t or "").encode()
@@ -103,7 +123,9 @@ def brute_classes(rows):
 
 
 @pytest.mark.parametrize("seed", [0, 1])
-def test_jaccard_classes(spark, seed):
+def test_jaccard_classes(spark, seed, dealt):
+    if seed and dealt != "many":
+        pytest.skip("one way of dealing is enough for a second corpus")
     rows = corpus(seed)
     # texts around the threshold: the first edits of one text, one word at a time
     rng = np.random.default_rng(seed)
@@ -131,7 +153,7 @@ def test_components_of_a_chain(spark):
     assert out == {i: 0 if i <= 20 else 21 for i in range(41)}
 
 
-def test_losses_of_both_models(spark):
+def test_losses_of_both_models(spark, dealt):
     rows = corpus(2, 60)
     wanted = {i for i, _ in rows if i % 3 == 0}
     words = {i: WORD.findall((t or "").translate(LOWER)) for i, t in rows}
