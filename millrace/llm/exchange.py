@@ -196,11 +196,13 @@ def exchange(asked: DataFrame, codec, levels: list[int], name: str, used: int =
             return give_back(_answered(codec, t, parts, whole, codec.settle(whole)))
 
         answers = cut(asked.groupBy("bucket").applyInArrow(merge, PACKET), name)
+        del asked  # else its shuffle files stay; callers should hold no reference either
         release(spark)
         return answers
 
     used, step = used + levels[0], levels[1]
     held = cut(asked, f"{name}-asked").withColumn("relay", F.floor(F.col("chunk") / GROUP).cast("long"))
+    del asked
 
     def up(t: pa.Table) -> pa.Table:
         relay, bucket = t.column("relay")[0].as_py(), t.column("bucket")[0].as_py()

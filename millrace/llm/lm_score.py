@@ -92,8 +92,8 @@ def _gather(chunks: Chunks, wanted: DataFrame) -> DataFrame:
         kinds, _, counts = _counted(keys, np.tile(is_wanted[w.text_of], 2))
         return give_back(ask(Counts(), t.column("chunk")[0].as_py(), (kinds, counts), levels))
 
-    asked = texts.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(ask_counts, PACKET)
-    return exchange(asked, Counts(), levels, "lm-totals")
+    both = texts.groupBy("chunk").cogroup(wanted.groupBy("chunk"))
+    return exchange(both.applyInArrow(ask_counts, PACKET), Counts(), levels, "lm-totals")
 
 
 def _sizes(totals: DataFrame) -> DataFrame:

@@ -178,7 +178,7 @@ class Suffixes:
     def split(self, whole, used: int, step: int):
         records, ids = whole[:2]
         order, edges = self._dealt(records, used, step)
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=3)
         for sub in np.flatnonzero(np.diff(edges)):
             own = order[edges[sub] : edges[sub + 1]]
             unsigned = ids[own].view(np.uint64) ^ np.uint64(1 << 63)
@@ -307,8 +307,8 @@ def find_repeats(chunks: Chunks, hot: int) -> tuple[DataFrame, DataFrame]:
         _, records, ids = local_records(text, sample, sample.flags(replies_of(r), levels))
         return give_back(ask(Suffixes(), t.column("chunk")[0].as_py(), Suffixes().merged([(records, ids)]), levels))
 
-    asked = texts.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(ask_records, PACKET)
-    return flags, exchange(asked, Suffixes(), levels, "suffixes")
+    both = texts.groupBy("chunk").cogroup(flags.groupBy("chunk"))
+    return flags, exchange(both.applyInArrow(ask_records, PACKET), Suffixes(), levels, "suffixes")
 
 
 def remove_repeats(docs: DataFrame, text_out: bool = True, hot: int = HOT) -> DataFrame:
