@@ -92,18 +92,20 @@ def stage(docs: DataFrame, chunk_bytes: int | None = None) -> Chunks:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Numbers from 0 as planes of bytes, the empty high ones left out, after their number."""
+    """Numbers from 0 as planes of bytes without the empty low and high ones, after where those begin and end."""
     values = np.ascontiguousarray(values, "<u8").reshape(-1)
-    used = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
-    return bytes([used]) + np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :used].T).tobytes()
+    some = int(np.bitwise_or.reduce(values)) if len(values) else 0
+    low = ((some & -some).bit_length() - 1) // 8 if some else 0
+    high = max(low + 1, -(-some.bit_length() // 8))
+    return bytes([low, high]) + np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, low:high].T).tobytes()
 
 
 def from_planes(data: bytes, n: int, at: int = 0) -> tuple[np.ndarray, int]:
     """The ``n`` numbers that are packed from ``at`` on, and where their bytes end."""
-    used, end = data[at], at + 1 + data[at] * n
+    low, high = data[at], data[at + 1]
     out = np.zeros((n, 8), np.uint8)
-    out[:, :used] = np.frombuffer(data, np.uint8, used * n, at + 1).reshape(used, n).T
-    return out.view("<u8").ravel(), end
+    out[:, low:high] = np.frombuffer(data, np.uint8, (high - low) * n, at + 2).reshape(high - low, n).T
+    return out.view("<u8").ravel(), at + 2 + (high - low) * n
 
 
 def table_of(rows: list[tuple]) -> pa.Table:
@@ -186,7 +188,10 @@ def _answered(codec, t: pa.Table, parts, whole, answers) -> pa.Table:
 
 
 def exchange(asked: DataFrame, codec, levels: list[int], name: str, used: int = 0) -> DataFrame:
-    """The written answers to all packets: rows as they were asked, with answers for ``data``."""
+    """The written answers to all packets: rows as they were asked, with answers for ``data``.
+
+    The shuffle of the packets can go afterwards: callers ``release`` it once they hold no reference.
+    """
     spark = asked.sparkSession
     if len(levels) == 1:
 
@@ -195,14 +200,10 @@ def exchange(asked: DataFrame, codec, levels: list[int], name: str, used: int =
             whole = codec.merged(parts)
             return give_back(_answered(codec, t, parts, whole, codec.settle(whole)))
 
-        answers = cut(asked.groupBy("bucket").applyInArrow(merge, PACKET), name)
-        del asked  # else its shuffle files stay; callers should hold no reference either
-        release(spark)
-        return answers
+        return cut(asked.groupBy("bucket").applyInArrow(merge, PACKET), name)
 
     used, step = used + levels[0], levels[1]
     held = cut(asked, f"{name}-asked").withColumn("relay", F.floor(F.col("chunk") / GROUP).cast("long"))
-    del asked
 
     def up(t: pa.Table) -> pa.Table:
         relay, bucket = t.column("relay")[0].as_py(), t.column("bucket")[0].as_py()
@@ -217,12 +218,10 @@ def exchange(asked: DataFrame, codec, levels: list[int], name: str, used: int =
         return give_back(_answered(codec, t, parts, whole, answers).select(["bucket", "chunk", "n", "data"]))
 
     higher = exchange(held.groupBy("relay", "bucket").applyInArrow(up, PACKET), codec, levels[1:], name, used)
+    release(spark)
     higher = higher.select(F.col("chunk").alias("relay"), F.shiftright("bucket", step).alias("of"), "bucket", "n", "data")
     back = held.groupBy("relay", "bucket").cogroup(higher.groupBy("relay", "of")).applyInArrow(down, PACKET)
-    answers = cut(back, name)
-    del back
-    release(spark)
-    return answers
+    return cut(back, name)
 
 
 def replies_of(t: pa.Table) -> list[tuple[bytes, int]]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 from .exchange import PACKET, Chunks, Sums, ask, exchange, give_back, replies_of, stage, table_of
 from .words import Words, mixed, words_of
 
@@ -93,7 +93,9 @@ def _gather(chunks: Chunks, wanted: DataFrame) -> DataFrame:
         return give_back(ask(Counts(), t.column("chunk")[0].as_py(), (kinds, counts), levels))
 
     both = texts.groupBy("chunk").cogroup(wanted.groupBy("chunk"))
-    return exchange(both.applyInArrow(ask_counts, PACKET), Counts(), levels, "lm-totals")
+    totals = exchange(both.applyInArrow(ask_counts, PACKET), Counts(), levels, "lm-totals")
+    release(chunks.spark)
+    return totals
 
 
 def _sizes(totals: DataFrame) -> DataFrame:

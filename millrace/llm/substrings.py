@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path
+from .common import fresh_path, release
 from .exchange import PACKET, Chunks, Sums, ask, exchange, from_planes, give_back, planes, replies_of, stage, table_of
 
 LENGTH = 50
 PERIOD, COVER = 13, (0, 1, 3, 9)  # a perfect difference cover
 AROUND = PERIOD - 1  # bytes before a sampled string, and behind it, that a suffix of LENGTH may reach
 SAMPLED = LENGTH - AROUND
-HOT = 20_000  # documents
+HOT = 20_000  # occurrences in all documents, but for those in one document of a chunk
 # a record: the sampled string, the bytes behind it, how many of them there are, how many before it, those backwards
 BEHIND, BEFORE, WIDTH = LENGTH, LENGTH + 1, 64
 WHOLE = 255  # in place of the number of bytes before: the record is a suffix by itself
@@ -121,7 +121,7 @@ def distances(records: np.ndarray) -> np.ndarray:
 
 
 class Repeats(Sums):
-    """For a hash that several documents hold the answer is 1, for one that more than ``hot`` do 2, else 0."""
+    """For a hash that several documents hold the answer is 1, for one of more than ``hot`` counts 2, else 0."""
 
     def __init__(self, hot: int = HOT):
         super().__init__()
@@ -178,7 +178,7 @@ class Suffixes:
     def split(self, whole, used: int, step: int):
         records, ids = whole[:2]
         order, edges = self._dealt(records, used, step)
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=1)
         for sub in np.flatnonzero(np.diff(edges)):
             own = order[edges[sub] : edges[sub + 1]]
             unsigned = ids[own].view(np.uint64) ^ np.uint64(1 << 63)
@@ -243,26 +243,31 @@ def _common(ordered: np.ndarray) -> np.ndarray:
 
 
 class Sample:
-    """The cover sample of a chunk: occurrences, and the different hashes with their number of documents."""
+    """The cover sample of a chunk: occurrences, and the different hashes with a count.
+
+    The count is 1 for a hash of one document, else that of its occurrences.
+    """
 
     def __init__(self, text: Text, mask: np.uint64):
         self.at, self.document, name = text.sample()
         keys = name & mask
-        self.order = np.argsort(keys, kind="stable")
+        self.order = np.argsort(keys)
         keys, document = keys[self.order], self.document[self.order]
         new = np.ones(len(keys), bool)
         new[1:] = keys[1:] != keys[:-1]
-        new_document = new.copy()
-        new_document[1:] |= document[1:] != document[:-1]
         self.first = np.flatnonzero(new)
-        n = np.add.reduceat(new_document.astype(np.int64), self.first) if len(keys) else np.zeros(0, np.int64)
+        self.sizes = np.diff(np.append(self.first, len(keys)))
+        n = np.ones(len(self.first), np.int64)
+        if len(keys):
+            several = np.minimum.reduceat(document, self.first) != np.maximum.reduceat(document, self.first)
+            n[several] = self.sizes[several]
         self.whole = keys[self.first], n[:, None]
 
     def flags(self, replies: list[tuple[bytes, int]], levels: list[int]) -> np.ndarray:
         """For every occurrence the answer to its hash."""
         told = Repeats().heard(self.whole, replies, 0, levels[0])
         out = np.empty(len(self.at), np.uint8)
-        out[self.order] = np.repeat(told, np.diff(np.append(self.first, len(self.at))))
+        out[self.order] = np.repeat(told, self.sizes)
         return out
 
 
@@ -298,6 +303,7 @@ def find_repeats(chunks: Chunks, hot: int) -> tuple[DataFrame, DataFrame]:
         return give_back(ask(Repeats(), t.column("chunk")[0].as_py(), Sample(_text_of(t), mask).whole, levels))
 
     flags = exchange(texts.groupBy("chunk").applyInArrow(ask_sample, PACKET), Repeats(hot), levels, "cover-sample")
+    release(chunks.spark)
 
     def ask_records(t: pa.Table, r: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -308,7 +314,9 @@ def find_repeats(chunks: Chunks, hot: int) -> tuple[DataFrame, DataFrame]:
         return give_back(ask(Suffixes(), t.column("chunk")[0].as_py(), Suffixes().merged([(records, ids)]), levels))
 
     both = texts.groupBy("chunk").cogroup(flags.groupBy("chunk"))
-    return flags, exchange(both.applyInArrow(ask_records, PACKET), Suffixes(), levels, "suffixes")
+    found = exchange(both.applyInArrow(ask_records, PACKET), Suffixes(), levels, "suffixes")
+    release(chunks.spark)
+    return flags, found
 
 
 def remove_repeats(docs: DataFrame, text_out: bool = True, hot: int = HOT) -> DataFrame:
