@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
+from functools import cache
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +23,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
+def give_back(result):
+    """``result``, after memory that this Python worker has freed is handed back to the system.
+
+    Idle workers would otherwise keep what their largest group needed.
+    """
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+    return result
+
+
 def whole_texts(sample: DataFrame, most_bytes: int) -> DataFrame:
     """One row for each id of a sample of bounded ids, of no more than ``most_bytes`` of text together.
 

@@ -15,17 +15,15 @@ answers down. Rows thus grow in proportion to the data, times the few levels.
 
 from __future__ import annotations
 
-import ctypes
 import uuid
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, delete, fresh_path, release
+from .common import cut, delete, fresh_path, give_back, release
 
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
@@ -36,24 +34,6 @@ PACKET = "bucket long, chunk long, n int, data binary"
 _TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
 
-@cache
-def _trim():
-    try:
-        return ctypes.CDLL(None).malloc_trim
-    except (AttributeError, OSError):
-        return lambda _: 0
-
-
-def give_back(result):
-    """``result``, after memory that this Python worker has freed is handed back to the system.
-
-    Idle workers would otherwise keep what their largest group needed.
-    """
-    pa.default_memory_pool().release_unused()
-    _trim()(0)
-    return result
-
-
 @dataclass
 class Chunks:
     """A written table of documents with their chunk."""

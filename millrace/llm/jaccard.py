@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators.components import components
 
-from .common import cut, release
-from .exchange import PACKET, Chunks, Sums, ask, exchange, give_back, replies_of, stage
+from .common import cut, give_back, release
+from .exchange import PACKET, Chunks, Sums, ask, exchange, replies_of, stage
 from .words import mixed, words_of
 
 WORDS = 5

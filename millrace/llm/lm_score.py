@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
-from .exchange import PACKET, Chunks, Sums, ask, exchange, give_back, replies_of, stage, table_of
+from .common import cut, give_back, release
+from .exchange import PACKET, Chunks, Sums, ask, exchange, replies_of, stage, table_of
 from .words import Words, mixed, words_of
 
 BIGRAM_SHARE = 0.7  # weight of the bigram estimate where its first word is known

@@ -62,6 +62,9 @@ def _sized(docs: DataFrame, carry: list[str]) -> DataFrame:
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        # a source in two columns that are never null, so that windows and joins on it share one shuffle
+        F.col("source").isNull().alias("no_source"),
+        F.coalesce("source", F.lit("")).alias("named"),
         F.xxhash64("doc_id", F.lit(17)).alias("h"),
         *[F.col(c).alias(f"carried_{c}") for c in carry],
     )
@@ -87,28 +90,26 @@ def mix(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     spans = max(1, n_rows // ROWS_PER_SPAN)
     span = F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * spans).cast("long")
     sized = sized.withColumn("span", span)
-    span_sums = sized.groupBy("source", "span").agg(F.sum("size").alias("span_size"))
+    span_sums = sized.groupBy("source", "no_source", "named", "span").agg(F.sum("size").alias("span_size"))
     targets = source_targets(span_sums.groupBy("source").agg(F.sum("span_size").alias("source_size")))
-    run = Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("no_source", "named").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     starts = span_sums.withColumn("span_start", F.coalesce(F.sum("span_size").over(run), F.lit(0)))
     plan = starts.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
-    plan = plan.select("p.source", "p.span", "span_start", "source_size", "slope", "target")
-    inside = Window.partitionBy("source", "span").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    plan = plan.select("no_source", "named", "p.span", "span_start", "source_size", "slope", "target")
+    inside = Window.partitionBy("no_source", "named", "span").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     if carry:  # the sizes above are without the columns that are carried along
         sized = _sized(docs, carry).withColumn("span", span)
     walked = sized.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = walked.alias("d").join(
-        plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.span") == F.col("p.span"))
-    )
+    rows = walked.join(plan, ["no_source", "named", "span"])
     whole = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
     whole = F.least(whole, F.lit(MAX_PASSES)).cast("long")
     left = F.round(F.col("target") - whole * F.col("source_size")).cast("long")
     start = F.col("span_start") + F.col("within")
     part = F.greatest(F.lit(0), F.least(F.col("size"), left - start))
     rows = rows.select(
-        "d.doc_id", "size", "source_size", "target", "slope", "h",
+        "doc_id", "size", "source_size", "target", "slope", "h",
         start.alias("start"), whole.alias("passes"), part.cast("long").alias("slice_words"),
-        "d.source", *[f"d.carried_{c}" for c in carry or []],
+        "source", *[f"carried_{c}" for c in carry or []],
     )
     rows = rows.withColumn("taken", F.col("passes") * F.col("size") + F.col("slice_words"))
     due = F.least(F.col("start") / F.greatest(F.col("target"), F.lit(1.0)), F.lit(1.0))
@@ -143,5 +144,6 @@ def by_position(mixed: DataFrame) -> DataFrame:
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns for every document, range-sorted by training position."""
     out = by_position(mix(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return out.select("doc_id", "size", "source_size", "target", "taken", "position")

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, release
-from .exchange import PACKET, Chunks, Sums, ask, exchange, from_planes, give_back, planes, replies_of, stage, table_of
+from .common import fresh_path, give_back, release
+from .exchange import PACKET, Chunks, Sums, ask, exchange, from_planes, planes, replies_of, stage, table_of
 
 LENGTH = 50
 PERIOD, COVER = 13, (0, 1, 3, 9)  # a perfect difference cover

@@ -323,13 +323,12 @@ def test_counts_of_a_very_long_text():
 
 
 @settings(max_examples=50, deadline=None)
-@given(st.lists(st.integers(0, 2**64 - 1), unique=True, max_size=50))
-def test_packed_keys_come_back(keys):
-    keys = np.array(sorted(keys), np.uint64)
-    for bits in (0, 3):
-        got = []
-        t = exchange.packets(0, keys, bits).to_pylist()
-        for r in t:
-            base = np.uint64(r["bucket"] << (64 - bits)) if bits else np.uint64(0)
-            got.append(exchange.unpacked(r["data"], r["n"]) + base)
-        assert (np.concatenate(got) if got else keys).tolist() == keys.tolist()
+@given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(0, 2**40)), unique_by=lambda x: x[0], max_size=50))
+def test_packed_keys_come_back(items):
+    keys = np.array(sorted(k for k, _ in items), np.uint64)
+    counts = np.array([[n for _, n in sorted(items)], range(len(items))], np.int64).T
+    codec = exchange.Sums(2)
+    for used, step in ((0, 0), (0, 3), (0, 8)):
+        got = [(k + (np.uint64(sub << (64 - step)) if step else np.uint64(0)), c) for sub, n, data in codec.split((keys, counts), used, step) for k, c in [codec.read(data, n)]]
+        assert [int(k) for ks, _ in got for k in ks] == [int(k) for k in keys]
+        assert [list(x) for _, c in got for x in c] == counts.tolist()
\ No newline at end of file
