@@ -23,21 +23,34 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from the labels beside the documents."""
+    """Documents that the classifier accepts; it learns from the labels beside the documents.
+
+    Null texts are scored as empty ones, repeated rows alike, and long texts whole. Columns beside those
+    of ``documents`` are dropped, here and in every stage. No labels: every score is one half, which accepts.
+    """
     forest = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality.classify(docs, forest)
     return _columns(scored.filter(F.col("quality_score") >= quality.PREDICT_FROM))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near duplicates."""
+    """The document with the smallest id of each class of near duplicates.
+
+    Texts that are null or have no words are near nothing and stay. Rows that repeat a kept id stay with it,
+    and rows with a null id, which link with nothing, stay too. Of equal texts the smallest id stays.
+    """
     classes = jaccard.link(docs)
     rest = classes.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return _columns(docs.join(rest, "doc_id", "left_anti"))
+    # the same join at every size: the others grow with the documents
+    return _columns(docs.join(rest.hint("merge"), "doc_id", "left_anti"))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the strings that earlier ones hold; those with nothing left go."""
+    """All documents without the strings that earlier ones hold; those with nothing left go.
+
+    Null texts stay null, empty ones stay; rows of one id do not shorten each other; null ids count as one
+    id before all others. n_chars counts what is left.
+    """
     left = substrings.remove_repeats(_columns(docs))
     left = left.withColumn("n_chars", F.length("text").cast("long"))
     return _columns(left.filter((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0)))
@@ -46,13 +59,15 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often as they are taken, in order of their training positions.
 
-    A pass that takes only the first words of a document has a row with those words.
+    A pass that takes only the first words of a document has a row with those words. Null sources are one
+    source; documents without words, null texts among them, are never taken; ties in the walk's hash go by
+    doc_id and size.
     """
     return _columns(mixing.training_rows(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces in training sequences."""
+    """Places of all pieces in training sequences: a row for each piece, null texts as empty ones."""
     return packing.pack(docs, packing.default_tokenizer())
 
 
@@ -66,6 +81,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder; what each but the last returns is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
