@@ -127,7 +127,7 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def next_in_order(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
+def next_in_order(docs: DataFrame, bucket_bytes: int | None = None) -> tuple[DataFrame, int]:
     """Deal documents into ranges of doc_id and add to each range the row that follows its last.
 
     Returns (bucket, key, doc_id, text, head): within a bucket, rows in order of (key, text) follow
@@ -137,7 +137,7 @@ def next_in_order(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[Da
     lowest = F.lit(-(2**63)).cast("long")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("key"), "doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    n = max(1, -(-total // bucket_bytes))
+    n = max(1, -(-total // (bucket_bytes or BUCKET_BYTES)))
     probabilities = [i / n for i in range(1, n)]
     cuts = keyed.approxQuantile("key", probabilities, 0.2 / n) if probabilities else []
     cuts = np.unique(np.array(cuts, np.float64)).astype(np.int64)
@@ -203,4 +203,5 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
 
 def op10_fingerprint(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns for every document."""
     return fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

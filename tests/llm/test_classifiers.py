@@ -114,3 +114,11 @@ def test_samples_are_bounded_in_rows_and_bytes(spark, monkeypatch):
         language.train(docs)
         for texts in seen.values():
             assert len(texts) in (n, 40) and sum(map(len, texts)) <= most
+
+
+def test_lines_differ_in_their_middle():
+    same, other = "one two three four five six seven", "one two three FOUR five six seven"
+    repeated, different = (quality.statistics([f"{same}\n{x}"])[0] for x in (same, other))
+    assert (repeated != different).any()
+    kinds = quality.statistics(["\n".join([same, other, same, "", ""])])[0][-3]
+    assert kinds == np.float32(3 / 5)

@@ -186,6 +186,7 @@ def vectors(seed=0):
     v[10:40] = v[10]  # ties
     rows = [(i, [float(np.float32(x)) for x in row], "clash") for i, row in enumerate(v)]
     rows += [(300, None, ""), (301, [None] + [1.0] * 7, ""), (302, [float("nan")] * 8, ""), (303, [float("inf")] * 8, ""), (304, [0.0] * 8, ""), (None, [1.0] * 8, "")]
+    rows += [(305, [], ""), (306, [1e15] * 8, ""), (310, [1.0, 2.0], ""), (311, [3.0, -1.0], "")]
     return rows
 
 
@@ -194,14 +195,14 @@ def test_search_against_all_products(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_ROWS", 8)
     rows = vectors()
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
-    good = {i: [math.floor(256 * x) for x in v] for i, v, _ in rows if i is not None and (i < 300 or i == 304)}
+    good = {i: [math.floor(256 * x) for x in v] for i, v, _ in rows if i is not None and (i < 300 or i in (304, 310, 311))}
     out = topk.search(table.filter(F.col("vec_id") % 10 == 0), table)
     found = defaultdict(list)
     for r in out.orderBy("query_id", "rank").collect():
         found[r["query_id"]].append((r["vec_id"], r["score"]))
     assert set(found) == {i for i in good if i % 10 == 0}
     for q, got in found.items():
-        scores = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q)[:5]
+        scores = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:5]
         assert got == [(i, -s) for s, i in scores]
     assert topk.search(table.limit(0), table.limit(0)).count() == 0
     few = table.filter(F.col("vec_id") < 3)
@@ -209,8 +210,8 @@ def test_search_against_all_products(spark, monkeypatch):
 
 
 def test_pairs_of_one_dim_are_made_in_many_tasks(spark):
-    dealt = spark.createDataFrame([(8, k) for k in range(40)], "dim int, place long")
-    repeated = spark.createDataFrame([(8, k) for k in range(6)], "dim int, q long")
+    dealt = spark.createDataFrame([(8, k, 1.0) for k in range(40)], "dim int, place long, top double")
+    repeated = spark.createDataFrame([(8, k, -1.0) for k in range(6)] + [(8, 9, 2.0)], "dim int, q long, least double")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
