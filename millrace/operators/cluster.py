@@ -71,3 +71,18 @@ def resolve(postings: DataFrame) -> DataFrame:
         "n_urls",
         "sources",
     )
+
+
+def provenance(postings: DataFrame, found: DataFrame) -> DataFrame:
+    """(cluster, links): every place where a cluster's job was seen, once for each canonical URL.
+
+    The first posting of a URL names its source; links are in order of falling authority, then of URL.
+    """
+    marked = postings.join(found, "ingest_seq")
+    link = F.coalesce(F.nullif("apply_url", F.lit("")), "url") if "apply_url" in postings.columns else F.col("url")
+    marked = marked.withColumn("link", link).withColumn("canonical", canonical_url(link)).filter("canonical <> ''")
+    one = marked.groupBy("cluster", "canonical").agg(F.min_by(F.struct("authority", "link", "source", "external_id"), "ingest_seq").alias("l"))
+    # a job is seen at few places; the array is of one job's different URLs
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("l.authority")).alias("o"), "canonical", "l")))
+    links = F.transform(ordered, lambda x: x["l"])
+    return one.groupBy("cluster").agg(links.alias("links"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.boards_in_urls import board_ref
 from millrace.operators.state import MAX_FAILURES
 
 TRUTHY = ["1", "true", "yes", "y"]
@@ -118,10 +119,10 @@ def readiness(coverage_rows: DataFrame, counts: DataFrame, min_sources=3, min_bo
     return out.withColumn("ready", (F.col("working_sources") >= min_sources) & (F.col("routable_boards") >= min_boards))
 
 
-def import_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def import_rows(raw: DataFrame, number: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Accepted and rejected rows of a registry CSV whose headers go by several names.
 
-    A row needs a company and either a platform with a token or a URL that names them.
+    ``number`` names a column with the row's number in its file, which rejected rows keep. A row needs a company and either a platform with a token or a URL that names them.
     """
     names = {c.strip().lower(): c for c in raw.columns}
 
@@ -135,6 +136,7 @@ def import_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.lower(pick("ats")).alias("ats"),
         pick("token").alias("token"),
         F.coalesce(F.lower(pick("us")).isin(TRUTHY), F.lit(False)).alias("us_signal"),
+        (F.col(number) if number else F.lit(None)).cast("long").alias("row_number"),
     )
     ref = board_ref(F.col("board_url"))
     rows = rows.withColumn("_ref", ref).withColumn("ats", F.coalesce("ats", "_ref.ats")).withColumn("token", F.coalesce("token", "_ref.token")).drop("_ref")
@@ -142,26 +144,71 @@ def import_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter(fine).withColumn("company", F.coalesce("company", "token")), rows.filter(~fine)
 
 
-# Hosts of boards, with the platform; the token is the first part of the path.
-BOARD_HOSTS = {"boards.greenhouse.io": "greenhouse", "job-boards.greenhouse.io": "greenhouse", "jobs.lever.co": "lever", "jobs.ashbyhq.com": "ashby", "apply.workable.com": "workable", "jobs.smartrecruiters.com": "smartrecruiters", "careers.smartrecruiters.com": "smartrecruiters"}
-# Platforms whose token is the host's first label.
-BOARD_DOMAINS = {"recruitee.com": "recruitee", "bamboohr.com": "bamboohr", "breezy.hr": "breezy", "applytojob.com": "jazzhr", "teamtailor.com": "teamtailor", "personio.de": "personio"}
-RESERVED = ["embed", "jobs", "job", "api", "v1", "search", "login"]
-
-
-def board_ref(url: Column) -> Column:
-    """struct<ats, token> that a board's URL names, with nulls where it names none."""
-    from millrace.functions.urls import PARTS, host_of
-
-    host = F.regexp_replace(host_of(url), r"^www\.", "")
-    path = F.regexp_extract(F.trim(url), PARTS, 3)
-    first = F.nullif(F.regexp_extract(path, "^/([^/]+)", 1), F.lit(""))
-    label = F.regexp_extract(host, r"^([^.]+)\.", 1)
-    ats, token = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for known, name in BOARD_HOSTS.items():
-        own = first if name == "smartrecruiters" else F.lower(first)
-        ats, token = F.when(host == known, name).otherwise(ats), F.when(host == known, F.when(~F.lower(first).isin(RESERVED), own)).otherwise(token)
-    for domain, name in BOARD_DOMAINS.items():
-        here = F.endswith(host, F.lit("." + domain)) & ~label.isin("app", "api")
-        ats, token = F.when(here, name).otherwise(ats), F.when(here, label).otherwise(token)
-    return F.struct(F.when(token.isNotNull(), ats).alias("ats"), token.alias("token"))
+def seed(stored: DataFrame, companies: DataFrame, only_us: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(registry, report) after a seed of (company, ats, token, domain, board_url, us_signal, extra, seq).
+
+    ``extra`` is a map that goes into the notes as JSON. The report has a row for each platform: total,
+    added, existing. Seeding once more adds nothing.
+    """
+    rows = companies.filter("us_signal = 1") if only_us else companies
+    rows = rows.withColumn("notes", F.when(F.size("extra") > 0, F.to_json("extra"))).drop("extra")
+    after = upsert_registry(stored, rows.select(*stored.columns))
+    seen = stored.select("ats", "token").distinct().withColumn("_old", F.lit(True))
+    told = rows.select("ats", "token").join(seen, ["ats", "token"], "left")
+    first = F.row_number().over(Window.partitionBy("ats", "token").orderBy(F.lit(1)))
+    told = told.withColumn("_added", F.col("_old").isNull() & (first == 1))
+    report = told.groupBy("ats").agg(F.count("*").alias("total"), F.count_if("_added").alias("added"), F.count_if(~F.col("_added")).alias("existing"))
+    return after, report
+
+
+def usable(report: DataFrame, shipped: list[str]) -> DataFrame:
+    """One row: boards of a seed, and those of platforms that have a reader."""
+    return report.agg(F.sum("total").alias("seeded"), F.sum(F.when(F.col("ats").isin(shipped), F.col("total")).otherwise(0)).alias("usable"))
+
+
+SUPPORTED = ["greenhouse", "lever", "ashby", "workday", "smartrecruiters", "workable"]
+US_NAMES = ["united states", "usa", "us", "united states of america"]  # fixed values
+
+
+def build(records: DataFrame) -> DataFrame:
+    """A registry from a list of companies (name, website, countries, ats_links, seq).
+
+    Every link that names a board of a supported platform is a row; the first record of a board wins, but
+    any record's sign of the US counts. In order of platform and company.
+    """
+    us = F.exists("countries", lambda c: F.lower(F.trim(c)).isin(US_NAMES))
+    r = records.filter(F.trim("name") != "").withColumn("us", F.coalesce(us, F.lit(False)))
+    r = r.select(F.trim("name").alias("company"), "website", "us", "seq", F.posexplode("ats_links").alias("nth", "link")).withColumn("ref", board_ref(F.col("link")))
+    r = r.filter(F.col("ref.ats").isin(SUPPORTED))
+    site = F.regexp_extract(F.lower("website"), r"^(?:.*//)?(?:www\.)?([^/]*)", 1)
+    first = F.struct("company", F.nullif(site, F.lit("")).alias("domain"), F.col("link").alias("board_url"))
+    out = r.groupBy("ref.ats", "ref.token").agg(F.min_by(first, F.struct("seq", "nth")).alias("f"), F.bool_or("us").alias("us_signal"))
+    return out.select("ats", "token", "f.*", F.col("us_signal").cast("int").alias("us_signal")).orderBy("ats", F.lower("company"), "token")
+
+
+def routed(registry: DataFrame) -> DataFrame:
+    """Boards with ``tenant`` and ``extra``: notes as a map, over which what the token says wins."""
+    parts = F.split("token", ":")
+    triple = (F.col("ats") == "workday") & (F.size(parts) == 3)
+    notes = F.coalesce(F.from_json("notes", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    own = F.when(triple, F.create_map(F.lit("wd"), F.get(parts, F.lit(1)), F.lit("site"), F.get(parts, F.lit(2)))).otherwise(F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(notes, lambda k, v: ~F.array_contains(F.map_keys(own), k))
+    return registry.withColumn("tenant", F.when(triple, F.get(parts, F.lit(0))).otherwise(F.col("token"))).withColumn("extra", F.map_concat(kept, own))
+
+
+def not_reached(registry: DataFrame, allocation: DataFrame) -> DataFrame:
+    """(ats, n_boards, allocation, not_reached): what the budget leaves out on each platform."""
+    counts = registry_counts(registry).join(allocation.select("ats", "allocation"), "ats", "left").withColumn("allocation", F.coalesce("allocation", F.lit(0)))
+    return counts.withColumn("not_reached", F.greatest(F.lit(0), F.col("n_boards") - F.col("allocation")))
+
+
+def with_registry(raw: DataFrame, registry: DataFrame, board: str = "company") -> DataFrame:
+    """Raw postings with the employer's name and domain from the registry, by platform and board.
+
+    ``board`` is the column that holds a board's token. Postings of unknown boards keep what they have; one
+    row for each board is taken from the registry. The join is left to Spark, which broadcasts a small registry.
+    """
+    r = registry.groupBy("ats", "token").agg(F.max(F.struct("company", "domain")).alias("r"))
+    out = raw.join(r, (raw["source"] == r["ats"]) & (raw[board] == r["token"]), "left")
+    domain = F.col("r.domain") if "employer_domain" not in raw.columns else F.coalesce("r.domain", "employer_domain")
+    return out.withColumn("company", F.coalesce("r.company", raw["company"])).withColumn("employer_domain", domain).drop("r", "ats", "token")

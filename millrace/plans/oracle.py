@@ -75,9 +75,9 @@ def canonical(url: str) -> str:
 
 def blank_lines(c: str) -> str:
     """Collapsed white space."""
-    for pattern, by in (("\\r\\n?", "chr(10)"), ("[ \\t\\x0B\\f ]+", "' '"), (" *\\n *", "chr(10)"), ("\\n{3,}", "chr(10) || chr(10)")):
+    for pattern, by in (("\\r\\n?", "chr(10)"), ("[ \\t\\x0B\\f]+", "' '"), (" *\\n *", "chr(10)"), ("\\n{3,}", "chr(10) || chr(10)")):
         c = f"regexp_replace({c}, {q(pattern)}, {by}, 'g')"
-    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({c}, '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g')"
 
 
 COMPANY_WORDS = ", ".join(q(s) for s in V.COMPANY_SUFFIXES)
@@ -158,9 +158,21 @@ def gate_rows(r: Rules) -> list[tuple[str, str, str]]:
         if allowed:
             among = ", ".join(q(x) for x in allowed)
             rows.append((gate, f"CASE WHEN {unknown} THEN 'unverifiable' WHEN {column} IN ({among}) THEN 'pass' ELSE 'fail' END", column))
-    if r.required_keywords:
-        hit = first("searchable", r.required_keywords, True)
-        rows.append(("required_keywords", f"CASE WHEN {hit} IS NOT NULL THEN 'pass' ELSE 'fail' END", hit))
+    if r.locations:
+        where = "concat_ws(' ', location_raw, city, region)"
+        hit = first(where, r.locations)
+        exempt = "workplace = 'remote'" if "remote" in r.workplace_types else "FALSE"
+        rows.append(("location", f"CASE WHEN {exempt} THEN 'pass' WHEN trim({where}) = '' THEN 'unverifiable' WHEN {hit} IS NOT NULL THEN 'pass' ELSE 'fail' END", hit))
+    if r.company_excludes:
+        hit = first("company", r.company_excludes)
+        rows.append(("company_excludes", f"CASE WHEN {hit} IS NOT NULL THEN 'fail' ELSE 'pass' END", hit))
+    wanted = [("required_keywords", r.required_keywords), ("required_skills", r.required_skills), ("required_credentials", r.required_credentials)]
+    if r.title_match == "hard":
+        wanted.insert(0, ("relevance", r.titles + r.related_titles + r.responsibilities))
+    for gate, phrases in wanted:
+        if phrases:
+            hit = first("searchable", phrases, True)
+            rows.append((gate, f"CASE WHEN {hit} IS NOT NULL THEN 'pass' ELSE 'fail' END", hit))
     if r.barred:
         hit = first("searchable", r.barred, True)
         rows.append(("excluded_content", f"CASE WHEN {hit} IS NOT NULL THEN 'fail' ELSE 'pass' END", hit))

@@ -10,7 +10,7 @@ from millrace.functions.text import content_hash, first_phrase, html_to_text, pa
 from millrace.functions.urls import canonical_url, url_authority
 from millrace.operators import gates as G
 from millrace.plans import oracle as O
-from millrace.plans import rule_queries, state_queries
+from millrace.plans import board_queries, history_queries, rule_queries, state_queries
 from millrace.plans.postings import normalised, placed, postings
 from millrace.plans.searches import ACCOUNTING, TODAY
 
@@ -110,7 +110,7 @@ HIGHEST = "CASE " + " ".join(f"WHEN {O.seniority('title', k)} THEN {O.q(k)}" for
 
 def _html_sql() -> str:
     def unescape(c):
-        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
             c = f"replace({c}, {O.q(entity)}, {O.q(char)})"
         return c
 
@@ -162,5 +162,6 @@ ORACLE_SQL = {
     "phrase_counts": _COUNTS,
 }
 
-QUERIES |= state_queries.QUERIES | rule_queries.QUERIES
-ORACLE_SQL |= state_queries.ORACLE_SQL | rule_queries.ORACLE_SQL
+for _more in (state_queries, rule_queries, board_queries, history_queries):
+    QUERIES |= _more.QUERIES
+    ORACLE_SQL |= _more.ORACLE_SQL

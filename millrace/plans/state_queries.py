@@ -244,6 +244,7 @@ ORACLE_SQL = {
     "budget_allocation": f"WITH {_ALLOCATION} SELECT ats, n_boards, allocation FROM a",
     "registry_targets": f"""WITH {_ALLOCATION}, t AS (SELECT ats, token, company, CAST(row_number() OVER (PARTITION BY ats ORDER BY us_signal DESC, failures, last_success DESC NULLS LAST, company, token) AS INTEGER) AS place FROM r WHERE failures < 5)
       SELECT t.ats, token, company, place FROM t JOIN a ON t.ats = a.ats WHERE place <= allocation""",
+    "budget_left": f"WITH {_ALLOCATION} SELECT ats, n_boards, allocation, greatest(0, n_boards - allocation) AS not_reached FROM a",
     "registry_upsert": """WITH b AS (SELECT c_mktsegment AS ats, c_custkey % 200 AS token, c_name AS company, CASE WHEN c_custkey % 4 = 0 THEN 'd' || CAST(c_custkey AS VARCHAR) END AS domain,
         CASE WHEN c_custkey % 3 = 0 THEN 'u' || CAST(c_custkey AS VARCHAR) END AS board_url, CASE WHEN c_custkey % 5 = 0 THEN 'note' END AS notes,
         CAST(c_acctbal > 9000 AS INTEGER) AS us_signal, c_custkey + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 10000000 END AS seq, c_custkey % 2 = 0 AS old FROM customer)

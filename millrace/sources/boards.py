@@ -131,18 +131,28 @@ def ashby(payloads: DataFrame) -> DataFrame:
 
 
 def workday(lists: DataFrame, details: DataFrame, today: Column) -> DataFrame:
-    """The list with what details add, joined on the tail of the path; ``details`` has ``path_tail``."""
-    j = lists.select("board", F.explode("jobPostings").alias("j")).filter("j.externalPath IS NOT NULL").dropDuplicates(["board", "j"])
-    j = j.withColumn("path_tail", F.element_at(F.split("j.externalPath", "/"), -1))
+    """The list with what details add, joined on the tail of the path; ``details`` has ``path_tail``.
+
+    A board is tenant, instance and site (``tenant:wd:site``), which also name the posting and its page; a
+    posting that several pages of the list hold is taken once.
+    """
+    j = lists.select("board", F.explode("jobPostings").alias("j")).filter("j.externalPath IS NOT NULL")
+    j = j.groupBy("board", F.col("j.externalPath").alias("path")).agg(F.min_by("j", F.to_json("j")).alias("j"))
+    j = j.withColumn("path_tail", F.element_at(F.split("path", "/"), -1))
+    parts = F.split("board", ":")
+    tenant, wd, site = F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)), F.lit("5")), F.coalesce(F.get(parts, F.lit(2)), F.lit("External"))
+    slash = F.when(F.col("path").startswith("/"), "").otherwise("/")
+    page = F.concat(F.lit("https://"), tenant, F.lit(".wd"), wd, F.lit(".myworkdayjobs.com/en-US/"), site, slash, F.col("path"))
     d = details.select(F.col("board").alias("d_board"), F.col("path_tail").alias("d_tail"), F.col("jobPostingInfo").alias("d"))
     both = j.join(d, (F.col("board") == F.col("d_board")) & (F.col("path_tail") == F.col("d_tail")), "left")
     return _raw(
         both,
         source=F.lit("workday"),
-        external_id=F.concat_ws(":", F.col("board"), F.lit("wd"), F.coalesce("d.jobReqId", "path_tail")),
+        external_id=F.concat_ws(":", tenant, wd, site, F.coalesce("d.jobReqId", "path_tail")),
         title=F.coalesce("d.title", "j.title"),
-        company=F.col("board"),
-        url=F.coalesce("d.externalUrl", "j.externalPath"),
+        company=tenant,
+        url=page,
+        apply_url=F.coalesce("d.externalUrl", page),
         description=html_to_text(F.col("d.jobDescription")),
         location_raw=F.coalesce("d.location", "j.locationsText"),
         country_hint=F.col("d.country.alpha2Code"),
