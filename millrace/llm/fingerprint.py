@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 EQUAL, ALIKE = 32, 256
 LANES = EQUAL + ALIKE
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 20_000
+RUN_BYTES = 4 << 20
 GRAM, STEP, BLOCK = 16, 8, 1 << 18
 
 _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)  # masks for the first k bytes
@@ -128,16 +130,17 @@ def edited_text(text: str, following: str) -> str:
 
 
 def next_in_order(docs: DataFrame, bucket_bytes: int | None = None) -> tuple[DataFrame, int]:
-    """Deal documents into ranges of doc_id and add to each range the row that follows its last.
+    """Deal documents into ranges of doc_id and add to each range the text that follows its last.
 
     Returns (bucket, key, doc_id, text, head): within a bucket, rows in order of (key, text) follow
-    each other and the rows marked ``head`` come after all others. The ranges are cut at quantiles of
-    the ids; only those (one for ``bucket_bytes`` of text) are known to the driver.
+    each other and the one row marked ``head`` comes after all others. The ranges are cut at quantiles of
+    the ids, one for ``bucket_bytes`` of text and at most ``MOST_BUCKETS``, so that the driver's sketch
+    and the table of first keys stay small; a bucket is streamed and may be of any size.
     """
     lowest = F.lit(-(2**63)).cast("long")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("key"), "doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    n = max(1, -(-total // (bucket_bytes or BUCKET_BYTES)))
+    n = min(MOST_BUCKETS, max(1, -(-total // (bucket_bytes or BUCKET_BYTES))))
     probabilities = [i / n for i in range(1, n)]
     cuts = keyed.approxQuantile("key", probabilities, 0.2 / n) if probabilities else []
     cuts = np.unique(np.array(cuts, np.float64)).astype(np.int64)
@@ -149,7 +152,9 @@ def next_in_order(docs: DataFrame, bucket_bytes: int | None = None) -> tuple[Dat
     firsts = keyed.select("key").withColumn("bucket", bucket_of("key")).groupBy("bucket").agg(F.min("key").alias("key"))
     before = F.lag("bucket").over(Window.orderBy("bucket"))  # a row per bucket
     firsts = firsts.select(F.coalesce(before, F.max("bucket").over(Window.partitionBy())).alias("bucket"), "key")
-    heads = keyed.join(F.broadcast(firsts), "key").select("bucket", "key", "doc_id", "text", F.lit(True).alias("head"))
+    # of many rows with one id only the first follows, so that they are not copied
+    heads = keyed.join(F.broadcast(firsts), "key").groupBy("bucket", "key").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    heads = heads.select("bucket", "key", F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("head"))
     rows = keyed.select(bucket_of("key").alias("bucket"), "key", "doc_id", "text", F.lit(False).alias("head"))
     return rows.unionByName(heads), n
 
@@ -169,29 +174,41 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     gives an empty result. Other columns are ignored.
     """
 
-    def fingerprint_bucket(table: pa.Table) -> pa.Table:
-        keys, doc_ids, texts, heads = (table.column(c).to_pylist() for c in ("key", "doc_id", "text", "head"))
-        order = sorted(range(len(keys)), key=lambda i: (heads[i], keys[i], texts[i] or ""))
-        own = [i for i in order if not heads[i]]
-        if not own:
-            return pa.table({f.name: pa.array([], f.type) for f in out_schema}, schema=out_schema)
-        texts = [texts[i] or "" for i in order[: len(own) + 1]]
+    def finished(run: list[tuple[int | None, str, bool]]) -> pa.RecordBatch:
+        """Results for all of a run of (doc_id, text, head) but the last; heads only follow."""
+        texts = [t for _, t, _ in run]
+        own = [i for i, (_, _, head) in enumerate(run[:-1]) if not head]
+        after = [i + 1 for i in own]
         plain = fingerprints([t.encode("utf-8") for t in texts])
-        edited = [edited_text(t, f).encode("utf-8") for t, f in zip(texts, texts[1:], strict=False)]
+        edited = [edited_text(texts[i], texts[i + 1]).encode("utf-8") for i in own]
         changed = fingerprints(edited)
-        return pa.table(
+        return pa.RecordBatch.from_pydict(
             {
-                "doc_id": pa.array([doc_ids[i] for i in own], pa.int64()),
-                "n_chars": pa.array([len(t) for t in texts[:-1]], pa.int64()),
+                "doc_id": pa.array([run[i][0] for i in own], pa.int64()),
+                "n_chars": pa.array([len(texts[i]) for i in own], pa.int64()),
                 "edited_sha256": [hashlib.sha256(t).hexdigest() for t in edited],
-                "fingerprint": [encoded(f) for f in plain[:-1]],
+                "fingerprint": [encoded(plain[i]) for i in own],
                 "edited_fingerprint": [encoded(f) for f in changed],
-                "near_edited": likeness(plain[:-1], changed),
-                "near_next": likeness(plain[:-1], plain[1:]),
+                "near_edited": likeness(plain[own], changed),
+                "near_next": likeness(plain[own], plain[after]),
             },
             schema=out_schema,
         )
 
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row waits for the one after it; about ``RUN_BYTES`` of text are fingerprinted together."""
+        run: list[tuple[int | None, str, bool]] = []
+        size = 0
+        for batch in batches:
+            for doc_id, text, head in zip(*(batch.column(c) for c in ("doc_id", "text", "head")), strict=True):
+                run.append((doc_id.as_py(), text.as_py() or "", head.as_py()))
+                size += len(run[-1][1]) + LANES
+                if size >= RUN_BYTES and len(run) > 1:
+                    yield finished(run)
+                    run, size = run[-1:], len(run[-1][1]) + LANES
+        if len(run) > 1:
+            yield finished(run)
+
     strings = ["edited_sha256", "fingerprint", "edited_fingerprint"]
     out_schema = pa.schema(
         [("doc_id", pa.int64()), ("n_chars", pa.int64())]
@@ -199,7 +216,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         + [("near_edited", pa.float64()), ("near_next", pa.float64())]
     )
     rows, _ = next_in_order(docs)
-    return rows.groupBy("bucket").applyInArrow(fingerprint_bucket, SCHEMA)
+    ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "head", "key", F.coalesce("text", F.lit("")))
+    return ordered.select("doc_id", "text", "head").mapInArrow(in_order, SCHEMA)
 
 
 def op10_fingerprint(spark, sf_dir: str) -> DataFrame:

@@ -290,6 +290,20 @@ def test_fingerprints_and_edits(spark, monkeypatch):
     assert lone["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and lone["near_next"] == 1
 
 
+@pytest.mark.parametrize("run_bytes, most", [(1, 20_000), (3000, 3), (1 << 22, 1)])
+def test_streamed_order_against_sorting(spark, monkeypatch, run_bytes, most):
+    monkeypatch.setattr(fingerprint, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(fingerprint, "RUN_BYTES", run_bytes)
+    monkeypatch.setattr(fingerprint, "MOST_BUCKETS", most)
+    rows = [(i // 3 if i % 2 else i, t) for i, t in corpus(9, 60)] + [(None, "null id"), (None, None), (7, "same id"), (7, "id same")] * 5
+    out = fingerprint.fingerprint_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    rows.sort(key=lambda r: (-1 if r[0] is None else r[0], r[1] or ""))
+    texts = [t or "" for _, t in rows]
+    edited = [fingerprint.edited_text(t, f) for t, f in zip(texts, texts[1:] + texts[:1], strict=True)]
+    want = sorted((str(i), hashlib.sha256(e.encode()).hexdigest()) for (i, _), e in zip(rows, edited, strict=True))
+    assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in out) == want
+
+
 def test_fingerprints_are_sums():
     a, b, c = (fingerprint.fingerprints([t])[0] for t in (b"one two\nthree", b"three\none two", b"three"))
     assert (a == b).all() and (a != c).any()
