@@ -17,6 +17,7 @@ SHARE = 1.5
 MAX_PASSES = 2
 SLOPES = (0.5, 0.0, -0.5)  # a source's slope, repeated in the order of the sources
 ROWS_PER_SPAN = 1000
+SPANS_PER_STRETCH = 1000
 
 
 def _cycle(values, rank: Column) -> Column:
@@ -70,6 +71,23 @@ def _sized(docs: DataFrame, carry: list[str]) -> DataFrame:
     )
 
 
+def _starts(span_sums: DataFrame) -> DataFrame:
+    """The span sums with ``span_start``, the words of a source before each span.
+
+    Spans are added up in stretches of ``SPANS_PER_STRETCH`` first: a source of ten billion rows has ten
+    thousand stretches, and no window holds more rows than that.
+    """
+    source = ["no_source", "named"]
+    before = (Window.unboundedPreceding, -1)
+    dealt = span_sums.withColumn("stretch", F.floor(F.col("span") / SPANS_PER_STRETCH))
+    within = Window.partitionBy(*source, "stretch").orderBy("span").rowsBetween(*before)
+    sums = dealt.groupBy(*source, "stretch").agg(F.sum("span_size").alias("stretch_size"))
+    along = Window.partitionBy(*source).orderBy("stretch").rowsBetween(*before)
+    sums = sums.withColumn("stretch_start", F.coalesce(F.sum("stretch_size").over(along), F.lit(0))).drop("stretch_size")
+    inside = F.coalesce(F.sum("span_size").over(within), F.lit(0))
+    return dealt.withColumn("inside", inside).join(sums, [*source, "stretch"]).withColumn("span_start", F.col("stretch_start") + F.col("inside"))
+
+
 def mix(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs`` with the words that the mix takes and where in training.
 
@@ -83,7 +101,7 @@ def mix(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     empty result. Columns named in ``carry`` come along as ``carried_`` and their name; others are ignored.
 
     The walk needs running sums inside a source. A source may hold a third of all rows, so a source is
-    dealt into spans by ranges of the hash, small enough for one task; span sums are added up first.
+    dealt into spans by ranges of the hash, small enough for one task; span sums are added up first, in two levels.
     """
     sized = cut(_sized(docs, []), "mix-sizes")
     n_rows = sized.count()
@@ -92,8 +110,7 @@ def mix(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     sized = sized.withColumn("span", span)
     span_sums = sized.groupBy("source", "no_source", "named", "span").agg(F.sum("size").alias("span_size"))
     targets = source_targets(span_sums.groupBy("source").agg(F.sum("span_size").alias("source_size")))
-    run = Window.partitionBy("no_source", "named").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    starts = span_sums.withColumn("span_start", F.coalesce(F.sum("span_size").over(run), F.lit(0)))
+    starts = _starts(span_sums)
     plan = starts.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
     plan = plan.select("no_source", "named", "p.span", "span_start", "source_size", "slope", "target")
     inside = Window.partitionBy("no_source", "named", "span").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)

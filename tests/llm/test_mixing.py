@@ -33,7 +33,10 @@ def water_fill(sizes: dict, weights: dict, share=1.5, passes=2) -> dict:
         {"a": 60, "b": 50, "c": 40, "d": 30, "e": 20, "f": 10, "g": 400},
     ],
 )
-def test_targets_are_met(spark, sizes):
+@pytest.mark.parametrize("per_span, per_stretch", [(1000, 1000), (2, 3)])
+def test_targets_are_met(spark, monkeypatch, sizes, per_span, per_stretch):
+    monkeypatch.setattr(mixing, "ROWS_PER_SPAN", per_span)
+    monkeypatch.setattr(mixing, "SPANS_PER_STRETCH", per_stretch)
     rows = []
     for s, size in sizes.items():
         k = 0
