@@ -18,13 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, whole_texts
 from .words import Words, in_blocks, mixed, words_of
 
 SAMPLE_ROWS = 2_500  # texts that the field learns from at most
+LANGUAGE_ROWS = 1_000  # of one language at most
 SAMPLE_BYTES = 64 << 20  # of all these texts
 ROWS = 1 << 16  # of the weight table
 EPOCHS, BATCH_CHARS, RATE = 1, 300_000, 0.3
@@ -175,10 +176,18 @@ def fit(texts: list[str | None], langs: list[str]) -> Field:
     return field
 
 
-def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Field:
-    """Fit on up to ``rows`` texts of ``SAMPLE_BYTES`` whose language is known and whose id is not held out."""
+def train(docs: DataFrame, rows: int = SAMPLE_ROWS, rows_a_language: int = LANGUAGE_ROWS) -> Field:
+    """Fit on up to ``rows`` texts of ``SAMPLE_BYTES`` whose language is known and whose id is not held out.
+
+    Ids enter in turns of the languages, each in order of its ids' hashes and with at most ``rows_a_language``
+    of them, so that a language is learned however rare it is, while there are fewer than ``rows`` languages.
+    """
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    ids = known.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    # Spark cuts this rank to the first rows of each language before they are shuffled
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    turns = ids.withColumn("turn", turn).filter(F.col("turn") <= rows_a_language)
+    chosen = turns.orderBy("turn", F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id")
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` ids
     table = whole_texts(sample, SAMPLE_BYTES).toPandas()
     table = table[np.array([has_letter(t) for t in table["text"]], bool)].sort_values(["doc_id", "lang", "text"], kind="stable")

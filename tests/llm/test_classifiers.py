@@ -78,6 +78,17 @@ def test_language_on_held_out_rows(spark, docs):
     assert {lang for _, lang, _ in mixed[:4]} == {"de"} and {lang for _, lang, _ in mixed[-4:]} == {"en"}
 
 
+def test_a_rare_language_is_learned(spark, monkeypatch):
+    rows = [(i, "ein Text" if i % 2 else "a text", "de" if i % 2 else "en") for i in range(6000)]
+    rows += [(i, "tekst", "nl") for i in range(6000, 6004)] + [(8000, None, "fr"), (8001, "nobody knows", None), (None, "no id", "pt")]
+    seen = {}
+    monkeypatch.setattr(language, "fit", lambda texts, langs: seen.update({x: langs.count(x) for x in langs}, n=len(texts)))
+    language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 500, 300)
+    assert seen["nl"] >= 2 and seen["de"] + seen["en"] + seen["nl"] == seen["n"] <= 500 and set(seen) == {"de", "en", "nl", "n"}
+    language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 5000, 300)
+    assert seen["de"] == seen["en"] == 300
+
+
 def test_language_without_anything_to_learn(spark):
     field = language.train(spark.createDataFrame([], SCHEMA))
     assert {r["language"] for r in language.identify(spark.createDataFrame(ODD, SCHEMA), field).collect()} == {"und"}
