@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import fingerprint, jaccard, language, lm_score, mixing, packing, quality, substrings, topk, toxicity
+from . import fingerprint, jaccard, language, lm_score, mixing, packing, quality, resample, substrings, topk, toxicity, vector_codes
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,6 +13,12 @@ QUERIES = {
     "op8_lm_score": lm_score.op8_lm_score,
     "op9_packing": packing.op9_packing,
     "op10_fingerprint": fingerprint.op10_fingerprint,
+    "op11_resample": resample.op11_resample,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_topk": topk.OP6_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op6_topk": topk.OP6_SQL,
+    "op11_resample": resample.OP11_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
+}

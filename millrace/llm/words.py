@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 
 PAD = 16
+LONG_BYTES = 512  # words from here on are hashed one by one, so that no text costs a pass for every 8 bytes
 _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _K = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_ALNUM = _LETTER.copy()
+_ALNUM[48:58] = True
 _VISIBLE = np.ones(256, bool)
 _VISIBLE[[0x20, *range(9, 14)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -43,7 +47,10 @@ class Words:
         """A hash of every whole word: its size and its first and last 8 bytes, and every 8 between."""
         h = mixed(self.loads(self.starts, np.minimum(self.sizes, 8)), 0)
         h = mixed(h ^ self.sizes.astype(np.uint64), 1)
-        long = np.flatnonzero(self.sizes > 8)
+        for k in np.flatnonzero(self.sizes > LONG_BYTES):
+            word = self.buffer[self.starts[k] : self.starts[k] + self.sizes[k]]
+            h[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        long = np.flatnonzero((self.sizes > 8) & (self.sizes <= LONG_BYTES))
         at = self.starts[long] + 8
         ends = self.starts[long] + self.sizes[long]
         while len(long):
@@ -65,11 +72,11 @@ def mixed(h: np.ndarray, salt: int) -> np.ndarray:
     return h
 
 
-def words_of(texts: list[str | None], letters_only: bool = False, lower: bool = False, accents: bool = True) -> Words:
+def words_of(texts: list[str | None], letters_only: bool = False, lower: bool = False, accents: bool = True, alnum: bool = False) -> Words:
     """Words of all texts; null texts count as empty.
 
     Words are runs of visible characters, or with ``letters_only`` of ASCII letters and any character
-    beyond ASCII. ``lower`` lowers A to Z and, with ``accents``, the accented capitals of Latin-1.
+    beyond ASCII, with ``alnum`` of ASCII digits too. ``lower`` lowers A to Z and, with ``accents``, the accented capitals of Latin-1.
     """
     encoded = [t.encode("utf-8") if t else b"" for t in texts]
     buffer = b"\n".join(encoded) + b"\n" + bytes(PAD)
@@ -82,7 +89,7 @@ def words_of(texts: list[str | None], letters_only: bool = False, lower: bool =
         buffer = data.tobytes()
     text_sizes = np.array([len(t) + 1 for t in encoded], np.int64)
     text_starts = np.cumsum(text_sizes) - text_sizes
-    kind = (_LETTER if letters_only else _VISIBLE)[data]
+    kind = (_ALNUM if alnum else _LETTER if letters_only else _VISIBLE)[data]
     kind[len(data) - PAD - 1 :] = False
     edges = np.flatnonzero(np.diff(kind, prepend=False))
     starts, ends = edges[::2], edges[1::2]
