@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import fingerprint, jaccard, language, lm_score, mixing, packing, quality, resample, substrings, topk, toxicity, vector_codes
+from . import fingerprint, jaccard, language, lm_score, mixing, packing, pii, quality, resample, substrings, topk, toxicity, vector_codes
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_fingerprint": fingerprint.op10_fingerprint,
     "op11_resample": resample.op11_resample,
+    "op12_pii": pii.op12_pii,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 

@@ -43,7 +43,7 @@ def integers(raw: np.ndarray) -> np.ndarray:
 def as_array(rows: list[list[int]]) -> np.ndarray:
     """Codebook entries as 64-bit integers where all are small."""
     small = all(abs(x) < SMALL * SCALE for row in rows for x in row)
-    return np.array(rows, dtype=np.int64 if small else object).reshape(len(rows), -1)
+    return np.array(rows, dtype=np.int64 if small else object).reshape(len(rows), -1 if rows else 0)
 
 
 def _largest(v: np.ndarray) -> int:
@@ -182,7 +182,7 @@ def _in_blocks(d: int, kind: str):
 
 
 def _judged(b: pa.RecordBatch, kind: str, books: list[np.ndarray]):
-    """(row, part, entry that takes the whole block or None, choice): ``choice`` are its points' entries and distances."""
+    """(place in the batch, part, shortlist, function that reads the points) of each block."""
     d = books[0].shape[1]
     for i, part in enumerate(b.column("part").to_pylist()):
         box = np.stack([np.frombuffer(b.column(c)[i].as_py(), kind) for c in ("low", "high")])
