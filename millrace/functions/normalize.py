@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab as V
-from .text import any_pattern, collapse_whitespace, contains_any, first_phrase, pattern
+from .text import any_pattern, collapse_whitespace, contains_any, first_match, first_phrase, pattern
 
 CITY_STATE = r"([A-Za-z .'-]+),\s*([A-Z]{2})\b"
 
@@ -119,6 +119,12 @@ def seniority_levels(title: Column) -> Column:
     return F.filter(F.array(*named), lambda x: x.isNotNull())
 
 
+def seniority_named(title: Column) -> Column:
+    """array<struct<level, term>>: every level that a title names, from low to high, with what the first term of its list matched."""
+    named = [F.struct(F.lit(level).alias("level"), first_match(title, terms)["hit"].alias("term")) for level, terms in seniority_terms().items()]
+    return F.filter(F.array(*named), lambda x: x["term"].isNotNull())
+
+
 def highest_seniority(title: Column) -> Column:
     levels = seniority_levels(title)
     return F.when(F.size(levels) > 0, F.element_at(levels, -1))

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import normalize as N
 from millrace.functions import vocab as V
-from millrace.functions.text import contains_any, first_phrase, phrases_found
-from millrace.operators.requirement import requirement_context, requirement_outcome
+from millrace.functions.text import first_match, first_phrase, phrases_found, snippet
+from millrace.operators.requirement import requirement_context, requirement_detail, requirement_evidence, requirement_outcome
 from millrace.operators.tables import cut
 
 PASS, FAIL, UNKNOWN = "pass", "fail", "unverifiable"
@@ -87,13 +87,17 @@ class Rules:
         return clearance | self.requirements
 
 
+QUOTED = 60  # characters on either side of a quoted match
+NO_TEXT = "posting has no text to search"
+
+
 def _gate(name: str, outcome: Column, rule: str, evidence: Column, policy: str = FLAG, detail: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
     return F.struct(
         F.lit(name).alias("gate"),
         outcome.alias("outcome"),
         F.lit(rule).alias("rule"),
-        F.coalesce(evidence, F.lit("")).alias("evidence"),
+        F.when(outcome != UNKNOWN, F.coalesce(evidence, F.lit(""))).otherwise(F.lit("")).alias("evidence"),
         F.coalesce(none if detail is None else detail, F.lit("")).alias("detail"),
         F.lit(policy).alias("policy"),
     )
@@ -103,53 +107,98 @@ def _blank(text: Column) -> Column:
     return F.coalesce(F.trim(text), F.lit("")) == ""
 
 
-def phrase_excludes(name: str, text: Column, phrases: list[str], policy: str, inflect=True, unverifiable=True, keep=_inline) -> Column:
-    """Fails on the first listed phrase that occurs."""
-    hit = keep(first_phrase(text, phrases, inflect))
-    outcome = F.when(hit.isNotNull(), FAIL)
-    if unverifiable:
-        outcome = F.when(_blank(text), UNKNOWN).when(hit.isNotNull(), FAIL)
-    return _gate(name, outcome.otherwise(PASS), f"must not mention: {', '.join(phrases)}", hit, policy)
+def _quoted(text: Column, match: Column) -> Column:
+    return F.when(match.isNotNull(), snippet(text, match["start"], match["end"], QUOTED))
+
+
+def _in_quotes(c: Column) -> Column:
+    return F.concat(F.lit("'"), F.coalesce(c, F.lit("")), F.lit("'"))
+
+
+def title_excludes(title: Column, phrases: list[str], policy: str, keep=_inline) -> Column:
+    """Fails on the first listed phrase in any form; the title is quoted."""
+    hit = keep(first_phrase(title, phrases, True))
+    detail = F.when(hit.isNotNull(), F.concat(F.lit("title is "), _in_quotes(title)))
+    return _gate("title_excludes", F.when(hit.isNotNull(), FAIL).otherwise(PASS), f"must not mention: {', '.join(phrases)}", hit, policy, detail)
+
+
+def company_excludes(company: Column, names: list[str], policy: str, keep=_inline) -> Column:
+    hit = keep(first_phrase(company, names))
+    return _gate("company_excludes", F.when(hit.isNotNull(), FAIL).otherwise(PASS), f"must not mention: {', '.join(names)}", hit, policy)
+
+
+def phrase_excludes(name: str, text: Column, phrases: list[str], policy: str, keep=_inline) -> Column:
+    """Fails on the first listed phrase that occurs in any form: the evidence is the text that matched, the detail what stands around it."""
+    match = keep(first_match(text, phrases, True))
+    outcome = F.when(_blank(text), UNKNOWN).when(match.isNotNull(), FAIL).otherwise(PASS)
+    detail = F.when(_blank(text), NO_TEXT).otherwise(_quoted(text, match))
+    return _gate(name, outcome, f"must not mention: {', '.join(phrases)}", match["hit"], policy, detail)
 
 
 def title_includes(title: Column, phrases: list[str], policy: str = FLAG) -> Column:
-    """Passes on any listed phrase as it is written; no field of a search asks for this gate."""
+    """Passes on any listed phrase as it is written, else quotes the title; no field of a search asks for this gate."""
     hit = first_phrase(title, phrases)
-    outcome = F.when(_blank(title), UNKNOWN).when(hit.isNotNull(), PASS).otherwise(FAIL)
-    return _gate("title_includes", outcome, f"title must mention one of: {', '.join(phrases)}", hit, policy)
+    outcome = F.when(hit.isNotNull(), PASS).otherwise(FAIL)
+    detail = F.when(hit.isNull(), "no wanted phrase in title")
+    return _gate("title_includes", outcome, f"title must mention one of: {', '.join(phrases)}", F.coalesce(hit, title), policy, detail)
 
 
 def phrase_requires(name: str, text: Column, phrases: list[str], policy: str = FLAG, keep=_inline) -> Column:
-    """Passes on any listed phrase."""
-    hit = keep(first_phrase(text, phrases, True))
-    outcome = F.when(_blank(text), UNKNOWN).when(hit.isNotNull(), PASS).otherwise(FAIL)
-    return _gate(name, outcome, f"must mention one of: {', '.join(phrases)}", hit, policy)
+    """Passes on any listed phrase in any form, with the text around it."""
+    match = keep(first_match(text, phrases, True))
+    outcome = F.when(_blank(text), UNKNOWN).when(match.isNotNull(), PASS).otherwise(FAIL)
+    detail = F.when(_blank(text), NO_TEXT).when(match.isNull(), "none of the wanted phrases appear").otherwise(_quoted(text, match))
+    return _gate(name, outcome, f"must mention one of: {', '.join(phrases)}", match["phrase"], policy, detail)
 
 
-def membership(name: str, value: Column, allowed: list[str], unknown: Column, policy: str) -> Column:
+def membership(name: str, value: Column, allowed: list[str], unknown: Column, policy: str, why_unknown: Column, detail: Column | None = None) -> Column:
     outcome = F.when(unknown, UNKNOWN).when(value.isin(allowed), PASS).otherwise(FAIL)
-    return _gate(name, outcome, f"must be one of: {', '.join(allowed)}", value, policy)
+    said = F.when(unknown, why_unknown)
+    return _gate(name, outcome, f"must be one of: {', '.join(allowed)}", value, policy, said if detail is None else said.otherwise(detail))
 
 
-def seniority_excludes(title: Column, barred: list[str], policy: str, keep=_inline) -> Column:
-    levels = keep(N.seniority_levels(title))
-    hits = F.filter(levels, lambda x: x.isin(barred))
-    outcome = F.when(F.size(levels) == 0, UNKNOWN).when(F.size(hits) > 0, FAIL).otherwise(PASS)
-    shown = F.when(F.size(hits) > 0, F.array_join(hits, ", ")).otherwise(F.array_join(levels, ", "))
-    return _gate("seniority_excludes", outcome, f"must not be: {', '.join(barred)}", shown, policy)
+def workplace_gate(workplace: Column, allowed: list[str], policy: str) -> Column:
+    return membership("workplace", workplace, allowed, workplace == "unknown", policy, F.lit("posting does not state its workplace arrangement"))
+
 
+def country_gate(place: Column, workplace: Column, allowed: list[str], policy: str) -> Column:
+    hint = F.when(workplace == "remote", "remote posting with no country stated").otherwise("posting does not state a country")
+    return membership("country", place["country"], allowed, place["country"].isNull(), policy, hint, N.location_display(place))
 
-def salary_floor(low: Column, period: Column, minimum: float, unit: str, policy: str) -> Column:
-    """Both sides for a year; the posting's minimum counts."""
-    yearly = N.annualized(low, period)
+
+def seniority_excludes(title: Column, barred: list[str], policy: str, keep=_inline) -> Column:
+    """Every level that a title names counts; the evidence is the term that names it."""
+    named = keep(N.seniority_named(title))
+    hits = F.filter(named, lambda x: x["level"].isin(barred))
+    outcome = F.when(F.size(named) == 0, UNKNOWN).when(F.size(hits) > 0, FAIL).otherwise(PASS)
+    shown = F.when(F.size(hits) > 0, F.get(hits, F.lit(0))).otherwise(F.get(named, F.lit(0)))
+    levels = F.when(F.size(hits) > 0, shown["level"]).otherwise(F.array_join(F.transform(named, lambda x: x["level"]), ", "))
+    detail = F.when(F.size(named) == 0, F.concat(F.lit("title "), _in_quotes(title), F.lit(" states no seniority level")))
+    detail = detail.otherwise(F.concat(F.lit("detected level "), _in_quotes(levels)))
+    return _gate("seniority_excludes", outcome, f"must not be: {', '.join(barred)}", shown["term"], policy, detail)
+
+
+def stated_pay(low: Column, high: Column, currency: Column, period: Column) -> Column:
+    """The pay as the posting states it."""
+    unit = F.concat(F.lit(" "), F.coalesce(currency, F.lit("USD")), F.lit("/"), F.coalesce(period, F.lit("year")))
+    both = F.concat(F.format_number(low, 0), F.lit("-"), F.format_number(high, 0), unit)
+    return F.coalesce(both, F.concat(F.format_number(F.coalesce(low, high), 0), unit))
+
+
+def salary_floor(low: Column, high: Column, currency: Column, period: Column, minimum: float, unit: str, policy: str) -> Column:
+    """Both sides for a year; the posting's minimum counts, and its own wording is the evidence."""
+    yearly, most = N.annualized(low, period), N.annualized(high, period)
     outcome = F.when(low.isNull(), UNKNOWN).when(yearly >= minimum * V.PERIODS_A_YEAR.get(unit, 1), PASS).otherwise(FAIL)
-    return _gate("salary_floor", outcome, f"pay of at least {minimum:g} a {unit}", F.concat(yearly.cast("long").cast("string"), F.lit("/year")), policy)
+    only_high = F.concat(F.lit("posting states only an upper figure ("), F.format_number(most, 0), F.lit("/year); no guaranteed minimum to compare"))
+    detail = F.when(low.isNull(), F.coalesce(only_high, F.lit("posting advertises no pay")))
+    detail = detail.otherwise(F.concat(F.lit("minimum "), F.format_number(yearly, 0), F.lit("/year")))
+    return _gate("salary_floor", outcome, f"pay of at least {minimum:g} a {unit}", stated_pay(low, high, currency, period), policy, detail)
 
 
 def freshness(posted: Column, today: date, most: int, policy: str) -> Column:
     age = F.datediff(F.lit(today), posted)
     outcome = F.when(posted.isNull(), UNKNOWN).when(age <= most, PASS).otherwise(FAIL)
-    return _gate("freshness", outcome, f"posted within {most} days", F.concat(age.cast("string"), F.lit("d old")), policy)
+    return _gate("freshness", outcome, f"posted within {most} days", F.concat(age.cast("string"), F.lit("d old")), policy, F.when(posted.isNull(), "posting has no date"))
 
 
 def location_gate(loc: Column, workplace: Column, places: list[str], remote_exempt: bool, policy: str, keep=_inline) -> Column:
@@ -157,19 +206,33 @@ def location_gate(loc: Column, workplace: Column, places: list[str], remote_exem
     hit = keep(first_phrase(where, places))
     exempt = (workplace == "remote") if remote_exempt else F.lit(False)
     outcome = F.when(exempt, PASS).when(_blank(where), UNKNOWN).when(hit.isNotNull(), PASS).otherwise(FAIL)
-    return _gate("location", outcome, f"must be in: {', '.join(places)}", hit, policy)
+    shown = N.location_display(loc)
+    evidence = F.when(exempt, "remote").otherwise(F.coalesce(hit, shown))
+    detail = F.when(exempt, "remote roles are not tied to a place").when(_blank(where), "posting does not state where the work is").when(hit.isNotNull(), shown)
+    return _gate("location", outcome, f"must be in: {', '.join(places)}", evidence, policy, detail)
 
 
 def employment_gate(value: Column, allowed: list[str], policy: str, keep=_inline) -> Column:
     label = keep(N.employment_label(value))
-    return membership("employment_type", label, allowed, label.isNull(), policy)
+    said = F.coalesce(value, F.lit("")) != ""
+    unknown = F.when(said, F.concat(F.lit("unrecognized employment type "), _in_quotes(value))).otherwise("posting does not state an employment type")
+    return membership("employment_type", label, allowed, label.isNull(), policy, unknown, F.concat(F.lit("posting says "), _in_quotes(value)))
 
 
 def sponsorship(text: Column, policy: str, keep=_inline) -> Column:
-    """A refusal beats an offer; silence says nothing."""
-    no, yes = keep(first_phrase(text, V.SPONSORSHIP_REFUSALS)), keep(first_phrase(text, V.SPONSORSHIP_OFFERS))
+    """A refusal beats an offer; silence says nothing. What is said is quoted."""
+    no, yes = keep(first_match(text, V.SPONSORSHIP_REFUSALS)), keep(first_match(text, V.SPONSORSHIP_OFFERS))
     outcome = F.when(no.isNotNull(), FAIL).when(yes.isNotNull(), PASS).otherwise(UNKNOWN)
-    return _gate("sponsorship", outcome, "employer must be willing to sponsor a visa", F.coalesce(no, yes), policy)
+    silent = F.when(_blank(text), NO_TEXT).otherwise("posting does not say whether it sponsors")
+    detail = F.coalesce(_quoted(text, no), _quoted(text, yes), silent)
+    return _gate("sponsorship", outcome, "employer must be willing to sponsor a visa", F.coalesce(no["phrase"], yes["phrase"]), policy, detail)
+
+
+def requirement_gate(text: Column, context: Column, marker: Column, quoted: Column, term: str, when: str, policy: str) -> Column:
+    """The gate on a reading of ``requirement_context``."""
+    outcome = F.when(_blank(text), UNKNOWN).otherwise(requirement_outcome(context, when))
+    detail = F.when(_blank(text), NO_TEXT).otherwise(requirement_detail(context, marker, quoted, term, when))
+    return _gate(f"requirement:{term}", outcome, f"reject when {term} is {when.replace('_', ' ')}", requirement_evidence(context, term, when), policy, detail)
 
 
 def searchable_text(title: Column, company: Column, description: Column, raw_location: Column) -> Column:
@@ -185,24 +248,24 @@ def compile_gates(r: Rules, today: date, keep=_inline, only: str = "all") -> lis
     title, text, place = F.col("title"), F.col("searchable"), F.col("location")
     p = r.policy
     short: list[tuple[object, Callable[[], Column]]] = [
-        (r.title_excludes, lambda: phrase_excludes("title_excludes", title, r.title_excludes, p, unverifiable=False, keep=keep)),
+        (r.title_excludes, lambda: title_excludes(title, r.title_excludes, p, keep)),
         (r.seniority_excludes, lambda: seniority_excludes(title, r.seniority_excludes, p, keep)),
-        (r.workplace_types, lambda: membership("workplace", F.col("workplace"), r.workplace_types, F.col("workplace") == "unknown", p)),
-        (r.countries, lambda: membership("country", place["country"], r.countries, place["country"].isNull(), p)),
+        (r.workplace_types, lambda: workplace_gate(F.col("workplace"), r.workplace_types, p)),
+        (r.countries, lambda: country_gate(place, F.col("workplace"), r.countries, p)),
         (r.locations, lambda: location_gate(place, F.col("workplace"), r.locations, "remote" in r.workplace_types, p, keep)),
-        (r.company_excludes, lambda: phrase_excludes("company_excludes", F.col("company"), r.company_excludes, p, inflect=False, unverifiable=False, keep=keep)),
+        (r.company_excludes, lambda: company_excludes(F.col("company"), r.company_excludes, p, keep)),
     ]
     whole = [
         (r.title_match == "hard" and (r.titles + r.related_titles + r.responsibilities), lambda: phrase_requires("relevance", text, r.titles + r.related_titles + r.responsibilities, p, keep)),
         (r.required_keywords, lambda: phrase_requires("required_keywords", text, r.required_keywords, keep=keep)),
         (r.required_skills, lambda: phrase_requires("required_skills", text, r.required_skills, keep=keep)),
         (r.required_credentials, lambda: phrase_requires("required_credentials", text, r.required_credentials, keep=keep)),
-        (r.barred, lambda: phrase_excludes("excluded_content", text, r.barred, p, keep=keep)),
+        (r.barred, lambda: phrase_excludes("excluded_content", text, r.barred, p, keep)),
         (r.needs_sponsorship, lambda: sponsorship(text, p, keep)),
     ]
     last = [
         (r.employment_types, lambda: employment_gate(F.col("employment_type"), r.employment_types, p, keep)),
-        (r.salary_min, lambda: salary_floor(F.col("salary_min"), F.col("salary_period"), r.salary_min, r.salary_period, p)),
+        (r.salary_min, lambda: salary_floor(*[F.col(f"salary_{c}") for c in ("min", "max", "currency", "period")], r.salary_min, r.salary_period, p)),
         (r.max_age_days is not None, lambda: freshness(F.col("posted_at"), today, r.max_age_days, p)),
     ]
     makers = {"all": short + whole + last, "short": short + last, "whole": whole}[only]
@@ -241,7 +304,8 @@ def ledger(r: Rules, today: date, keep=_inline) -> Column:
         signals.append(_signal("preferred location", F.lit(w["preferred_location"]), there, there.isNotNull()))
     low = F.col("salary_min")
     yearly = N.annualized(low, F.col("salary_period"))
-    signals.append(_signal("pay disclosed", F.lit(w["salary_disclosed"]), F.concat(F.format_number(low, 0), F.lit(" USD/"), F.col("salary_period")), low.isNotNull()))
+    high, stated = F.col("salary_max"), low.isNotNull() | F.col("salary_max").isNotNull()
+    signals.append(_signal("pay disclosed", F.lit(w["salary_disclosed"]), stated_pay(low, high, F.col("salary_currency"), F.col("salary_period")), stated))
     if r.salary_min:
         floor = r.salary_min * V.PERIODS_A_YEAR.get(r.salary_period, 1)
         signals.append(_signal("pay above floor", F.lit(w["salary_above_floor"]), F.concat(F.format_number(yearly, 0), F.lit("/year")), yearly >= floor))
@@ -259,11 +323,9 @@ def requirement_gates(postings: DataFrame, r: Rules, key: str) -> tuple[DataFram
     """Postings with each barred requirement's reading joined on ``key``, and the gates on them."""
     gates = []
     for k, (term, when) in enumerate(r.barred_requirements.items()):
-        read = requirement_context(postings, key, "searchable", term)
-        postings = postings.join(read.toDF(key, f"_context{k}", f"_marker{k}"), key)
-        context = F.col(f"_context{k}")
-        outcome = F.when(_blank(F.col("searchable")), UNKNOWN).otherwise(requirement_outcome(context, when))
-        gates.append(_gate(f"requirement:{term}", outcome, f"must not be {when}: {term}", F.col(f"_marker{k}"), r.policy, context))
+        names = [f"_{c}{k}" for c in ("context", "marker", "quoted")]
+        postings = postings.join(requirement_context(postings, key, "searchable", term).toDF(key, *names), key)
+        gates.append(requirement_gate(F.col("searchable"), *map(F.col, names), term, when, r.policy))
     return postings, gates
 
 
@@ -319,11 +381,12 @@ def evaluate_all(postings: DataFrame, searches: list[Rules], today: date, key: s
     """
     hits, verdicts = Hits("of"), []
     for k, r in enumerate(searches):
-        context = [(f"_context{k}_{n}", f"_marker{k}_{n}", term, when) for n, (term, when) in enumerate(r.barred_requirements.items())]
-        for of, marker, term, _ in context:
-            postings = postings.join(requirement_context(postings, key, "searchable", term).toDF(key, of, marker), key)
-        gates = compile_gates(r, today, hits)
-        gates += [_gate(f"requirement:{t}", F.when(_blank(F.col("searchable")), UNKNOWN).otherwise(requirement_outcome(F.col(c), w)), "", F.col(m), r.policy) for c, m, t, w in context]
+        required = []
+        for n, (term, when) in enumerate(r.barred_requirements.items()):
+            names = [f"_{c}{k}_{n}" for c in ("context", "marker", "quoted")]
+            postings = postings.join(requirement_context(postings, key, "searchable", term).toDF(key, *names), key)
+            required.append(requirement_gate(F.col("searchable"), *map(F.col, names), term, when, r.policy))
+        gates = compile_gates(r, today, hits) + required
         decision = F.when(rejects(F.array(*gates)), "rejected").otherwise("match") if gates else F.lit("match")
         verdicts.append(F.struct(F.lit(r.name).alias("search"), decision.alias("decision")))
     out = postings.withColumns(hits.columns) if hits.columns else postings

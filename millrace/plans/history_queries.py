@@ -42,13 +42,14 @@ def status_events(spark, sf_dir):
 
 
 def _checks(spark, sf_dir):
-    # every second job was never marked, so that its check may be the first to give it a status
     return _events(spark, sf_dir).select(F.col("user_id").alias("identity"), F.expr(STATE).alias("state"), (F.col("event_id") + 1_000_000_000).alias("seq"))
 
 
 def verification_writes(spark, sf_dir):
-    current = _statuses(spark, sf_dir)[1].filter("identity % 2 = 0")
+    current = _statuses(spark, sf_dir)[1]
     checks = _checks(spark, sf_dir)
+    # each job has a twin that was never marked, so that its check may be the first to give it a status
+    checks = checks.unionByName(checks.withColumn("identity", -1 - F.col("identity")))
     jobs = checks.select("identity").distinct().withColumn("verification", F.lit("unverified")).withColumn("verified_at", F.lit(None).cast("long"))
     jobs, current = H.write_verification(jobs, current, checks)
     return jobs.join(current.select("identity", "status", "changed"), "identity", "left")
@@ -76,7 +77,7 @@ def gates_more(spark, sf_dir):
     """A strict search with places, employers, skills, credentials, and relevance as a demand."""
     judged = G.evaluate(normalised(postings(spark, sf_dir)), MORE, TODAY)
     g = judged.select("decision", F.explode("gates").alias("g"))
-    return g.groupBy("decision", "g.gate", "g.outcome", "g.evidence").agg(F.count("*").alias("n"))
+    return g.groupBy("decision", "g.gate", "g.outcome", "g.evidence", "g.detail").agg(F.count("*").alias("n"))
 
 
 def flat_round_trip(spark, sf_dir):
@@ -152,7 +153,7 @@ def _links() -> str:
 
 def _explained() -> str:
     gates, signals = O.gate_rows(ACCOUNTING), O.signal_rows(ACCOUNTING)
-    failed = ", ".join(f"CASE WHEN ({o}) = 'fail' THEN {O.q(g)} END" for g, o, _ in gates)
+    failed = ", ".join(f"CASE WHEN ({o}) = 'fail' THEN {O.q(g)} END" for g, o, *_ in gates)
     n = " + ".join(f"CASE WHEN {c} AND CAST({p} AS DOUBLE) <> 0 THEN 1 ELSE 0 END" for p, c in signals)
     return f"""{O.verdicts(ACCOUNTING)} SELECT ingest_seq, {len(gates)} AS n_gates, array_to_string(list_filter([{failed}], lambda x: x IS NOT NULL), ',') AS failed,
       CASE WHEN decision = 'match' THEN {n} ELSE 0 END AS n_signals FROM verdicts"""
@@ -160,15 +161,16 @@ def _explained() -> str:
 
 def _more() -> str:
     rows = O.gate_rows(MORE)
-    bad = " OR ".join(f"({o}) = 'fail'" if g in ("required_skills", "required_credentials") else f"({o}) <> 'pass'" for g, o, _ in rows)
-    parts = " UNION ALL ".join(f"SELECT decision, {O.q(g)} AS gate, {o} AS outcome, coalesce({e}, '') AS evidence FROM d" for g, o, e in rows)
-    return f"WITH {O.JOBS}, d AS (SELECT *, CASE WHEN {bad} THEN 'rejected' ELSE 'match' END AS decision FROM jobs), g AS ({parts}) SELECT decision, gate, outcome, evidence, count(*) AS n FROM g GROUP BY ALL"
+    bad = " OR ".join(f"({o}) = 'fail'" if g in ("required_skills", "required_credentials") else f"({o}) <> 'pass'" for g, o, *_ in rows)
+    parts = " UNION ALL ".join(f"SELECT decision, {O.q(g)} AS gate, {o} AS outcome, {e} AS evidence, coalesce({d}, '') AS detail FROM d" for g, o, e, d in rows)
+    return f"WITH {O.JOBS}, d AS (SELECT *, CASE WHEN {bad} THEN 'rejected' ELSE 'match' END AS decision FROM jobs), g AS ({parts}) SELECT decision, gate, outcome, evidence, detail, count(*) AS n FROM g GROUP BY ALL"
 
 
 ORACLE_SQL = {
     "status_events": f"WITH {_CURRENT}, n AS (SELECT identity, count(*) FILTER (WHERE status <> 'lost') AS n_kept, count(*) FILTER (WHERE status = 'lost') AS n_rejected FROM s GROUP BY identity) SELECT cur.*, n_kept, n_rejected FROM cur JOIN n ON cur.identity = n.identity",
-    "verification_writes": f"""WITH {_CURRENT}, c AS (SELECT user_id AS identity, arg_max({STATE}, event_id) FILTER (WHERE {STATE} <> 'inconclusive') AS state, max(event_id + 1000000000) FILTER (WHERE {STATE} <> 'inconclusive') AS seq FROM events GROUP BY 1),
-      b AS (SELECT c.identity, state, seq, cur.status, changed, state = 'gone' AND coalesce(cur.status NOT IN ('applied', 'saved'), TRUE) AS closes FROM c LEFT JOIN cur ON c.identity = cur.identity AND c.identity % 2 = 0)
+    "verification_writes": f"""WITH {_CURRENT}, k AS (SELECT user_id AS identity, {STATE} AS state, event_id FROM events),
+      c AS (SELECT identity, arg_max(state, event_id) FILTER (WHERE state <> 'inconclusive') AS state, max(event_id + 1000000000) FILTER (WHERE state <> 'inconclusive') AS seq FROM (FROM k UNION ALL SELECT -1 - identity, state, event_id FROM k) GROUP BY 1),
+      b AS (SELECT c.identity, state, seq, cur.status, changed, state = 'gone' AND coalesce(cur.status NOT IN ('applied', 'saved'), TRUE) AS closes FROM c LEFT JOIN cur ON c.identity = cur.identity)
       SELECT identity, coalesce(state, 'unverified') AS verification, seq AS verified_at, CASE WHEN closes THEN 'closed' ELSE status END AS status, CASE WHEN closes THEN seq ELSE changed END AS changed FROM b""",
     "verification_counts": f"SELECT count(*) AS checked, count(*) FILTER (WHERE {STATE} = 'live') AS live, count(*) FILTER (WHERE {STATE} = 'gone') AS gone, count(*) FILTER (WHERE {STATE} = 'inconclusive') AS inconclusive FROM events",
     "explanations": _explained(),

@@ -23,6 +23,25 @@ def first(column: str, phrases: list[str], inflect: bool = False) -> str:
     return f"CASE {cases} END"
 
 
+def matched(column: str, phrases: list[str], inflect: bool = False) -> str:
+    """The text that the first phrase of the list that occurs matches."""
+    cores = [q("(?i)" + phrase_core(p, inflect)) for p in phrases]
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, {c}) THEN regexp_extract({column}, {c}, 0)" for c in cores) + " END"
+
+
+def around(column: str, phrases: list[str], inflect: bool = False, width: int = 60) -> str:
+    """The text around that match, in one line, with dots where it is cut."""
+    cores = [phrase_core(p, inflect) for p in phrases]
+    lead = "CASE " + " ".join(f"WHEN regexp_matches({column}, {q('(?i)' + c)}) THEN length(regexp_extract({column}, {q('(?is)^(.*?)(?:' + c + ')')}, 1))" for c in cores) + " END"
+    return cut_out(column, lead, f"length({matched(column, phrases, inflect)})", width)
+
+
+def cut_out(column: str, lead: str, size: str, width: int) -> str:
+    body = blank_lines(f"substring(s.t, greatest(0, s.a - {width}) + 1, least(length(s.t), s.a + s.n + {width}) - greatest(0, s.a - {width}))")
+    return f"""list_transform([{{'t': {column}, 'a': {lead}, 'n': {size}}}], lambda s: CASE WHEN s.a > {width} THEN '...' ELSE '' END
+      || replace({body}, chr(10), ' ') || CASE WHEN length(s.t) > s.a + s.n + {width} THEN '...' ELSE '' END)[1]"""
+
+
 def in_order(column: str, codes: dict[str, str]) -> str:
     cases = " ".join(f"WHEN {has(column, [p])} THEN {q(code)}" for p, code in codes.items())
     return f"CASE {cases} END"
@@ -100,7 +119,7 @@ def stated_pay(text: str) -> str:
 JOBS = f"""
 posted AS ({POSTINGS_SQL}),
 paid AS (SELECT *, {stated_pay("description")} AS said FROM posted),
-raw AS (SELECT * EXCLUDE (said) REPLACE (coalesce(salary_min, said.low) AS salary_min, CASE WHEN salary_min IS NOT NULL THEN salary_period ELSE said.period END AS salary_period) FROM paid),
+raw AS (SELECT * EXCLUDE (said) REPLACE (coalesce(salary_min, said.low) AS salary_min, CASE WHEN salary_min IS NOT NULL THEN salary_period ELSE said.period END AS salary_period), CASE WHEN salary_min IS NULL THEN said.high END AS salary_max FROM paid),
 place AS (
   SELECT *, {CODE.format(c="location_raw", g=2)} AS code, {CODE.format(c="location_raw", g=1)} AS code_city,
     {longest("location_raw", V.US_STATES)} AS named,
@@ -139,60 +158,90 @@ def seniority(column: str, level: str) -> str:
     return has(column, N.seniority_terms()[level])
 
 
-def gate_rows(r: Rules) -> list[tuple[str, str, str]]:
-    """(gate, outcome, evidence) as SQL over ``jobs``, in the order of the gates."""
+def whole(number: str) -> str:
+    """A number without decimals, its thousands parted."""
+    return f"format('{{:,}}', CAST(round({number}) AS BIGINT))"
+
+
+def quoted(text: str) -> str:
+    return f"chr(39) || {text} || chr(39)"
+
+
+SHOWN = "coalesce(nullif(concat_ws(', ', city, region, country), ''), nullif(location_raw, ''), 'unspecified')"
+UNIT = "' USD/' || coalesce(salary_period, 'year')"
+PAY = f"CASE WHEN salary_min IS NOT NULL AND salary_max IS NOT NULL THEN {whole('salary_min')} || '-' || {whole('salary_max')} || {UNIT} ELSE {whole('coalesce(salary_min, salary_max)')} || {UNIT} END"
+NO_TEXT = "WHEN trim(searchable) = '' THEN 'posting has no text to search'"
+
+
+def gate_rows(r: Rules) -> list[tuple[str, str, str, str]]:
+    """(gate, outcome, evidence, detail) as SQL over ``jobs``, in the order of the gates."""
     rows = []
     if r.title_excludes:
         hit = first("title", r.title_excludes, True)
-        rows.append(("title_excludes", f"CASE WHEN {hit} IS NOT NULL THEN 'fail' ELSE 'pass' END", hit))
+        rows.append(("title_excludes", f"CASE WHEN {hit} IS NOT NULL THEN 'fail' ELSE 'pass' END", hit, f"CASE WHEN {hit} IS NOT NULL THEN 'title is ' || {quoted('title')} END"))
     if r.seniority_excludes:
-        named = "list_filter([" + ", ".join(f"CASE WHEN {seniority('title', k)} THEN {q(k)} END" for k in V.SENIORITY) + "], lambda x: x IS NOT NULL)"
+        named = "list_filter([" + ", ".join(f"{{'k': {q(k)}, 't': {matched('title', N.seniority_terms()[k])}}}" for k in V.SENIORITY) + "], lambda x: x.t IS NOT NULL)"
         barred = "[" + ", ".join(q(x) for x in r.seniority_excludes) + "]"
-        hits = f"list_filter({named}, lambda x: list_contains({barred}, x))"
+        hits = f"list_filter({named}, lambda x: list_contains({barred}, x.k))"
         outcome = f"CASE WHEN len({named}) = 0 THEN 'unverifiable' WHEN len({hits}) > 0 THEN 'fail' ELSE 'pass' END"
-        rows.append(("seniority_excludes", outcome, f"CASE WHEN len({hits}) > 0 THEN array_to_string({hits}, ', ') ELSE array_to_string({named}, ', ') END"))
-    for gate, column, allowed, unknown in (
-        ("workplace", "workplace", r.workplace_types, "workplace = 'unknown'"),
-        ("country", "country", r.countries, "country IS NULL"),
+        every = f"array_to_string(list_transform({named}, lambda x: x.k), ', ')"
+        detail = f"""CASE WHEN len({named}) = 0 THEN 'title ' || {quoted("title")} || ' states no seniority level'
+          WHEN len({hits}) > 0 THEN 'detected level ' || {quoted(f"{hits}[1].k")} ELSE 'detected level ' || {quoted(every)} END"""
+        rows.append(("seniority_excludes", outcome, f"CASE WHEN len({hits}) > 0 THEN {hits}[1].t ELSE {named}[1].t END", detail))
+    where_is = f"CASE WHEN country IS NOT NULL THEN {SHOWN} WHEN workplace = 'remote' THEN 'remote posting with no country stated' ELSE 'posting does not state a country' END"
+    for gate, column, allowed, unknown, detail in (
+        ("workplace", "workplace", r.workplace_types, "workplace = 'unknown'", "CASE WHEN workplace = 'unknown' THEN 'posting does not state its workplace arrangement' END"),
+        ("country", "country", r.countries, "country IS NULL", where_is),
     ):
         if allowed:
             among = ", ".join(q(x) for x in allowed)
-            rows.append((gate, f"CASE WHEN {unknown} THEN 'unverifiable' WHEN {column} IN ({among}) THEN 'pass' ELSE 'fail' END", column))
+            rows.append((gate, f"CASE WHEN {unknown} THEN 'unverifiable' WHEN {column} IN ({among}) THEN 'pass' ELSE 'fail' END", column, detail))
     if r.locations:
         where = "concat_ws(' ', location_raw, city, region)"
         hit = first(where, r.locations)
         exempt = "workplace = 'remote'" if "remote" in r.workplace_types else "FALSE"
-        rows.append(("location", f"CASE WHEN {exempt} THEN 'pass' WHEN trim({where}) = '' THEN 'unverifiable' WHEN {hit} IS NOT NULL THEN 'pass' ELSE 'fail' END", hit))
+        outcome = f"CASE WHEN {exempt} THEN 'pass' WHEN trim({where}) = '' THEN 'unverifiable' WHEN {hit} IS NOT NULL THEN 'pass' ELSE 'fail' END"
+        detail = f"CASE WHEN {exempt} THEN 'remote roles are not tied to a place' WHEN trim({where}) = '' THEN 'posting does not state where the work is' WHEN {hit} IS NOT NULL THEN {SHOWN} END"
+        rows.append(("location", outcome, f"CASE WHEN {exempt} THEN 'remote' ELSE coalesce({hit}, {SHOWN}) END", detail))
     if r.company_excludes:
         hit = first("company", r.company_excludes)
-        rows.append(("company_excludes", f"CASE WHEN {hit} IS NOT NULL THEN 'fail' ELSE 'pass' END", hit))
+        rows.append(("company_excludes", f"CASE WHEN {hit} IS NOT NULL THEN 'fail' ELSE 'pass' END", hit, "NULL"))
     wanted = [("required_keywords", r.required_keywords), ("required_skills", r.required_skills), ("required_credentials", r.required_credentials)]
     if r.title_match == "hard":
         wanted.insert(0, ("relevance", r.titles + r.related_titles + r.responsibilities))
     for gate, phrases in wanted:
         if phrases:
             hit = first("searchable", phrases, True)
-            rows.append((gate, f"CASE WHEN {hit} IS NOT NULL THEN 'pass' ELSE 'fail' END", hit))
+            detail = f"CASE {NO_TEXT} WHEN {hit} IS NULL THEN 'none of the wanted phrases appear' ELSE {around('searchable', phrases, True)} END"
+            rows.append((gate, f"CASE WHEN {hit} IS NOT NULL THEN 'pass' ELSE 'fail' END", hit, detail))
     if r.barred:
-        hit = first("searchable", r.barred, True)
-        rows.append(("excluded_content", f"CASE WHEN {hit} IS NOT NULL THEN 'fail' ELSE 'pass' END", hit))
+        hit = matched("searchable", r.barred, True)
+        detail = f"CASE {NO_TEXT} WHEN {hit} IS NOT NULL THEN {around('searchable', r.barred, True)} END"
+        rows.append(("excluded_content", f"CASE WHEN {hit} IS NOT NULL THEN 'fail' ELSE 'pass' END", hit, detail))
     if r.needs_sponsorship:
         no, yes = first("searchable", V.SPONSORSHIP_REFUSALS), first("searchable", V.SPONSORSHIP_OFFERS)
-        rows.append(("sponsorship", f"CASE WHEN {no} IS NOT NULL THEN 'fail' WHEN {yes} IS NOT NULL THEN 'pass' ELSE 'unverifiable' END", f"coalesce({no}, {yes})"))
+        outcome = f"CASE WHEN {no} IS NOT NULL THEN 'fail' WHEN {yes} IS NOT NULL THEN 'pass' ELSE 'unverifiable' END"
+        detail = f"""CASE {NO_TEXT} WHEN {no} IS NOT NULL THEN {around("searchable", V.SPONSORSHIP_REFUSALS)} WHEN {yes} IS NOT NULL THEN {around("searchable", V.SPONSORSHIP_OFFERS)}
+          ELSE 'posting does not say whether it sponsors' END"""
+        rows.append(("sponsorship", outcome, f"coalesce({no}, {yes})", detail))
     if r.employment_types:
         label = employment("employment")
         among = ", ".join(q(x) for x in r.employment_types)
-        rows.append(("employment_type", f"CASE WHEN {label} IS NULL THEN 'unverifiable' WHEN {label} IN ({among}) THEN 'pass' ELSE 'fail' END", label))
+        detail = f"""CASE WHEN {label} IS NOT NULL THEN 'posting says ' || {quoted("employment")} WHEN coalesce(employment, '') <> '' THEN 'unrecognized employment type ' || {quoted("employment")}
+          ELSE 'posting does not state an employment type' END"""
+        rows.append(("employment_type", f"CASE WHEN {label} IS NULL THEN 'unverifiable' WHEN {label} IN ({among}) THEN 'pass' ELSE 'fail' END", label, detail))
     if r.salary_min:
-        rows.append(("salary_floor", f"CASE WHEN salary_min IS NULL THEN 'unverifiable' WHEN yearly >= {r.salary_min} THEN 'pass' ELSE 'fail' END", "CAST(CAST(yearly AS BIGINT) AS VARCHAR) || '/year'"))
+        outcome = f"CASE WHEN salary_min IS NULL THEN 'unverifiable' WHEN yearly >= {r.salary_min} THEN 'pass' ELSE 'fail' END"
+        rows.append(("salary_floor", outcome, PAY, f"CASE WHEN salary_min IS NULL THEN 'posting advertises no pay' ELSE 'minimum ' || {whole('yearly')} || '/year' END"))
     if r.max_age_days is not None:
-        rows.append(("freshness", f"CASE WHEN posted_at IS NULL THEN 'unverifiable' WHEN age <= {r.max_age_days} THEN 'pass' ELSE 'fail' END", "CAST(age AS VARCHAR) || 'd old'"))
-    return rows
+        outcome = f"CASE WHEN posted_at IS NULL THEN 'unverifiable' WHEN age <= {r.max_age_days} THEN 'pass' ELSE 'fail' END"
+        rows.append(("freshness", outcome, "CAST(age AS VARCHAR) || 'd old'", "CASE WHEN posted_at IS NULL THEN 'posting has no date' END"))
+    return [(g, o, f"CASE WHEN ({o}) = 'unverifiable' THEN '' ELSE coalesce({e}, '') END", d) for g, o, e, d in rows]
 
 
 def gates_long(r: Rules) -> str:
-    parts = " UNION ALL ".join(f"SELECT ingest_seq, {q(g)} AS gate, {o} AS outcome, coalesce({e}, '') AS evidence FROM jobs" for g, o, e in gate_rows(r))
-    return f"WITH {JOBS}, gates AS ({parts}) SELECT ingest_seq, gate, outcome, evidence FROM gates"
+    parts = " UNION ALL ".join(f"SELECT ingest_seq, {q(g)} AS gate, {o} AS outcome, {e} AS evidence, coalesce({d}, '') AS detail FROM jobs" for g, o, e, d in gate_rows(r))
+    return f"WITH {JOBS}, gates AS ({parts}) SELECT ingest_seq, gate, outcome, evidence, detail FROM gates"
 
 
 def signal_rows(r: Rules) -> list[tuple[str, str]]:
@@ -218,8 +267,8 @@ def signal_rows(r: Rules) -> list[tuple[str, str]]:
 def verdicts(r: Rules) -> str:
     """CTEs up to ``verdicts``: jobs with decision, n_unsure and score."""
     gates = gate_rows(r)
-    failed = " OR ".join(f"({o}) = 'fail'" for _, o, _ in gates)
-    unsure = " + ".join(f"CASE WHEN ({o}) = 'unverifiable' THEN 1 ELSE 0 END" for _, o, _ in gates)
+    failed = " OR ".join(f"({o}) = 'fail'" for _, o, *_ in gates)
+    unsure = " + ".join(f"CASE WHEN ({o}) = 'unverifiable' THEN 1 ELSE 0 END" for _, o, *_ in gates)
     points = " + ".join(f"CASE WHEN {c} THEN CAST({p} AS DOUBLE) ELSE 0 END" for p, c in signal_rows(r))
     return f"""WITH {JOBS},
 judged AS (SELECT *, CASE WHEN {failed} THEN 'rejected' ELSE 'match' END AS decision, {unsure} AS n_unsure FROM jobs),

@@ -84,7 +84,7 @@ def normalized_fields(spark, sf_dir):
 def gates_long(spark, sf_dir):
     judged = G.evaluate(_jobs(spark, sf_dir), ACCOUNTING, TODAY)
     g = judged.select("ingest_seq", F.explode("gates").alias("g"))
-    return g.select("ingest_seq", "g.gate", "g.outcome", "g.evidence")
+    return g.select("ingest_seq", "g.gate", "g.outcome", "g.evidence", "g.detail")
 
 
 def verdicts(spark, sf_dir):

@@ -48,11 +48,11 @@ QUERIES = {"export_why": export_why, "requirement_context": requirement, "link_e
 
 _NEGATED = "(?i)(?:" + "|".join(V.NEGATION_PATTERNS) + ")"
 _SPECS = " UNION ALL ".join(
-    f"""SELECT {O.q(r.name)} AS search, CASE WHEN {" OR ".join(f"({o}) = 'fail'" for _, o, _ in O.gate_rows(r))} THEN 'rejected' ELSE 'match' END AS decision FROM jobs"""
+    f"""SELECT {O.q(r.name)} AS search, CASE WHEN {" OR ".join(f"({o}) = 'fail'" for _, o, *_ in O.gate_rows(r))} THEN 'rejected' ELSE 'match' END AS decision FROM jobs"""
     for r in SEARCHES
 )
 _NAMES = ["title matches a wanted title", "title matches a related title", "keywords present", "preferred workplace", "pay disclosed", "pay above floor", "recently posted", "authoritative employer posting", "unconfirmed requirements"]
-_FAILED = ", ".join(f"CASE WHEN ({o}) = 'fail' THEN {O.q(g + ': ')} || coalesce({e}, '') END" for g, o, e in O.gate_rows(ACCOUNTING))
+_FAILED = ", ".join(f"CASE WHEN ({o}) = 'fail' THEN {O.q(g + ': ')} || {e} END" for g, o, e, _ in O.gate_rows(ACCOUNTING))
 _SIGNALS = ", ".join(
     f"CASE WHEN {c} AND CAST({p} AS DOUBLE) <> 0 THEN {O.q(n + ' ')} || CASE WHEN {p} >= 0 THEN '+' ELSE '' END || CAST(CAST({p} AS DOUBLE) AS VARCHAR) END"
     for n, (p, c) in zip(_NAMES, O.signal_rows(ACCOUNTING), strict=True)

@@ -85,7 +85,10 @@ def test_requirement_gate(spark):
     texts = ["Active CPA license required.", "CPA a plus", "Our team includes a CPA.", "Excel"]
     out = judged(spark, [posting(k, "Accountant", description=t) for k, t in enumerate(texts)], rules)
     assert [out[k]["gates"][0]["outcome"] for k in range(4)] == ["fail", "pass", "unverifiable", "pass"]
-    assert out[0]["decision"] == "rejected" and out[0]["gates"][0]["evidence"] == "required"
+    first = out[0]["gates"][0]
+    assert out[0]["decision"] == "rejected" and first["evidence"] == "CPA"
+    assert first["detail"] == "stated as required via 'required': Accountant Acme Active CPA license required. Dallas, TX"
+    assert [out[k]["gates"][0]["evidence"] for k in (1, 2, 3)] == ["CPA", "", ""]
 
 
 def test_clusters_do_not_depend_on_order(spark):
