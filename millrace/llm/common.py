@@ -42,15 +42,20 @@ def give_back(result):
     return result
 
 
+def one_row_an_id(sample: DataFrame) -> DataFrame:
+    """Of each id's rows the one with the smallest hash of its text."""
+    others = [c for c in sample.columns if c not in ("doc_id", "text")]
+    row = F.struct(F.xxhash64("text").alias("_hash"), "text", *others)
+    return sample.groupBy("doc_id").agg(F.min(row).alias("_row")).select("doc_id", "_row.text", *[f"_row.{c}" for c in others])
+
+
 def whole_texts(sample: DataFrame, most_bytes: int) -> DataFrame:
     """One row for each id of a sample of bounded ids, of no more than ``most_bytes`` of text together.
 
     Of an id's rows the one with the smallest hash of its text stays. Ids enter in order of their hashes,
     with their whole texts; those that do not fit any more are left out. The driver only sees the ids and sizes.
     """
-    others = [c for c in sample.columns if c not in ("doc_id", "text")]
-    row = F.struct(F.xxhash64("text").alias("_hash"), "text", *others)
-    each = sample.groupBy("doc_id").agg(F.min(row).alias("_row")).select("doc_id", "_row.text", *[f"_row.{c}" for c in others])
+    each = one_row_an_id(sample)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     sizes = each.select("doc_id", size.alias("size"), F.xxhash64("doc_id").alias("place")).toPandas()
     fits, left = [], most_bytes

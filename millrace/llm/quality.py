@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, held_out
+from .common import give_back, held_out, one_row_an_id
 from .words import in_blocks, mixed, words_of
 
 SAMPLE_ROWS = 24_000  # labelled rows that the trees learn from at most
@@ -189,16 +189,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     """(doc_id, text, y) of up to ``rows`` labelled documents that are not held out.
 
     The rows are those of the smallest hashes of their ids, so that reruns take the same ones. A
-    document with several labels takes the largest; null ids and null labels are left out.
+    document with several labels takes the largest; null ids and null labels are left out. Rows of one
+    id all come along: see ``one_row_an_id``.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` ids
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Forest:
-    """Fit the trees on a bounded sample of labelled documents, whose statistics the driver gathers."""
+    """Fit the trees on up to ``rows`` labelled documents, one row for each id, whose statistics the driver gathers."""
     names = "doc_id long, y double, x array<float>"
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Forest
                 part = b.iloc[start:stop]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "x": list(statistics(part["text"].tolist()))})
 
-    sample = labelled_sample(docs, labels, "quality", rows).mapInPandas(measure, names).toPandas()
+    sample = one_row_an_id(labelled_sample(docs, labels, "quality", rows)).mapInPandas(measure, names).toPandas()
     sample = sample.sort_values(["doc_id", "y"], kind="stable")
     x = np.stack(sample["x"]) if len(sample) else np.zeros((0, 1), np.float32)
     return fit(x, (sample["y"].to_numpy() > 0).astype(float))

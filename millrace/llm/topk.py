@@ -30,18 +30,24 @@ COORDINATE_FROM = 0.5  # local cosine threshold from which coordinates prune
 FOCUS = 8  # coordinates looked at
 
 
-MOST_NORM2 = 2.0**62  # of the vectors of integers: every product of two of them fits in a long
+LONG = (-(2**63), 2**63 - 1)
 
 
-def integer_vectors(rows: DataFrame, vector: str = "embedding") -> DataFrame:
-    """(vec_id, v: floor(256 * x) of each component, norm2); rows that take no part are left out."""
-    scaled = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
+def scaled_vectors(rows: DataFrame, vector: str = "embedding") -> DataFrame:
+    """(vec_id, w: floor(256 * x) / 256 of each component, norm of w); rows that take no part are left out.
+
+    As doubles these are exact however large the components are.
+    """
     as_double = F.transform(F.col(vector), lambda x: x.cast("double"))
     bad = F.exists(as_double, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    kept = rows.filter((F.size(vector) > 0) & ~bad & F.col("vec_id").isNotNull())
-    kept = kept.select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"))
-    kept = kept.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).filter(F.col("norm2") < MOST_NORM2)
-    return kept.withColumn("v", F.transform("v", lambda x: x.cast("long")))
+    kept = rows.filter(F.col(vector).isNotNull() & ~bad & F.col("vec_id").isNotNull())
+    # components from 2^44 on have no fraction below 1/256
+    w = F.transform(as_double, lambda x: F.when(F.abs(x) >= 2.0**44, x).otherwise(F.floor(x * SCALE) / float(SCALE)))
+    kept = kept.select(F.col("vec_id").cast("long").alias("vec_id"), w.alias("w"))
+    top = F.coalesce(F.array_max(F.transform("w", F.abs)), F.lit(0.0))
+    kept = kept.withColumn("top", top)
+    length = F.col("top") * F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + (x / F.col("top")) * (x / F.col("top"))))
+    return kept.withColumn("norm", F.when(F.col("top") > 0, F.least(length, F.lit(1.7e308))).otherwise(0.0)).drop("top")
 
 
 def _blocks(vectors: DataFrame, rows: int, seed: int) -> DataFrame:
@@ -49,18 +55,19 @@ def _blocks(vectors: DataFrame, rows: int, seed: int) -> DataFrame:
 
     Buckets may hold all rows, so each is dealt into parts by a hash of the id before rows meet.
     """
-    bucket = F.when(F.col("norm2") > 0, F.floor(F.log(F.col("norm2").cast("double")) / (2 * np.log(STEP)))).otherwise(-1)
-    keyed = vectors.withColumn("bucket", bucket.cast("long")).withColumn("dim", F.size("v"))
+    # no length is the bucket below that of the least double
+    bucket = F.when(F.col("norm") > 0, F.floor(F.log("norm") / np.log(STEP))).otherwise(-10_000)
+    keyed = vectors.withColumn("bucket", bucket.cast("long")).withColumn("dim", F.size("w"))
     sizes = keyed.groupBy("bucket", "dim").agg(F.count("*").alias("n"))
     parts = sizes.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("n") / rows)).cast("long")).drop("n")
     part = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col("parts"))
     dealt = keyed.join(parts, ["bucket", "dim"]).withColumn("part", part)
 
     def packed(t: pa.Table) -> pa.Table:
-        norms = np.sqrt(t.column("norm2").to_numpy().astype(float))
+        norms = t.column("norm").to_numpy()
         order = np.lexsort((t.column("vec_id").to_numpy(), -norms))
         dim = t.column("dim")[0].as_py()
-        flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        flat = t.column("w").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, dim)
         return pa.table(
             {
                 "bucket": pa.array([t.column("bucket")[0].as_py()], pa.int64()),
@@ -68,7 +75,7 @@ def _blocks(vectors: DataFrame, rows: int, seed: int) -> DataFrame:
                 "part": pa.array([t.column("part")[0].as_py()], pa.int64()),
                 "top": pa.array([norms.max()], pa.float64()),
                 "ids": pa.array([t.column("vec_id").to_numpy()[order]], pa.list_(pa.int64())),
-                "data": pa.array([flat[order].astype("<i8").tobytes()], pa.binary()),
+                "data": pa.array([flat[order].astype("<f8").tobytes()], pa.binary()),
             }
         )
 
@@ -76,16 +83,33 @@ def _blocks(vectors: DataFrame, rows: int, seed: int) -> DataFrame:
     return dealt.groupBy("bucket", "dim", "part").applyInArrow(packed, schema)
 
 
-def _matrix(data: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(data, "<i8").reshape(-1, dim)
+def _matrix(data: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, "<f8").reshape(rows, dim)
+
+
+def _whole(w: np.ndarray) -> np.ndarray:
+    """The integers of scaled vectors, as Python's own, which have no bound."""
+    flat = [int(x) * SCALE if abs(x) >= 2.0**53 else int(x * SCALE) for x in w.ravel().tolist()]
+    return np.array(flat, dtype=object).reshape(w.shape)
 
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; in floating point where no partial sum can lose a digit."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[-1]
+    """Exact integer inner products of scaled vectors; those beyond a long become the nearest long.
+
+    In floating point where no partial sum can lose a digit, in 64-bit integers where none can overflow.
+    """
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * SCALE**2 * q.shape[-1]
     if most < 2**53:
-        return (q.astype(np.float64) @ c.T.astype(np.float64)).astype(np.int64)
-    return q @ c.T
+        return ((q * SCALE) @ (c * SCALE).T).astype(np.int64)
+    if most < 2**62:
+        return (q * SCALE).astype(np.int64) @ (c * SCALE).astype(np.int64).T
+    exact = _whole(q) @ _whole(c).T
+    return np.array([min(max(x, LONG[0]), LONG[1]) for x in exact.ravel()], np.int64).reshape(exact.shape)
+
+
+def _norms(w: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.sqrt((w**2).sum(1))  # infinite for huge vectors, which only prunes less
 
 
 def best_of_block(q_ids, q, bound, c_ids, c, k: int = K) -> list[tuple[int, int, int]]:
@@ -96,27 +120,28 @@ def best_of_block(q_ids, q, bound, c_ids, c, k: int = K) -> list[tuple[int, int,
     out = []
     if not len(c) or not len(q):
         return out
-    q_norm = np.sqrt((q.astype(float) ** 2).sum(1))
-    c_norm = np.sqrt((c.astype(float) ** 2).sum(1))
+    q_norm, c_norm = _norms(q), _norms(c)
     top = c_norm.max()
+    least_score = bound / float(SCALE) ** 2  # in the units of the scaled vectors
     with np.errstate(divide="ignore", invalid="ignore"):
         # one part in 10^9 is given away so that rounding cannot prune a tie
-        local = np.where(q_norm * top > 0, bound / (q_norm * top), np.where(bound > 0, np.inf, -np.inf)) - 1e-9
+        local = np.where(q_norm * top > 0, least_score / (q_norm * top), np.where(bound > 0, np.inf, -np.inf)) - 1e-9
     alive = np.flatnonzero(local <= 1)
-    by_coordinate = alive[local[alive] >= COORDINATE_FROM]
-    by_length = alive[local[alive] < COORDINATE_FROM]
+    near = (local[alive] >= COORDINATE_FROM) & np.isfinite(q_norm[alive] * top)
+    by_coordinate, by_length = alive[near], alive[~near]
     rows: list[tuple[int, np.ndarray, np.ndarray]] = []
     for i in by_coordinate:
         focus = np.argsort(-np.abs(q[i]), kind="stable")[:FOCUS]
-        part = c[:, focus].astype(float)
-        rest_q = np.sqrt(max(q_norm[i] ** 2 - (q[i, focus].astype(float) ** 2).sum(), 0))
+        part = c[:, focus]
+        rest_q = np.sqrt(max(q_norm[i] ** 2 - (q[i, focus] ** 2).sum(), 0))
         rest_c = np.sqrt(np.maximum(c_norm**2 - (part**2).sum(1), 0))
-        most = part @ q[i, focus].astype(float) + rest_q * rest_c
-        kept = np.flatnonzero(most * (1 + 1e-9) + 1e-6 >= bound[i])
+        most = part @ q[i, focus] + rest_q * rest_c
+        kept = np.flatnonzero(most * (1 + 1e-9) + 1e-6 * abs(least_score[i]) >= least_score[i])
         rows.append((i, kept, _products(q[i : i + 1], c[kept])[0]))
     if len(by_length):
         # rows are in order of falling length: a query reads as far as its bound allows
-        least = np.where(q_norm[by_length] > 0, bound[by_length] / np.maximum(q_norm[by_length], 1e-300), -np.inf)
+        with np.errstate(over="ignore"):
+            least = np.where(q_norm[by_length] > 0, least_score[by_length] / np.maximum(q_norm[by_length], 1e-300), -np.inf)
         reach = np.searchsorted(-c_norm, -(least - 1e-6 * np.abs(least)), side="right")
         reach[bound[by_length] <= 0] = len(c)
         far = int(reach.max())
@@ -125,7 +150,7 @@ def best_of_block(q_ids, q, bound, c_ids, c, k: int = K) -> list[tuple[int, int,
     for i, at, scores in rows:
         keep = (scores >= bound[i]) & (c_ids[at] != q_ids[i])
         at, scores = at[keep], scores[keep]
-        order = np.lexsort((c_ids[at], -scores))[:k]
+        order = np.lexsort((c_ids[at], ~scores))[:k]  # the complement falls as a score rises, for the least long too
         out += [(int(q_ids[i]), int(c_ids[a]), int(s)) for a, s in zip(at[order], scores[order], strict=True)]
     return out
 
@@ -149,7 +174,7 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                found = best_of_block(np.asarray(r.q_ids), _matrix(r.q_data, r.dim), np.asarray(r.bounds), np.asarray(r.ids), _matrix(r.data, r.dim), k)
+                found = best_of_block(np.asarray(r.q_ids), _matrix(r.q_data, len(r.q_ids), r.dim), np.asarray(r.bounds), np.asarray(r.ids), _matrix(r.data, len(r.ids), r.dim), k)
                 yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
 
     return pairs.mapInPandas(run, "query_id long, vec_id long, score long")
@@ -164,21 +189,21 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest integer inner products, ties to smaller ids.
 
     Both inputs are tables of (vec_id, embedding). Vectors that are null or hold null or non-finite
-    components take no part, nor do empty ones, those whose integers' squares sum to 2^62 or more (a product
-    might not fit), and rows with a null id. A query's own id is no candidate, nor are
-    vectors of another length. Repeated rows with one id count as often as they come. Zero vectors
+    components take no part, nor do rows with a null id. All others do, however large: products are exact,
+    and one that a long cannot hold counts as the nearest long. A query's own id is no candidate, nor are
+    vectors of another length. Repeated rows with one id count as often as they come. Zero and empty vectors
     score 0. With fewer than k candidates all are returned. Empty tables give an empty result.
 
     Each block of queries is compared with each block of candidates (a stated query set against all
     rows), so that work is the product of both sizes less what the bounds prune, memory is one pair of
     blocks, and nothing grows on the driver.
     """
-    c_blocks = cut(_blocks(integer_vectors(candidates), BLOCK_ROWS, 1), "topk-candidates")
+    c_blocks = cut(_blocks(scaled_vectors(candidates), BLOCK_ROWS, 1), "topk-candidates")
     order = Window.partitionBy("dim").orderBy(F.desc("top"), "bucket", "part")
     c_blocks = c_blocks.join(
         c_blocks.select("dim", "bucket", "part", F.row_number().over(order).alias("place")), ["dim", "bucket", "part"]
     )
-    q_blocks = cut(_blocks(integer_vectors(queries), QUERY_ROWS, 2), "topk-queries")
+    q_blocks = cut(_blocks(scaled_vectors(queries), QUERY_ROWS, 2), "topk-queries")
     no_bound = np.iinfo(np.int64).min
     q = q_blocks.select(
         "dim",
@@ -198,9 +223,10 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
         bounds, least = [], []
         for dim, ids, data in zip(*(left.column(c).to_pylist() for c in ("dim", "q_ids", "q_data")), strict=True):
             own = np.array([known.get(i, no_bound) for i in ids], np.int64)
-            norm = np.sqrt((_matrix(data, dim).astype(float) ** 2).sum(1))
+            norm = _norms(_matrix(data, len(ids), dim))
             # the length that a vector needs to reach a query's bound; without one, or with 0, any will do
-            needed = np.where((own > 0) & (norm > 0), own / np.maximum(norm, 1e-300), np.where(own > 0, np.inf, -np.inf))
+            with np.errstate(over="ignore"):
+                needed = np.where((own > 0) & (norm > 0), own / float(SCALE) ** 2 / np.maximum(norm, 1e-300), np.where(own > 0, np.inf, -np.inf))
             bounds.append(own)
             least.append(float(needed.min()))
         columns = {c: left.column(c) for c in left.column_names} | {"bounds": pa.array(bounds, pa.list_(pa.int64())), "least": pa.array(least, pa.float64())}
@@ -225,17 +251,19 @@ def op6_topk(spark, sf_dir: str) -> DataFrame:
 
 OP6_SQL = f"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS HUGEINT)) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+         coalesce(list_reduce(list_prepend(0::HUGEINT, list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])), lambda s, x: s + x), 0) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
   WHERE q.vec_id % 50 = 0),
+l AS (
+  SELECT query_id, vec_id, CAST(least(greatest(score, {LONG[0]}::HUGEINT), {LONG[1]}::HUGEINT) AS BIGINT) AS score FROM p),
 r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
-  FROM p)
+  FROM l)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {K}
 """

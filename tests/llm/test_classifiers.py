@@ -125,6 +125,9 @@ def test_samples_are_bounded_in_rows_and_bytes(spark, monkeypatch):
         language.train(docs)
         for texts in seen.values():
             assert len(texts) in (n, 40) and sum(map(len, texts)) <= most
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.update(quality=x))
+    quality.train(docs, labels.withColumnRenamed("toxic", "quality"), rows=30)
+    assert len(seen["quality"]) == 30
 
 
 def test_lines_differ_in_their_middle():

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 from dataclasses import replace
 from itertools import combinations
 
@@ -186,7 +187,9 @@ def vectors(seed=0):
     v[10:40] = v[10]  # ties
     rows = [(i, [float(np.float32(x)) for x in row], "clash") for i, row in enumerate(v)]
     rows += [(300, None, ""), (301, [None] + [1.0] * 7, ""), (302, [float("nan")] * 8, ""), (303, [float("inf")] * 8, ""), (304, [0.0] * 8, ""), (None, [1.0] * 8, "")]
-    rows += [(305, [], ""), (306, [1e15] * 8, ""), (310, [1.0, 2.0], ""), (311, [3.0, -1.0], "")]
+    rows += [(305, [], ""), (320, [], ""), (310, [1.0, 2.0], ""), (311, [3.0, -1.0], "")]
+    huge = [[1e15] * 8, [1e7, 1.0] * 4, [1e7, 0.0] * 4, [-1e30] * 8, [1e19, -1e19] * 4, [3e38] * 8]
+    rows += [(330 + 5 * k, [float(np.float32(x)) for x in v], "") for k, v in enumerate(huge)]
     return rows
 
 
@@ -195,18 +198,22 @@ def test_search_against_all_products(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_ROWS", 8)
     rows = vectors()
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
-    good = {i: [math.floor(256 * x) for x in v] for i, v, _ in rows if i is not None and (i < 300 or i in (304, 310, 311))}
+    good = {i: [math.floor(256 * Fraction(x)) for x in v] for i, v, _ in rows if i is not None and i not in (300, 301, 302, 303)}
     out = topk.search(table.filter(F.col("vec_id") % 10 == 0), table)
     found = defaultdict(list)
     for r in out.orderBy("query_id", "rank").collect():
         found[r["query_id"]].append((r["vec_id"], r["score"]))
     assert set(found) == {i for i in good if i % 10 == 0}
     for q, got in found.items():
-        scores = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:5]
+        products = ((sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q and len(v) == len(good[q]))
+        scores = sorted((-min(max(x, -(2**63)), 2**63 - 1), i) for x, i in products)[:5]
         assert got == [(i, -s) for s, i in scores]
     assert topk.search(table.limit(0), table.limit(0)).count() == 0
     few = table.filter(F.col("vec_id") < 3)
     assert topk.search(few, few).count() == 6
+    again = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.0]), (1, [0.0, 3.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    got = topk.search(again.filter("vec_id = 0"), again).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 6 * 65536), (0, 2, 1, 65536), (0, 3, 1, 65536)]
 
 
 def test_pairs_of_one_dim_are_made_in_many_tasks(spark):
