@@ -19,6 +19,22 @@ def requirement(spark, sf_dir):
     return read.select("ingest_seq", "context", requirement_outcome(F.col("context")).alias("outcome"))
 
 
+# words of the documents that stand for a qualification, its markers and headings, so that texts of prose can be read for them
+STAND_INS = [
+    (" the ", " CPA "), (" de ", " CPA "), (" der ", " CPAs "), (" and ", " required "), (" la ", " must have "), (" und ", " a plus "),
+    (" of ", " ideally "), (" to ", " preferred "), (" in ", " mandatory "), (chr(10) + "Th", chr(10) + "Requirements:" + chr(10) + "Th"), (chr(10) + "En", chr(10) + "- Nice to have" + chr(10) + "En"),
+]
+
+
+def requirement_in_documents(spark, sf_dir):
+    """How whole documents treat a qualification, with the text that says so."""
+    text = F.col("text")
+    for old, new in STAND_INS:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.alias("text"))
+    return requirement_context(docs, "doc_id", "text", "CPA")
+
+
 def link_extract(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     links = pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)))).alias("link"))
@@ -44,7 +60,39 @@ def export_why(spark, sf_dir):
     return judged.select("ingest_seq", "decision", G.why().alias("why"))
 
 
-QUERIES = {"export_why": export_why, "requirement_context": requirement, "link_extract": link_extract, "many_specs": many_specs}
+QUERIES = {"export_why": export_why, "requirement_context": requirement, "requirement_in_documents": requirement_in_documents, "link_extract": link_extract, "many_specs": many_specs}
+
+def _documents_sql() -> str:
+    """Clause by clause: the first mention, then for each marker how far it stands before or after it."""
+    text = "text"
+    for old, new in STAND_INS:
+        text = f"replace({text}, {O.q(old)}, {O.q(new)})"
+
+    def spans(name, pattern, shift="0"):
+        return f"""{name}s AS (SELECT id, unnest(string_split_regex(text, {O.q(pattern)})) AS piece, unnest(regexp_extract_all(text, {O.q(pattern)})) AS hit, generate_subscripts(string_split_regex(text, {O.q(pattern)}), 1) AS i FROM t),
+          {name} AS (SELECT id, CAST(sum(length(piece) + coalesce(length(hit), 0)) OVER w - length(hit) + {shift} AS BIGINT) AS a, CAST(sum(length(piece) + length(hit)) OVER w AS BIGINT) AS z, i FROM {name}s WINDOW w AS (PARTITION BY id ORDER BY i) QUALIFY hit IS NOT NULL)"""
+
+    def near(markers):
+        far = []
+        for m in markers:
+            core = f"\\b{m.replace(' ', '[ ]+')}\\b".replace("\\\\", "\\")
+            far.append(f"CASE WHEN regexp_matches(lead, {O.q('(?i)' + core)}) THEN {{'d': length(regexp_extract(lead, {O.q('(?is)^.*' + core + '(.*)$')}, 1)), 'm': {O.q(m)}}} END")
+            far.append(f"CASE WHEN regexp_matches(tail, {O.q('(?i)' + core)}) THEN {{'d': length(regexp_extract(tail, {O.q('(?is)^(.*?)' + core)}, 1)), 'm': {O.q(m)}}} END")
+        return f"list_min(list_filter([{', '.join(far)}], lambda x: x IS NOT NULL))"
+
+    line = r"\n[ \-*#>]{0,4}(requirements|nice to have):?[ ]*\n"
+    heading = f"lower(regexp_extract(substring(text, greatest(0, m.a - 1500) + 1, least(m.a, 1500)), {O.q('(?is)^.*' + line)}, 1))"
+    return f"""WITH t AS MATERIALIZED (SELECT doc_id AS id, {text} AS text FROM documents),
+      {spans("m", r"(?i)\bCPAs?\b")}, {spans("b", r"[.;!?]\s+|\n+", "CASE WHEN regexp_matches(hit, '^[.;!?]') THEN 1 ELSE 0 END")},
+      c AS (SELECT m.id, m.a, m.z, (SELECT coalesce(max(b.z), 0) FROM b WHERE b.id = m.id AND b.z <= m.a) AS l, (SELECT min(b.a) FROM b WHERE b.id = m.id AND b.a >= m.z) AS r FROM m),
+      k AS (SELECT c.*, min(a) OVER o AS fa, min(z) OVER o AS fz FROM c WINDOW o AS (PARTITION BY id, l)),
+      n AS (SELECT k.*, text, substring(text, l + 1, fa - l) AS lead, substring(text, fz + 1, coalesce(r, length(text)) - fz) AS tail FROM k JOIN t ON k.id = t.id),
+      x AS MATERIALIZED (SELECT m.*, {near(["required", "must have", "mandatory"])} AS y, {near(["a plus", "ideally", "preferred"])} AS p, {heading} AS h FROM n AS m),
+      v AS (SELECT id, a, z, text, CASE WHEN y IS NOT NULL AND (p IS NULL OR y.d < p.d) THEN 1 WHEN p IS NOT NULL AND (y IS NULL OR p.d < y.d) THEN 3 WHEN y IS NOT NULL THEN 2 WHEN h = 'requirements' THEN 1 WHEN h = 'nice to have' THEN 3 ELSE 4 END AS o,
+        CASE WHEN y IS NOT NULL AND (p IS NULL OR y.d < p.d) THEN y.m WHEN p IS NOT NULL AND (y IS NULL OR p.d < y.d) THEN p.m WHEN y IS NOT NULL THEN NULL WHEN h = 'requirements' THEN 'requirements section' WHEN h = 'nice to have' THEN 'preferred-qualifications section' END AS marker FROM x),
+      f AS (SELECT *, {O.cut_out("text", "a", "z - a", 70)} AS evidence FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY o, a) = 1)
+      SELECT d.doc_id, coalesce(['required', 'ambiguous', 'preferred', 'unstated'][o], 'absent') AS context, marker, evidence FROM documents d LEFT JOIN f ON d.doc_id = f.id"""
+
 
 _NEGATED = "(?i)(?:" + "|".join(V.NEGATION_PATTERNS) + ")"
 _SPECS = " UNION ALL ".join(
@@ -68,6 +116,7 @@ ORACLE_SQL = {
       b AS (SELECT ingest_seq, min(o) AS o FROM r GROUP BY ingest_seq)
       SELECT p.ingest_seq, CASE o WHEN 1 THEN 'required' WHEN 3 THEN 'preferred' WHEN 4 THEN 'unstated' ELSE 'absent' END AS context,
         CASE o WHEN 1 THEN 'fail' WHEN 4 THEN 'unverifiable' ELSE 'pass' END AS outcome FROM p LEFT JOIN b ON p.ingest_seq = b.ingest_seq""",
+    "requirement_in_documents": _documents_sql(),
     "link_extract": f"SELECT link, count(*) AS n_pages, min(page_id) AS first_page FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, {O.q(LINK)}, 1)) AS link FROM pages) GROUP BY link",
     "many_specs": f"WITH {O.JOBS}, j AS ({_SPECS}) SELECT search, decision, count(*) AS n FROM j GROUP BY search, decision",
 }
