@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from millrace.functions import vocab as V
 from millrace.operators import gates as G
 from millrace.operators.requirement import requirement_context, requirement_outcome
+from millrace.operators.searches import SCHEMA as SEARCH_SCHEMA
+from millrace.operators.searches import judge_all
 from millrace.plans import oracle as O
 from millrace.plans.searches import ACCOUNTING, TODAY
 from millrace.plans.postings import normalised, postings
@@ -54,13 +56,59 @@ SEARCHES = [
 ]
 
 
+# A search for every supplier; the same text runs in Spark and DuckDB.
+SUPPLIER_SEARCHES = """
+SELECT CONCAT('supplier ', CAST(s_suppkey AS STRING)) AS name, 'rank' AS title_match, CASE WHEN s_suppkey % 7 = 0 THEN 'strict' ELSE 'flag' END AS policy,
+ s_suppkey % 11 = 0 AS needs_sponsorship, CASE WHEN s_acctbal > 0 THEN CAST(FLOOR(s_acctbal) * 8 AS DOUBLE) END AS salary_min, 'year' AS salary_period,
+ CASE s_suppkey % 4 WHEN 0 THEN {array}'staff'{end} WHEN 1 THEN {array}'directors', 'junior'{end} WHEN 2 THEN {array}'auditing'{end} END AS title_excludes,
+ CASE s_suppkey % 5 WHEN 0 THEN {array}'CPA'{end} WHEN 1 THEN {array}'accounts payable', 'audits'{end} WHEN 2 THEN {array}'react component'{end} WHEN 3 THEN {array}'close'{end} END AS required_keywords,
+ CASE s_suppkey % 6 WHEN 0 THEN {array}'stipends'{end} WHEN 1 THEN {array}'visa sponsorship', 'hourly'{end} END AS barred,
+ CASE s_nationkey % 3 WHEN 0 THEN {array}'remote'{end} WHEN 1 THEN {array}'hybrid', 'onsite'{end} END AS workplace_types,
+ CASE WHEN s_nationkey % 2 = 0 THEN {array}'US'{end} END AS countries,
+ CASE WHEN s_nationkey % 5 = 0 THEN {array}'Dallas', 'Atlanta'{end} END AS locations
+FROM supplier
+"""
+_TITLE, _TEXT, _PLACE = ["staff", "directors", "junior", "auditing"], ["CPA", "accounts payable", "audits", "react component", "close", "stipends", "visa sponsorship", "hourly"], ["Dallas", "Atlanta"]
+
+
+def saved_searches(spark, sf_dir):
+    """A table of searches, one for each supplier, over all postings: how many each takes and turns away."""
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    told = spark.sql(SUPPLIER_SEARCHES.replace("{array}", "array(").replace("{end}", ")").replace("FROM supplier", "FROM {supplier}"), supplier=suppliers)
+    given = [c.split() for c in SEARCH_SCHEMA.split(", ")]
+    table = told.select(*[(F.col(c) if c in told.columns else F.lit(None)).cast(kind).alias(c) for c, kind in given])
+    judged = judge_all(normalised(postings(spark, sf_dir)), table, TODAY)
+    return judged.groupBy("search", "decision").agg(F.count("*").alias("n"), F.min("ingest_seq").alias("first_posting"))
+
+
 def export_why(spark, sf_dir):
     """The one-line reason of every verdict, as exports have it."""
     judged = G.evaluate(normalised(postings(spark, sf_dir)), ACCOUNTING, TODAY)
     return judged.select("ingest_seq", "decision", G.why().alias("why"))
 
 
-QUERIES = {"export_why": export_why, "requirement_context": requirement, "requirement_in_documents": requirement_in_documents, "link_extract": link_extract, "many_specs": many_specs}
+QUERIES = {"export_why": export_why, "requirement_context": requirement, "requirement_in_documents": requirement_in_documents, "link_extract": link_extract, "many_specs": many_specs, "saved_searches": saved_searches}
+
+def _saved_sql() -> str:
+    def found(column, phrases, inflect):
+        return "list_filter([" + ", ".join(f"CASE WHEN {O.has(column, [p], inflect)} THEN {O.q(p)} END" for p in phrases) + "], lambda x: x IS NOT NULL)"
+
+    where = "concat_ws(' ', location_raw, city, region)"
+    strict = "s.policy = 'strict'"
+    return f"""WITH {O.JOBS},
+      f AS MATERIALIZED (SELECT *, {found("title", _TITLE, True)} AS ft, {found("searchable", _TEXT, True)} AS fx, {found(where, _PLACE, False)} AS fp, trim({where}) = '' AS nowhere,
+        {O.has("searchable", V.SPONSORSHIP_REFUSALS)} AS no, {O.has("searchable", V.SPONSORSHIP_OFFERS)} AS yes FROM jobs),
+      s AS ({SUPPLIER_SEARCHES.replace("{array}", "[").replace("{end}", "]")}),
+      d AS (SELECT s.name AS search, ingest_seq, CASE WHEN coalesce(list_has_any(s.title_excludes, ft), FALSE) OR coalesce(list_has_any(s.barred, fx), FALSE)
+          OR (s.required_keywords IS NOT NULL AND NOT list_has_any(s.required_keywords, fx))
+          OR (s.workplace_types IS NOT NULL AND CASE WHEN workplace = 'unknown' THEN {strict} ELSE NOT list_contains(s.workplace_types, workplace) END)
+          OR (s.countries IS NOT NULL AND CASE WHEN country IS NULL THEN {strict} ELSE NOT list_contains(s.countries, country) END)
+          OR (s.locations IS NOT NULL AND NOT (workplace = 'remote' AND coalesce(list_contains(s.workplace_types, 'remote'), FALSE)) AND CASE WHEN nowhere THEN {strict} ELSE NOT list_has_any(s.locations, fp) END)
+          OR (s.needs_sponsorship AND CASE WHEN no THEN TRUE WHEN yes THEN FALSE ELSE {strict} END)
+          OR (coalesce(s.salary_min, 0) <> 0 AND CASE WHEN f.salary_min IS NULL THEN {strict} ELSE yearly < s.salary_min END)
+        THEN 'rejected' ELSE 'match' END AS decision FROM f CROSS JOIN s)
+      SELECT search, decision, count(*) AS n, min(ingest_seq) AS first_posting FROM d GROUP BY ALL"""
+
 
 def _documents_sql() -> str:
     """Clause by clause: the first mention, then for each marker how far it stands before or after it."""
@@ -117,6 +165,7 @@ ORACLE_SQL = {
       SELECT p.ingest_seq, CASE o WHEN 1 THEN 'required' WHEN 3 THEN 'preferred' WHEN 4 THEN 'unstated' ELSE 'absent' END AS context,
         CASE o WHEN 1 THEN 'fail' WHEN 4 THEN 'unverifiable' ELSE 'pass' END AS outcome FROM p LEFT JOIN b ON p.ingest_seq = b.ingest_seq""",
     "requirement_in_documents": _documents_sql(),
+    "saved_searches": _saved_sql(),
     "link_extract": f"SELECT link, count(*) AS n_pages, min(page_id) AS first_page FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, {O.q(LINK)}, 1)) AS link FROM pages) GROUP BY link",
     "many_specs": f"WITH {O.JOBS}, j AS ({_SPECS}) SELECT search, decision, count(*) AS n FROM j GROUP BY search, decision",
 }
