@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import cluster, gates, state
+from millrace.operators.store import Store, Version
 from millrace.operators.tables import cut, shared_dir
 from millrace.plans.postings import normalised, postings
 from millrace.plans.searches import ACCOUNTING, TODAY
@@ -68,46 +69,97 @@ def judged_jobs(raw: DataFrame, rules: gates.Rules, today: date) -> DataFrame:
     return gates.evaluate(one.join(best, ["identity", "ingest_seq"], "left_semi"), rules, today)
 
 
-def run_search(raw: DataFrame, rules: gates.Rules, today: date, run_seq: int, before: State | None = None) -> tuple[State, DataFrame]:
-    """The state after a run, and the run's summary (found, matched, rejected, new).
+VERDICT = ["search", "identity", "run_seq", "decision", "score", "is_new"]
 
-    Whether a job is new is asked before anything is written; rejected jobs carry the flag too, and a
-    job without a status gets ``new``.
-    """
+
+def found_in(raw: DataFrame, rules: gates.Rules, today: date, run_seq: int) -> DataFrame:
+    """A run's judged jobs, written."""
     judged = judged_jobs(raw, rules, today)
-    current = judged.withColumn("search", F.lit(rules.name)).withColumn("run_seq", F.lit(run_seq))
-    history = before.matches if before else current.limit(0).withColumn("is_new", F.lit(True)).select("search", "identity", "run_seq", "decision", "score", "is_new")
-    current = cut(state.with_is_new(current, history), "run")
-    matches = history.unionByName(current.select("search", "identity", "run_seq", "decision", "score", "is_new"))
-    incoming = current.select("identity", "authority", *JOB_FIELDS)
+    return cut(judged.withColumn("search", F.lit(rules.name)).withColumn("run_seq", F.lit(run_seq)), "run")
+
+
+def advance(found: DataFrame, today: date, before: State | None) -> tuple[State, DataFrame]:
+    """The tables after a run and its verdicts, before anything is written.
+
+    ``before`` may hold only the rows that share a bucket with the run's jobs; so do the new tables, but
+    ``matches``, which has the run's own rows only.
+    """
     seen = F.lit(today)
+    history = before.matches if before else found.limit(0).withColumn("is_new", F.lit(True)).select(*VERDICT)
+    current = state.with_is_new(found, history)
+    incoming = found.select("identity", "authority", *JOB_FIELDS)
     none = incoming.limit(0).withColumn("first_seen", seen).withColumn("last_seen", seen)
     jobs = state.upsert_jobs(before.jobs if before else none, incoming, seen, JOB_FIELDS)
-    links = current.select("identity", "url", seen.alias("first_seen"), seen.alias("last_seen"))
+    links = found.select("identity", "url", seen.alias("first_seen"), seen.alias("last_seen"))
     sources = state.upsert_provenance(before.job_sources if before else links.limit(0), links)
-    fresh = current.select("identity", F.lit("new").alias("status"))
+    fresh = found.select("identity", F.lit("new").alias("status"))
     status = fresh if before is None else before.status.unionByName(fresh.join(before.status, "identity", "left_anti"))
-    summary = current.groupBy("search", "run_seq").agg(
+    return State(jobs, sources, current.select(*VERDICT), status), current
+
+
+def summed_up(current: DataFrame) -> DataFrame:
+    return current.groupBy("search", "run_seq").agg(
         F.count("*").alias("found"),
         F.count_if(F.col("decision") == "match").alias("matched"),
         F.count_if(F.col("decision") == "rejected").alias("rejected"),
         F.count_if(F.col("is_new") & (F.col("decision") == "match")).alias("new_matches"),
     )
-    tables = [cut(t, n) for t, n in ((jobs, "jobs"), (sources, "job-sources"), (matches, "matches"), (status, "status"))]
-    return State(*tables), summary
 
 
-def stream_runs(spark: SparkSession, landed: DataFrame, rules: gates.Rules, today: date, first: State | None = None) -> State | None:
-    """Runs the search over each micro-batch of landed raw postings; a batch is a run."""
-    held = {"state": first}
+def run_search(raw: DataFrame, rules: gates.Rules, today: date, run_seq: int, before: State | None = None) -> tuple[State, DataFrame]:
+    """The state after a run, and the run's summary (found, matched, rejected, new).
+
+    Whether a job is new is asked before anything is written; rejected jobs carry the flag too, and a
+    job without a status gets ``new``.
+    """
+    after, current = advance(found_in(raw, rules, today, run_seq), today, before)
+    current = cut(current, "verdicts")
+    own = current.select(*VERDICT)
+    matches = before.matches.unionByName(own) if before else own
+    tables = [cut(t, n) for t, n in ((after.jobs, "jobs"), (after.job_sources, "job-sources"), (matches, "matches"), (after.status, "status"))]
+    return State(*tables), summed_up(current)
+
+
+KEYED, LOGS = ("jobs", "job_sources", "status"), ("matches",)
+
+
+def stored_state(store: Store, version: Version | None, buckets: list[int] | None = None) -> State | None:
+    """A version's state, or its rows in some buckets; None where there are none."""
+    tables = [store.read(version, t, buckets) if version else None for t in ("jobs", "job_sources", "matches", "status")]
+    return State(*tables) if all(t is not None for t in tables) else None
+
+
+def run_on_store(store: Store, raw: DataFrame, rules: gates.Rules, today: date, batch: int) -> Version:
+    """A run whose state lives in a store; a batch that was committed before changes nothing.
+
+    Only the buckets that hold the run's jobs are read and written again. The run's verdicts are a log.
+    """
+    before = store.latest()
+    if before and before.batch >= batch:
+        return before
+    found = found_in(raw, rules, today, batch)
+    touched = store.touched(found)
+    after, _ = advance(found, today, stored_state(store, before, touched))
+    return store.commit(batch, {t: getattr(after, t) for t in KEYED}, {t: getattr(after, t) for t in LOGS}, touched, before)
+
+
+def stream_runs(spark: SparkSession, landed: DataFrame, rules: gates.Rules, today: date, root: str | None = None) -> State | None:
+    """Runs the search over each micro-batch of landed raw postings; a batch is a run. Returns the state.
+
+    State and progress lie under ``root`` (by default in the shared folder, one for each search). A query
+    that was stopped at any point goes on from the last committed batch, also in another session: batches
+    that Spark hands over again after a failure are skipped or done anew as a whole.
+    """
+    root = root or f"{shared_dir(spark)}/runs-{rules.name}"
+    store = Store(spark, f"{root}/state")
 
     def run(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            held["state"], _ = run_search(batch, rules, today, number, held["state"])
+            run_on_store(store, batch, rules, today, number)
 
-    query = landed.writeStream.option("checkpointLocation", f"{shared_dir(spark)}/runs-{rules.name}-{today}")
+    query = landed.writeStream.option("checkpointLocation", f"{root}/progress")
     query.foreachBatch(run).trigger(availableNow=True).start().awaitTermination()
-    return held["state"]
+    return stored_state(store, store.latest())
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

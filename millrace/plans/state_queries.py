@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from millrace.functions.pay import pay
 from millrace.operators import cluster as C
 from millrace.operators import registry as R
 from millrace.operators import state as S
-from millrace.operators.tables import over_distinct
+from millrace.operators.store import Store
+from millrace.operators.tables import cut, over_distinct, shared_dir
 from millrace.plans import oracle as O
 from millrace.plans.postings import normalised, postings
 from millrace.streaming.health import streaming_board_health
@@ -146,6 +149,20 @@ def job_upsert(spark, sf_dir):
     return S.upsert_jobs(stored, incoming, F.lit(2), ["description", "workplace", "salary_min", "posted_at"])
 
 
+def store_upsert(spark, sf_dir):
+    """The same two runs through a versioned store: the second reads and rewrites the buckets that it touches."""
+    store = Store(spark, f"{shared_dir(spark)}/upserts-{uuid.uuid4().hex}")
+    fields = ["description", "workplace", "salary_min", "posted_at"]
+    for run in (0, 1):
+        incoming, before = cut(_one_each(_run_of_jobs(spark, sf_dir, run)), "incoming"), store.latest()
+        touched = store.touched(incoming)
+        stored = store.read(before, "jobs", touched) if before else None
+        if stored is None:
+            stored = incoming.limit(0).withColumn("first_seen", F.lit(1)).withColumn("last_seen", F.lit(1))
+        store.commit(run, {"jobs": S.upsert_jobs(stored, incoming, F.lit(run + 1), fields)}, {}, touched, before)
+    return store.read(store.latest(), "jobs")
+
+
 def cluster_postings(spark, sf_dir):
     return C.clusters(normalised(postings(spark, sf_dir)).select("ingest_seq", "identity", "url", "source", "external_id"))
 
@@ -185,6 +202,7 @@ QUERIES = {
     "registry_targets": registry_targets,
     "registry_upsert": registry_upsert,
     "job_upsert": job_upsert,
+    "store_upsert": store_upsert,
     "cluster_postings": cluster_postings,
     "resolve_jobs": resolve_jobs,
     "within_source_dedup": within_source_dedup,
@@ -272,3 +290,4 @@ ORACLE_SQL = {
     "relative_dates": """SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 11 = 0 THEN DATE '1998-01-01' WHEN o_orderkey % 11 = 1 THEN DATE '1997-12-31' WHEN o_orderkey % 11 = 2 THEN NULL
       ELSE DATE '1998-01-01' - CAST((1 + o_orderkey % 30) * CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 7 WHEN 2 THEN 30 ELSE 365 END AS INTEGER) END AS VARCHAR) AS posted FROM orders""",
 }
+ORACLE_SQL["store_upsert"] = ORACLE_SQL["job_upsert"]
