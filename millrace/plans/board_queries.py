@@ -11,6 +11,7 @@ from millrace.operators import registry as R
 from millrace.operators.boards_in_urls import board_ref, boards_from_urls, boards_in_pages
 from millrace.plans import oracle as O
 from millrace.plans.postings import postings
+from millrace.sources import boards, tolerant
 
 
 def _read(spark, sf_dir, name):
@@ -138,7 +139,34 @@ def fetch_outcomes(spark, sf_dir):
     return f.groupBy("kind", "state").agg(F.count("*").alias("n"))
 
 
+# Payloads of boards, one for each customer, with wrong items among good ones; the same text runs in Spark and DuckDB.
+ITEM = """CONCAT('{"id":', CAST(o_orderkey AS STRING), ',"title":"Job ', o_orderpriority, '","absolute_url":"https://x.example/', CAST(o_orderkey AS STRING),
+  '","location":', CASE WHEN o_orderkey % 13 = 0 THEN '4' ELSE CONCAT('{"name":"', o_orderpriority, '"}') END,
+  ',"departments":', CASE WHEN o_orderkey % 11 = 0 THEN '"none"' ELSE CONCAT('[{"id":1,"name":"', o_orderstatus, '"}]') END,
+  ',"first_published":"', CASE WHEN o_orderkey % 17 = 0 THEN 'some day' ELSE CONCAT(CAST(CAST(o_orderdate AS DATE) AS STRING), 'T10:00:00Z') END, '"}')"""
+
+
+def _items(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders")
+    boards_of = orders.groupBy(F.col("o_custkey").cast("string").alias("board")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.expr(ITEM).alias("t")))).alias("i"))
+    text = F.concat(F.lit('{"jobs":['), F.array_join(F.transform("i", lambda x: x["t"]), ","), F.lit("]}"))
+    return tolerant.read_items(boards_of.select("board", text.alias("payload")), "greenhouse")
+
+
+def tolerant_payloads(spark, sf_dir):
+    """Postings of payloads in which some items are wrong."""
+    read = boards.greenhouse(_items(spark, sf_dir)[0])
+    return read.select("external_id", "company", "title", "url", "location_raw", "department", "posted_at")
+
+
+def payload_quarantine(spark, sf_dir):
+    """Which items of those payloads are wrong, and where."""
+    return _items(spark, sf_dir)[1].select("board", "path", "problem")
+
+
 QUERIES = {
+    "tolerant_payloads": tolerant_payloads,
+    "payload_quarantine": payload_quarantine,
     "board_refs": board_refs,
     "registry_from_urls": registry_from_urls,
     "boards_in_html": boards_in_html,
@@ -172,3 +200,9 @@ ORACLE_SQL = {
       SELECT CASE WHEN s IN (3, 4, 8) THEN 'blocked' WHEN s IN (1, 2) THEN 'gone' WHEN s IN (5, 6) THEN 'unavailable' WHEN NOT parsed THEN 'parse_error' ELSE 'ok' END AS kind,
         CASE WHEN s IN (1, 2) THEN 'gone' WHEN s IN (0, 7) AND same THEN 'live' ELSE 'inconclusive' END AS state, count(*) AS n FROM f GROUP BY ALL""",
 }
+_WRONG = "o_orderkey % 13 = 0 OR o_orderkey % 11 = 0"
+ORACLE_SQL["tolerant_payloads"] = f"""SELECT CAST(o_orderkey AS VARCHAR) AS external_id, CAST(o_custkey AS VARCHAR) AS company, 'Job ' || o_orderpriority AS title, 'https://x.example/' || o_orderkey AS url,
+  o_orderpriority AS location_raw, o_orderstatus AS department, CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderdate AS DATE) END AS posted_at FROM orders WHERE NOT ({_WRONG})"""
+ORACLE_SQL["payload_quarantine"] = f"""SELECT CAST(o_custkey AS VARCHAR) AS board, '$.jobs[' || pos || CASE WHEN o_orderkey % 13 = 0 THEN '].location' ELSE '].departments' END AS path,
+  CASE WHEN o_orderkey % 13 = 0 THEN 'not an object' ELSE 'not a list' END AS problem
+  FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders) WHERE {_WRONG}"""

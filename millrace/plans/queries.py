@@ -117,6 +117,7 @@ def _html_sql() -> str:
     c = f"CASE WHEN regexp_matches(html, '&lt;|&amp;') THEN {unescape('html')} ELSE html END"
     steps = [(r"(?is)<!--.*?-->", "''")]
     steps += [(rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>", "''") for t in G.V.SKIPPED_TAGS]
+    steps += [(r"(?i)<li\b[^>]*/>", "chr(10) || '- ' || chr(10)"), (rf"(?i)<(?:{'|'.join(G.V.BLOCK_TAGS)})\b[^>]*/>", "chr(10) || chr(10)")]
     steps += [(r"(?i)<li\b[^>]*>", "chr(10) || '- '"), (rf"(?i)</?(?:{'|'.join(G.V.BLOCK_TAGS)})\b[^>]*>", "chr(10)"), (r"</?[A-Za-z!][^>]*>", "''")]
     for pattern_, by in steps:
         c = f"regexp_replace({c}, {O.q(pattern_)}, {by}, 'g')"

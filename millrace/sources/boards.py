@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions.normalize import relative_date
 from millrace.functions.pay import pay
 from millrace.functions.text import html_to_text
+from millrace.operators.sequence import numbered
 
 RAW = ["source", "external_id", "title", "company", "url", "description", "location_raw", "country_hint", "workplace_hint", "employment_type", "department", "salary_min", "salary_max", "salary_currency", "salary_period", "posted_at", "apply_url", "extra"]
 
@@ -200,8 +201,14 @@ def usajobs(payloads: DataFrame) -> DataFrame:
 
 
 def union(*sources: DataFrame) -> DataFrame:
-    """All sources' postings with a number for the order in which ties are broken."""
-    out = sources[0]
-    for other in sources[1:]:
-        out = out.unionByName(other, allowMissingColumns=True)
-    return out.withColumn("ingest_seq", F.monotonically_increasing_id())
+    """All sources' postings with ``ingest_seq``, the order in which ties are broken.
+
+    Numbers follow the sources' order, then source, id and URL, then all other fields: they are the same for
+    every partitioning and rerun. Rows alike in all fields get neighbouring numbers.
+    """
+    out = None
+    for k, own in enumerate(sources):
+        own = own.withColumn("_of", F.lit(k))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    rest = F.xxhash64(F.to_json(F.struct(*[c for c in out.columns if c != "_of"])))
+    return numbered(out, ["_of", "source", "external_id", "url", rest], "ingest_seq").drop("_of")

@@ -1,6 +1,10 @@
 """Tables of inputs and expected values for the column functions."""
 
+import html
+import random
+import re
 from datetime import date
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +39,56 @@ def test_html(spark):
     check(spark, cases, T.html_to_text)
 
 
+class Flat(HTMLParser):
+    """The same flattening by the standard parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.skipped = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.skipped += tag in T.SKIPPED_TAGS
+        self.parts += ["\n- " if tag == "li" else "\n"] * (tag in T.BLOCK_TAGS)
+
+    def handle_endtag(self, tag):
+        self.skipped -= tag in T.SKIPPED_TAGS and self.skipped > 0
+        self.parts += ["\n"] * (tag in T.BLOCK_TAGS)
+
+    def handle_data(self, data):
+        self.parts += [data] * (not self.skipped)
+
+
+def test_references_equal_the_standard_ones(spark):
+    refs = ["&eacute;", "&#x26;eacute;", "&comma;", "&NewLine;", "&copy", "&copyx", "&notit;", "&notin;", "&#65", "&#x41;", "&#0;", "&#128;", "&#x9f", "&#xD800;", "&#1114112;", "&#99999999999;", "&#11;", "&#xfffe;", "&#000000000065;", "&amp;lt;", "&", "&&amp", "&;", "&unknown;", "&lt", "&NotEqualTilde;", "&a b;", "&#;", "&#x;", "&ampamp;", "&Aacutee"]
+    rng = random.Random(3)
+    texts = refs + ["".join(rng.choice([*refs, " ", "x", ";", "é", "😀"]) for _ in range(rng.randint(1, 9))) for _ in range(600)] + ["&amp;" * 5000]
+    got = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", T.unescape(F.col("t")).alias("u")).collect()
+    for r in got:
+        assert r.u == html.unescape(texts[r.id]), texts[r.id]
+
+
+def test_markup_equals_the_standard_parser(spark):
+    parts = [
+        "<p>", "</p>", "<br/>", "<li class='x>y'>", "<LI>", "</li>", "<b title=\"a>b\">", "</b>", "<div\nid=x>", "</div >", "<!-- a <p> b -->", "<!DOCTYPE html>", "<![CDATA[x]]>", "<? pi >", "<script>var a='<p>';</script>",
+        "<style x='>'>p{}</style >", "<title>t</title>", "<head><title>x</title></head>", "text", " ", "a < b", "3 <4", "&amp;", "&eacute", "é", "<a 'b>", "<lix>", "<article>", "</>", "</ p>", "<span/>", "\n", "<h1>", "<pre>",
+    ]
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(800)] + ["a<script>b", "x<a", "<p " + "a='>' " * 3000 + ">y", "<b" + "=" * 20000]
+    got = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", T.html_to_text(F.col("t")).alias("u")).collect()
+    for r in got:
+        raw = texts[r.id]
+        flat = Flat()
+        flat.feed(html.unescape(raw) if "&lt;" in raw or "&amp;" in raw else raw)
+        flat.close()
+        want = spaces("".join(flat.parts))
+        assert r.u == want, raw
+
+
+def spaces(text):
+    text = re.sub(r"[ \t\f\v]+", " ", re.sub(r"\r\n?", "\n", text))
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n *", "\n", text)).strip()
+
+
 @pytest.mark.parametrize(
     ("phrase", "text", "inflect", "found"),
     [
