@@ -33,21 +33,33 @@ FOCUS = 8  # coordinates looked at
 LONG = (-(2**63), 2**63 - 1)
 
 
+def _scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lists = b.column("x")
+        offsets = lists.offsets.to_numpy()
+        x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        # components from 2^44 on have no fraction below 1/256
+        with np.errstate(over="ignore"):
+            w = np.where(np.abs(x) >= 2.0**44, x, np.floor(x * SCALE) / SCALE)
+        row = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+        top = np.zeros(b.num_rows)
+        np.maximum.at(top, row, np.abs(w))
+        squares = np.bincount(row, (w / np.where(top > 0, top, 1)[row]) ** 2, b.num_rows)
+        with np.errstate(over="ignore"):
+            norm = np.minimum(top * np.sqrt(squares), 1.7e308)
+        listed = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(w))
+        yield pa.record_batch({"vec_id": b.column("vec_id"), "w": listed, "norm": norm})
+
+
 def scaled_vectors(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     """(vec_id, w: floor(256 * x) / 256 of each component, norm of w); rows that take no part are left out.
 
     As doubles these are exact however large the components are.
     """
-    as_double = F.transform(F.col(vector), lambda x: x.cast("double"))
-    bad = F.exists(as_double, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    kept = rows.filter(F.col(vector).isNotNull() & ~bad & F.col("vec_id").isNotNull())
-    # components from 2^44 on have no fraction below 1/256
-    w = F.transform(as_double, lambda x: F.when(F.abs(x) >= 2.0**44, x).otherwise(F.floor(x * SCALE) / float(SCALE)))
-    kept = kept.select(F.col("vec_id").cast("long").alias("vec_id"), w.alias("w"))
-    top = F.coalesce(F.array_max(F.transform("w", F.abs)), F.lit(0.0))
-    kept = kept.withColumn("top", top)
-    length = F.col("top") * F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + (x / F.col("top")) * (x / F.col("top"))))
-    return kept.withColumn("norm", F.when(F.col("top") > 0, F.least(length, F.lit(1.7e308))).otherwise(0.0)).drop("top")
+    x = F.col(vector)
+    bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    kept = rows.filter(x.isNotNull() & ~bad & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
+    return kept.mapInArrow(_scaled, "vec_id long, w array<double>, norm double")
 
 
 def _blocks(vectors: DataFrame, rows: int, seed: int) -> DataFrame:
