@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import pii, resample, vector_codes
+from millrace.llm.words import words_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 DOCS = "doc_id long, text string, source string"
@@ -225,3 +226,9 @@ def test_columns_and_types_of_the_contract(spark, name, tmp_path):
         row = got.filter(F.col("doc_id") == 3).first()
         said = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base_spans(rows[3][1]))
         assert row.n_email == 8 and row.base_sha256 == hashlib.sha256(said.encode()).hexdigest() and row.spans == said
+
+
+def test_very_long_words_are_hashed_in_one_pass():
+    words = words_of(["x" * 5_000_000, "y" * 600 + " " + "y" * 600 + " " + "y" * 599 + "z", "a" * 512 + " " + "a" * 513])
+    h = words.hashes()
+    assert len(h) == 6 and h[1] == h[2] != h[3] and len(set(h.tolist())) == 5
