@@ -39,7 +39,7 @@ LOOSE = {
     "email": rf"(?i)(?<![{LOCAL}])[{LOCAL}]++\x20?(?:@|[\[(]\x20?at\x20?[\])])\x20?[{HOST}]++(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[{HOST}]++)++",
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?:\x20?[\[(]?\.[\])]?\x20?[0-9]{1,3}+){3}+(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[\x20._/-]{0,2}[0-9]){12,18}+(?![0-9])",
-    "phone": r"(?<![0-9+])(?:00)?\(?[0-9]{2,4}+\)?(?:[\x20./()-]{1,3}[0-9]{2,5}+){2,5}+(?![0-9])",
+    "phone": r"(?<![0-9+])(?:(?:00)?[0-9]{1,3}[\x20./-]{1,2}(?=[0-9(]))?+\(?[0-9]{2,4}+\)?(?:[\x20./()-]{1,3}[0-9]{2,5}+){1,5}+(?![0-9])",
 }
 GENERATORS = [(kind, which, p) for which, patterns in (("base", BASE), ("loose", LOOSE)) for kind, p in patterns.items()]
 CUES = {
