@@ -15,3 +15,9 @@ def optimized(df):
 def test_gates_are_worked_out_once(spark, query):
     filters = [line for line in optimized(query(spark, SF)).splitlines() if "Filter" in line]
     assert not any("RLIKE" in line or "size(array(" in line for line in filters)
+
+
+@pytest.mark.parametrize("query", [queries.verdicts, queries.gates_long, history_queries.explanations])
+def test_titles_and_texts_are_read_once_for_each_different_one(spark, query):
+    plan = optimized(query(spark, SF))
+    assert "staff(?:" not in plan and "audit(?:" not in plan  # only the ledger of matches reads postings by themselves
