@@ -83,3 +83,14 @@ def test_null_lists_are_empty_and_terms_are_bounded(spark):
     many = searches.searches_table(spark, [gates.Rules(f"r{k}", requirements={f"t{k}": "required"}) for k in range(51)])
     with pytest.raises(ValueError):
         searches.judge_all(jobs, many, TODAY)
+
+
+def test_counts_are_those_of_all_pairs(spark):
+    jobs = some_postings(spark)
+    rules = [*some_searches(200), *[gates.Rules(f"f{k}", salary_min=float(k) * 9000, salary_period="year", policy="strict" if k % 3 else "flag") for k in range(12)]]
+    table = searches.searches_table(spark, rules)
+    judged = searches.judge_all(jobs, table, TODAY).groupBy("search", "decision").agg(F.count("*").alias("n"), F.min("ingest_seq").alias("first"))
+    counted = searches.count_all(jobs, table, TODAY)
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "NestedLoop" not in plan and "Join Cross" not in plan  # kinds met profiles before
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, judged.collect()))
