@@ -2,7 +2,7 @@
 
 import pytest
 
-from millrace.plans import history_queries, queries
+from millrace.plans import board_queries, history_queries, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,3 +21,10 @@ def test_gates_are_worked_out_once(spark, query):
 def test_titles_and_texts_are_read_once_for_each_different_one(spark, query):
     plan = optimized(query(spark, SF))
     assert "staff(?:" not in plan and "audit(?:" not in plan  # only the ledger of matches reads postings by themselves
+
+
+@pytest.mark.parametrize("query", [board_queries.registry_from_urls, board_queries.registry_build])
+def test_urls_are_read_once(spark, query):
+    plan = optimized(query(spark, SF))
+    assert plan.count("regexp_extract(") < 20
+    assert not any("regexp" in line for line in plan.splitlines() if "Filter" in line)
