@@ -2,6 +2,7 @@
 
 import pytest
 
+from millrace.operators.cluster import provenance
 from millrace.plans import board_queries, history_queries, queries
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +29,11 @@ def test_urls_are_read_once(spark, query):
     plan = optimized(query(spark, SF))
     assert plan.count("regexp_extract(") < 20
     assert not any("regexp" in line for line in plan.splitlines() if "Filter" in line)
+
+
+def test_links_are_read_once(spark):
+    rows = [(1, "s", "x", "https://a.example/1?b=2", 2), (2, "s", "y", "", 1)]
+    found = spark.createDataFrame([(1, 1), (2, 1)], "ingest_seq long, cluster long")
+    links = provenance(spark.createDataFrame(rows, "ingest_seq long, source string, external_id string, url string, authority int"), found)
+    assert not any("regexp" in line for line in optimized(links).splitlines() if "Filter" in line)
+    assert [r["link"] for r in links.first()["links"]] == ["https://a.example/1?b=2"]
