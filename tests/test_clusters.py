@@ -51,3 +51,21 @@ def test_identities_are_those_of_normalised_postings(spark):
     raw = postings(spark, SF)
     one, other = (dict(f(raw).select("ingest_seq", "identity").collect()) for f in (identified, normalised))
     assert one == other and len(one) == 1500
+
+
+def _aggregates(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan.splitlines() if "Aggregate" in line]
+
+
+def test_texts_stay_out_of_the_aggregation_of_clusters(spark):
+    lines = _aggregates(cluster.resolve(normalised(postings(spark, SF))))
+    assert lines and not any("description" in line or "title" in line for line in lines)
+
+
+def test_borrowed_descriptions(spark):
+    schema = SCHEMA + ", title string, authority int, description string"
+    rows = [(1, "a", "", "s", "", "A", 2, None), (2, "a", "", "s", "", "A", 1, "second"), (3, "a", "", "t", "", "A", 1, "a third"), (4, "b", "", "s", "", "B", 1, ""), (5, "c", "", "s", "", "C", 1, "c")]
+    got = {r["cluster"]: r for r in cluster.resolve(spark.createDataFrame(rows, schema)).collect()}
+    assert {k: (r["canonical_seq"], r["description"], r["n_postings"], r["n_urls"]) for k, r in got.items()} == {1: (1, "second", 3, 1), 4: (4, "", 1, 1), 5: (5, "c", 1, 1)}
+    assert got[1]["sources"] == ["s", "t"]
