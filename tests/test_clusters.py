@@ -3,7 +3,9 @@
 import random
 
 from millrace.operators import cluster
+from millrace.plans import run
 from millrace.plans.postings import identified, normalised, postings
+from millrace.plans.searches import ACCOUNTING, TODAY
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "ingest_seq long, identity string, url string, source string, external_id string"
@@ -69,3 +71,8 @@ def test_borrowed_descriptions(spark):
     got = {r["cluster"]: r for r in cluster.resolve(spark.createDataFrame(rows, schema)).collect()}
     assert {k: (r["canonical_seq"], r["description"], r["n_postings"], r["n_urls"]) for k, r in got.items()} == {1: (1, "second", 3, 1), 4: (4, "", 1, 1), 5: (5, "c", 1, 1)}
     assert got[1]["sources"] == ["s", "t"]
+
+
+def test_a_run_resolves_its_postings_once(spark):
+    plan = run.judged_jobs(postings(spark, SF), ACCOUNTING, TODAY)._jdf.queryExecution().optimizedPlan().toString()
+    assert "canonical_seq" not in plan  # the jobs are written before they are judged
