@@ -128,3 +128,18 @@ def test_details_say_why(spark):
     assert said[1] == ("mentioned but only preferred ('a plus')", TERM)
     assert said[2] == ("'CPA' mentioned without saying if it is required: Our team includes a CPA.", None)
     assert said[3][0].startswith("mentioned but only preferred") and said[4] == ("'CPA' not mentioned", None)
+
+
+def test_spans_of_texts_that_hold_the_mark(spark):
+    texts = ["a￿cpa￿", "￿", "cpa", "no", "￿cpa cpa￿a", "cpaCPA \U0001f600cpa"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = span_table(rows, "id", "t", [("term", "(?i)cpa")]).select("id", "start", "end", "hit").collect()
+    want = {(k, m.start(), m.end(), m[0]) for k, t in enumerate(texts) for m in re.finditer("(?i)cpa", t)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_spans_are_not_shuffled(spark):
+    values = spark.createDataFrame([("1", "CPA required")], "_digest string, _text string")
+    plan = R._read(values, "CPA")._jdf.queryExecution().executedPlan().toString().splitlines()
+    shuffles, made = ([k for k, line in enumerate(plan) if word in line] for word in ("Exchange ", "Generate explode"))
+    assert len(shuffles) == 1 and shuffles[0] > made[0]  # texts are dealt, below what makes spans of them
